@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arlens.session import default_slices
+from arlens.session import checkpoint_dir, default_slices
 
 SLICE = "_slice"
 
@@ -39,10 +39,21 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Col
 
 
 def sliced(df: DataFrame, group_cols: Sequence[str], order: Sequence, slices: int | None = None) -> DataFrame:
-    """Range-partition on (group, order) and stamp each row with its range id."""
-    n = slices or default_slices(df.sparkSession)
-    return (df.repartitionByRange(n, *_cols(group_cols), *_cols(order))
-              .withColumn(SLICE, F.spark_partition_id()))
+    """Range-partition on (group, order) and stamp each row with its range id.
+
+    The stamped frame is read by two branches (the per-slice window and the
+    per-slice totals). Range bounds come from sampling the input, and the
+    input of an exchange after a shuffle has no fixed row order, so two
+    evaluations could cut different ranges. A reliable ``checkpoint()`` into
+    the shared checkpoint folder fixes the slices once, cuts the lineage and
+    survives executor loss.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = slices or default_slices(spark)
+    stamped = (df.repartitionByRange(n, *_cols(group_cols), *_cols(order))
+                 .withColumn(SLICE, F.spark_partition_id()))
+    return stamped.checkpoint(eager=True)
 
 
 def _carry(parts: DataFrame, group_cols: Sequence[str], value: str, combine: str) -> DataFrame:

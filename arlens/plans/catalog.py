@@ -41,3 +41,69 @@ def q_inv_clean(spark, sf):
 @query("customer_summary")
 def q_customer_summary(spark, sf):
     return to_edge(inv_ops.customer_summary(invoices(spark, sf)))
+
+
+# --- M2 / M3: ledger, LIFO, aging ------------------------------------------------
+from arlens.functions.dates import aging_rank  # noqa: E402
+from arlens.operators import aging as aging_ops  # noqa: E402
+from arlens.operators import balances as bal_ops  # noqa: E402
+from arlens.operators import ledger as led_ops  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+AS_OF = fixtures.AS_OF
+
+
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return led_ops.clean_ledger(fixtures.ledger_raw(spark, sf))
+
+
+def balances(spark: SparkSession, sf: str) -> DataFrame:
+    return bal_ops.client_balances(ledger(spark, sf), AS_OF)
+
+
+@query("mov_classify")
+def q_mov_classify(spark, sf):
+    return to_edge(led_ops.movement_mix(ledger(spark, sf)))
+
+
+@query("ledger_running")
+def q_ledger_running(spark, sf):
+    return to_edge(led_ops.running_balance(ledger(spark, sf)))
+
+
+@query("current_balance")
+def q_current_balance(spark, sf):
+    return to_edge(led_ops.current_balance(ledger(spark, sf)))
+
+
+@query("reconcile")
+def q_reconcile(spark, sf):
+    return to_edge(led_ops.reconcile(ledger(spark, sf)),
+                   ["cliente", "saldo_inicial", "debe_total", "haber_total", "saldo_reconstruido",
+                    "saldo_final_ledger", "dif_conciliacion", "conciliado"])
+
+
+@query("open_items_lifo")
+def q_open_items_lifo(spark, sf):
+    led = ledger(spark, sf)
+    debtors = led_ops.current_balance(led)
+    return to_edge(aging_ops.open_items(aging_ops.lifo_slices(led, debtors), AS_OF), aging_ops.ITEM_COLUMNS)
+
+
+@query("aging_by_client")
+def q_aging_by_client(spark, sf):
+    led = ledger(spark, sf)
+    debtors = led_ops.current_balance(led)
+    return to_edge(aging_ops.aging_summary(aging_ops.lifo_slices(led, debtors), debtors, AS_OF))
+
+
+@query("aging_distribution")
+def q_aging_distribution(spark, sf):
+    b = balances(spark, sf)
+    return to_edge(b.groupBy("aging").agg(F.sum("saldo_actual").alias("saldo"))
+                    .withColumn("orden", aging_rank("aging")), ["aging", "orden", "saldo"])
+
+
+@query("client_balances")
+def q_client_balances(spark, sf):
+    return to_edge(bal_ops.rank_debtors(balances(spark, sf)))

@@ -211,3 +211,144 @@ SELECT coalesce(ars.cliente, usd.cliente) AS cliente, coalesce(ars.razon_social,
        CAST(coalesce(facturado_usd, 0) AS DOUBLE) AS facturado_usd, CAST(coalesce(pendiente_usd, 0) AS DOUBLE) AS pendiente_usd
 FROM ars FULL OUTER JOIN usd ON ars.cliente = usd.cliente AND ars.razon_social = usd.razon_social
 """)
+
+
+# --- M2 / M3: ledger ----------------------------------------------------------------
+_PREFIX_RE = "^(COBRANZA|COBRANZA_FCE|NCVEE|FCEVCTA|FCEINCVTAELEC|FCENCVTAELEC)"
+cte("led", ["led_raw"], f"""
+SELECT orden_origen, {sql_title('cliente')} AS cliente, coalesce(trim(documento), '') AS documento,
+       fecha, fecha_vencimiento, debe, haber, saldo,
+       CASE WHEN coalesce(trim(documento), '') IN ('', 'Saldo Inicial') THEN 'Saldo Inicial'
+            WHEN regexp_matches(upper(trim(split_part(coalesce(trim(documento), ''), ' - ', 1))), '{_PREFIX_RE}') THEN 'Cobro/NC'
+            ELSE 'Factura/Cargo' END AS tipo
+FROM led_raw
+""")
+
+cte("led_ord", ["led"], """
+SELECT *, row_number() OVER (PARTITION BY cliente ORDER BY fecha ASC NULLS FIRST, orden_origen ASC) AS rn_first,
+          row_number() OVER (PARTITION BY cliente ORDER BY fecha DESC NULLS LAST, orden_origen DESC) AS rn_last
+FROM led WHERE cliente IS NOT NULL AND cliente <> ''
+""")
+
+cte("recon", ["led_ord"], """
+SELECT cliente,
+       max(CASE WHEN rn_first = 1 THEN saldo END) AS saldo_inicial,
+       CAST(sum(debe) AS DECIMAL(18,2)) AS debe_total, CAST(sum(haber) AS DECIMAL(18,2)) AS haber_total,
+       max(CASE WHEN rn_last = 1 THEN saldo END) AS saldo_final_ledger
+FROM led_ord GROUP BY cliente
+""")
+
+cte("debt", ["recon"], "SELECT cliente, saldo_final_ledger AS saldo_actual FROM recon WHERE saldo_final_ledger > 0")
+
+cte("lifo", ["led", "debt"], """
+SELECT cliente, documento, fecha, venc, orden_origen, debe, saldo_actual,
+       least(debe, saldo_actual - prev) AS tramo
+FROM (
+  SELECT l.cliente, l.documento, l.fecha, l.fecha_vencimiento AS venc, l.orden_origen, l.debe, d.saldo_actual,
+         coalesce(sum(l.debe) OVER (PARTITION BY l.cliente
+                                   ORDER BY l.fecha_vencimiento DESC NULLS LAST, l.fecha DESC NULLS LAST, l.orden_origen ASC
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+  FROM led l JOIN debt d ON l.cliente = d.cliente
+  WHERE l.tipo = 'Factura/Cargo' AND l.debe > 0
+) WHERE saldo_actual - prev > 0
+""")
+
+cte("lifo_agg", ["lifo"], f"""
+SELECT cliente,
+       sum(CASE WHEN venc IS NOT NULL AND datediff('day', venc, {AS_OF}) > 0 THEN tramo END) AS vencido,
+       sum(CASE WHEN venc IS NOT NULL AND datediff('day', venc, {AS_OF}) > 0 THEN tramo * datediff('day', venc, {AS_OF}) END) AS peso,
+       max(CASE WHEN venc IS NOT NULL AND datediff('day', venc, {AS_OF}) > 0 THEN datediff('day', venc, {AS_OF}) END) AS dmax,
+       min(CASE WHEN venc IS NOT NULL AND datediff('day', venc, {AS_OF}) > 0 THEN venc END) AS venc_min,
+       min(CASE WHEN venc IS NOT NULL AND datediff('day', venc, {AS_OF}) <= 0 THEN venc END) AS prox
+FROM lifo GROUP BY cliente
+""")
+
+cte("aging", ["debt", "lifo_agg"], f"""
+SELECT d.cliente, d.saldo_actual AS saldo_pendiente_cc,
+       CAST(coalesce(a.vencido, 0) AS DECIMAL(18,2)) AS saldo_vencido,
+       CAST(greatest(d.saldo_actual - coalesce(a.vencido, 0), 0) AS DECIMAL(18,2)) AS saldo_por_vencer,
+       a.venc_min AS venc, a.prox AS prox_vencimiento,
+       CAST(coalesce({sql_div_half_even('a.peso', 'a.vencido', 0)}, 0) AS BIGINT) AS dias_vencido,
+       coalesce(a.dmax, 0) AS dias_vencido_max,
+       coalesce(a.venc_min, a.prox) AS venc_referencia
+FROM debt d LEFT JOIN lifo_agg a ON d.cliente = a.cliente
+""")
+
+cte("bal", ["recon", "aging"], f"""
+SELECT r.cliente, r.saldo_final_ledger AS saldo_actual, r.saldo_inicial, r.debe_total, r.haber_total,
+       CAST(r.saldo_inicial + r.debe_total - r.haber_total AS DECIMAL(18,2)) AS saldo_reconstruido,
+       r.saldo_final_ledger,
+       CAST(r.saldo_final_ledger - (r.saldo_inicial + r.debe_total - r.haber_total) AS DECIMAL(18,2)) AS dif_conciliacion,
+       abs(r.saldo_final_ledger - (r.saldo_inicial + r.debe_total - r.haber_total)) <= 1.0 AS conciliado,
+       coalesce(a.saldo_pendiente_cc, r.saldo_final_ledger) AS saldo_pendiente_cc,
+       coalesce(a.saldo_vencido, 0) AS saldo_vencido,
+       greatest(coalesce(a.saldo_por_vencer, r.saldo_final_ledger - coalesce(a.saldo_vencido, 0)), 0) AS saldo_por_vencer,
+       coalesce(a.venc_referencia, {AS_OF}) AS venc, a.prox_vencimiento,
+       coalesce(a.dias_vencido, 0) AS dias_vencido, coalesce(a.dias_vencido_max, 0) AS dias_vencido_max,
+       a.venc_referencia, 'cc_movimientos' AS fuente_aging,
+       {sql_aging('coalesce(a.dias_vencido, 0)')} AS aging,
+       r.debe_total AS total_facturado, r.haber_total AS total_cobrado,
+       {sql_div_half_even('r.haber_total * 100', 'CASE WHEN r.debe_total = 0 THEN 1 ELSE r.debe_total END', 1)} AS ratio_cobranza
+FROM recon r LEFT JOIN aging a ON r.cliente = a.cliente
+WHERE r.saldo_final_ledger > 0
+""")
+
+_BAL_OUT = """
+SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo_actual, CAST(saldo_inicial AS DOUBLE) AS saldo_inicial,
+       CAST(debe_total AS DOUBLE) AS debe_total, CAST(haber_total AS DOUBLE) AS haber_total,
+       CAST(saldo_reconstruido AS DOUBLE) AS saldo_reconstruido, CAST(saldo_final_ledger AS DOUBLE) AS saldo_final_ledger,
+       CAST(dif_conciliacion AS DOUBLE) AS dif_conciliacion, conciliado,
+       CAST(saldo_pendiente_cc AS DOUBLE) AS saldo_pendiente_cc, CAST(saldo_vencido AS DOUBLE) AS saldo_vencido,
+       CAST(saldo_por_vencer AS DOUBLE) AS saldo_por_vencer, venc, prox_vencimiento,
+       CAST(dias_vencido AS BIGINT) AS dias_vencido, CAST(dias_vencido_max AS BIGINT) AS dias_vencido_max,
+       venc_referencia, fuente_aging, aging,
+       CAST(total_facturado AS DOUBLE) AS total_facturado, CAST(total_cobrado AS DOUBLE) AS total_cobrado, ratio_cobranza
+"""
+
+oracle("mov_classify", ["led"], """
+SELECT tipo, count(*) AS movimientos, CAST(sum(debe) AS DOUBLE) AS debe, CAST(sum(haber) AS DOUBLE) AS haber
+FROM led GROUP BY tipo
+""")
+
+oracle("ledger_running", ["led"], """
+SELECT cliente, orden_origen, CAST(saldo AS DOUBLE) AS saldo,
+       CAST(sum(CASE WHEN tipo = 'Saldo Inicial' THEN saldo ELSE debe - haber END)
+            OVER (PARTITION BY cliente ORDER BY fecha ASC NULLS FIRST, orden_origen ASC
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS saldo_recalculado
+FROM led WHERE cliente IS NOT NULL AND cliente <> ''
+""")
+
+oracle("current_balance", ["recon"], """
+SELECT cliente, CAST(saldo_final_ledger AS DOUBLE) AS saldo_actual FROM recon
+""")
+
+oracle("reconcile", ["recon"], """
+SELECT cliente, CAST(saldo_inicial AS DOUBLE) AS saldo_inicial, CAST(debe_total AS DOUBLE) AS debe_total,
+       CAST(haber_total AS DOUBLE) AS haber_total,
+       CAST(saldo_inicial + debe_total - haber_total AS DOUBLE) AS saldo_reconstruido,
+       CAST(saldo_final_ledger AS DOUBLE) AS saldo_final_ledger,
+       CAST(saldo_final_ledger - (saldo_inicial + debe_total - haber_total) AS DOUBLE) AS dif_conciliacion,
+       abs(saldo_final_ledger - (saldo_inicial + debe_total - haber_total)) <= 1.0 AS conciliado
+FROM recon
+""")
+
+oracle("open_items_lifo", ["lifo"], f"""
+SELECT cliente, {sql_key('cliente')} AS cliente_norm, documento AS documento_ref, venc AS venc_comp,
+       CAST(tramo AS DOUBLE) AS saldo_abierto,
+       coalesce(datediff('day', venc, {AS_OF}), 0) AS dias_vencido_item, 'Sin centro' AS centro_costo
+FROM lifo
+""")
+
+oracle("aging_by_client", ["aging"], f"""
+SELECT cliente, CAST(saldo_pendiente_cc AS DOUBLE) AS saldo_pendiente_cc, CAST(saldo_vencido AS DOUBLE) AS saldo_vencido,
+       CAST(saldo_por_vencer AS DOUBLE) AS saldo_por_vencer, venc, prox_vencimiento, dias_vencido,
+       CAST(dias_vencido_max AS BIGINT) AS dias_vencido_max, venc_referencia, {sql_aging('dias_vencido')} AS aging
+FROM aging
+""")
+
+oracle("aging_distribution", ["bal"], f"""
+SELECT aging, CAST({sql_aging_rank('aging')} AS BIGINT) AS orden, CAST(sum(saldo_actual) AS DOUBLE) AS saldo
+FROM bal GROUP BY aging
+""")
+
+oracle("client_balances", ["bal"], _BAL_OUT + " FROM bal")
