@@ -107,3 +107,84 @@ def q_aging_distribution(spark, sf):
 @query("client_balances")
 def q_client_balances(spark, sf):
     return to_edge(bal_ops.rank_debtors(balances(spark, sf)))
+
+
+# --- M4: composition ---------------------------------------------------------------
+from arlens.operators import composition as comp_ops  # noqa: E402
+
+
+def comp_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.composition_raw(spark, sf)
+
+
+def comp_items(spark: SparkSession, sf: str) -> DataFrame:
+    return comp_ops.composition_items(comp_grid(spark, sf), AS_OF)
+
+
+def comp_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return comp_ops.composition_summary(comp_items(spark, sf))
+
+
+def balances_comp(spark: SparkSession, sf: str) -> DataFrame:
+    return bal_ops.client_balances_with_composition(ledger(spark, sf), comp_summary(spark, sf), AS_OF)
+
+
+@query("comp_header_detect")
+def q_comp_header_detect(spark, sf):
+    h = comp_ops.detect_header(comp_grid(spark, sf))
+    return to_edge(h, ["file", "sheet", "header_row", "col_cliente", "col_centro", "col_saldo", "col_venc", "col_doc"])
+
+
+@query("comp_ffill")
+def q_comp_ffill(spark, sf):
+    f = comp_ops.filled_rows(comp_grid(spark, sf))
+    return to_edge(f.select("file", "sheet", "row_idx", F.col("cliente_raw").alias("cliente"),
+                            F.col("centro_raw").alias("centro_costo")))
+
+
+@query("parse_local_amount")
+def q_parse_local_amount(spark, sf):
+    rows = comp_ops.data_rows(comp_grid(spark, sf), comp_ops.detect_header(comp_grid(spark, sf)))
+    return to_edge(rows.select("file", "sheet", "row_idx",
+                               comp_ops.parse_local_amount("saldo_raw").alias("monto")))
+
+
+@query("comp_items")
+def q_comp_items(spark, sf):
+    return to_edge(comp_items(spark, sf),
+                   ["sheet", "row_idx", "cliente", "cliente_norm", "centro_costo", "saldo_abierto", "venc_comp",
+                    "documento_ref", "dias_vencido_item", "esta_vencido"])
+
+
+@query("comp_centers")
+def q_comp_centers(spark, sf):
+    return to_edge(comp_ops.customer_centers(comp_items(spark, sf)))
+
+
+@query("comp_by_center")
+def q_comp_by_center(spark, sf):
+    return to_edge(comp_ops.debt_by_center(comp_items(spark, sf)))
+
+
+@query("comp_summary")
+def q_comp_summary(spark, sf):
+    return to_edge(comp_summary(spark, sf))
+
+
+@query("client_balances_comp")
+def q_client_balances_comp(spark, sf):
+    return to_edge(bal_ops.rank_debtors(balances_comp(spark, sf)))
+
+
+@query("open_items_center")
+def q_open_items_center(spark, sf):
+    led = ledger(spark, sf)
+    bc = balances_comp(spark, sf)
+    debtors = bc.select("cliente", "saldo_actual")
+    items = aging_ops.open_items(aging_ops.lifo_slices(led, debtors), AS_OF, centers=bc)
+    return to_edge(items, aging_ops.ITEM_COLUMNS)
+
+
+@query("comp_flexible_check")
+def q_comp_flexible_check(spark, sf):
+    return comp_ops.flexible_check(comp_grid(spark, sf))

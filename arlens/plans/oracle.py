@@ -352,3 +352,171 @@ FROM bal GROUP BY aging
 """)
 
 oracle("client_balances", ["bal"], _BAL_OUT + " FROM bal")
+
+
+# --- M4: composition -----------------------------------------------------------------
+def _role_values() -> str:
+    from arlens.functions.constants import COMPOSITION_ROLES
+    rows = []
+    for role, cands in COMPOSITION_ROLES.items():
+        for i, c in enumerate(cands):
+            rows.append(f"('{role}', {i}, '{c}')")
+    return "VALUES " + ", ".join(rows)
+
+
+cte("comp_cells", ["comp_raw"], " UNION ALL ".join(
+    f"SELECT file, sheet, row_idx, {i} AS pos, c{i} AS cell FROM comp_raw" for i in range(5)))
+
+cte("comp_hdr_cells", ["comp_cells"], f"""
+SELECT file, sheet, row_idx, norm, min(pos) AS first_pos, max(pos) AS last_pos, arg_max(cell, pos) AS name
+FROM (SELECT file, sheet, row_idx, pos, cell, {sql_header_key("coalesce(cell, 'nan')")} AS norm
+      FROM comp_cells WHERE row_idx < 8)
+GROUP BY file, sheet, row_idx, norm
+""")
+
+cte("comp_role_hits", ["comp_hdr_cells"], f"""
+SELECT * FROM (
+  SELECT h.file, h.sheet, h.row_idx, c.role, h.last_pos AS pos, h.name,
+         row_number() OVER (PARTITION BY h.file, h.sheet, h.row_idx, c.role
+                            ORDER BY CASE WHEN h.norm = c.cand THEN 0 ELSE 1 END,
+                                     CASE WHEN h.norm = c.cand THEN c.prio ELSE h.first_pos END) AS rk
+  FROM comp_hdr_cells h JOIN ({_role_values()}) AS c(role, prio, cand) ON contains(h.norm, c.cand)
+) WHERE rk = 1
+""")
+
+cte("comp_hdr", ["comp_role_hits"], """
+SELECT file, sheet, header_row,
+       max(CASE WHEN role = 'cliente' THEN pos END) AS pos_cliente, max(CASE WHEN role = 'centro' THEN pos END) AS pos_centro,
+       max(CASE WHEN role = 'saldo' THEN pos END) AS pos_saldo, max(CASE WHEN role = 'venc' THEN pos END) AS pos_venc,
+       max(CASE WHEN role = 'doc' THEN pos END) AS pos_doc,
+       max(CASE WHEN role = 'cliente' THEN name END) AS col_cliente, max(CASE WHEN role = 'centro' THEN name END) AS col_centro,
+       max(CASE WHEN role = 'saldo' THEN name END) AS col_saldo, max(CASE WHEN role = 'venc' THEN name END) AS col_venc,
+       max(CASE WHEN role = 'doc' THEN name END) AS col_doc
+FROM (SELECT r.*, r.row_idx AS header_row FROM comp_role_hits r
+      JOIN (SELECT file, sheet, min(row_idx) AS first_ok FROM (
+              SELECT file, sheet, row_idx FROM comp_role_hits GROUP BY file, sheet, row_idx
+              HAVING count(*) FILTER (WHERE role = 'cliente') > 0 AND count(*) FILTER (WHERE role = 'saldo') > 0)
+            GROUP BY file, sheet) k
+        ON r.file = k.file AND r.sheet = k.sheet AND r.row_idx = k.first_ok)
+GROUP BY file, sheet, header_row
+""")
+
+
+def _pick(p: str) -> str:
+    return f"(CASE g.{p} WHEN 0 THEN r.c0 WHEN 1 THEN r.c1 WHEN 2 THEN r.c2 WHEN 3 THEN r.c3 WHEN 4 THEN r.c4 END)"
+
+
+cte("comp_rows", ["comp_raw", "comp_hdr"], f"""
+SELECT r.file, r.sheet, r.row_idx, {_pick('pos_cliente')} AS cliente_raw, {_pick('pos_centro')} AS centro_raw,
+       {_pick('pos_saldo')} AS saldo_raw, {_pick('pos_venc')} AS venc_raw, {_pick('pos_doc')} AS doc_raw,
+       g.pos_centro IS NOT NULL AS has_centro, g.pos_doc IS NOT NULL AS has_doc
+FROM comp_raw r JOIN comp_hdr g ON r.file = g.file AND r.sheet = g.sheet
+WHERE r.row_idx > g.header_row
+""")
+
+cte("comp_filled", ["comp_rows"], """
+SELECT file, sheet, row_idx,
+       last_value(nullif(cliente_raw, '') IGNORE NULLS) OVER w AS cliente_raw,
+       last_value(nullif(centro_raw, '') IGNORE NULLS) OVER w AS centro_raw,
+       saldo_raw, venc_raw, doc_raw, has_centro, has_doc
+FROM comp_rows
+WINDOW w AS (PARTITION BY file, sheet ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+
+cte("comp_items", ["comp_filled"], f"""
+SELECT *, datediff('day', venc_comp, {AS_OF}) AS dias_vencido_item,
+       coalesce(datediff('day', venc_comp, {AS_OF}), 0) > 0 AS esta_vencido
+FROM (
+  SELECT file, sheet, row_idx, {sql_title('cliente_raw')} AS cliente, {sql_key(sql_title('cliente_raw'))} AS cliente_norm,
+         CASE WHEN has_centro THEN trim(centro_raw) ELSE 'Sin centro' END AS centro_costo,
+         {sql_amount('saldo_raw')} AS saldo_abierto, {sql_dmy('venc_raw')} AS venc_comp,
+         CASE WHEN has_doc THEN trim(doc_raw) ELSE '' END AS documento_ref
+  FROM comp_filled)
+WHERE cliente_norm <> '' AND saldo_abierto > 0
+""")
+
+cte("comp_centers", ["comp_items"], """
+SELECT cliente,
+       max(CASE WHEN rk = 1 THEN centro_costo END) AS centro_costo_principal,
+       coalesce(string_agg(centro_costo, ' | ' ORDER BY saldo DESC, centro_costo ASC) FILTER (WHERE trim(centro_costo) <> ''), '') AS centros_costo
+FROM (SELECT cliente, centro_costo, saldo,
+             row_number() OVER (PARTITION BY cliente ORDER BY saldo DESC, centro_costo ASC) AS rk
+      FROM (SELECT cliente, centro_costo, sum(saldo_abierto) AS saldo FROM comp_items
+            WHERE centro_costo IS NOT NULL GROUP BY cliente, centro_costo))
+GROUP BY cliente
+""")
+
+cte("comp_sum", ["comp_items", "comp_centers"], f"""
+SELECT t.cliente, t.saldo_composicion, coalesce(v.vencido, 0) AS saldo_vencido_comp,
+       greatest(t.saldo_composicion - coalesce(v.vencido, 0), 0) AS saldo_por_vencer_comp,
+       CAST({sql_div_half_even('v.peso', 'v.vencido', 0, in_scale=6)} AS BIGINT) AS dias_vencido_comp,
+       v.dmax AS dias_vencido_max_comp, v.vmin AS venc_comp_min,
+       c.centro_costo_principal, c.centros_costo
+FROM (SELECT cliente, sum(saldo_abierto) AS saldo_composicion FROM comp_items GROUP BY cliente) t
+LEFT JOIN (SELECT cliente, sum(saldo_abierto) AS vencido, sum(saldo_abierto * dias_vencido_item) AS peso,
+                  max(dias_vencido_item) AS dmax, min(venc_comp) AS vmin
+           FROM comp_items WHERE esta_vencido GROUP BY cliente) v ON t.cliente = v.cliente
+LEFT JOIN comp_centers c ON t.cliente = c.cliente
+""")
+
+cte("bal_comp", ["bal", "comp_sum"], f"""
+SELECT b.cliente, b.saldo_actual, b.saldo_inicial, b.debe_total, b.haber_total, b.saldo_reconstruido, b.saldo_final_ledger,
+       b.dif_conciliacion, b.conciliado, b.saldo_pendiente_cc,
+       CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN coalesce(c.saldo_vencido_comp, 0) ELSE b.saldo_vencido END AS saldo_vencido,
+       CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN coalesce(c.saldo_por_vencer_comp, 0) ELSE b.saldo_por_vencer END AS saldo_por_vencer,
+       CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN coalesce(c.venc_comp_min, b.venc) ELSE b.venc END AS venc,
+       b.prox_vencimiento,
+       CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN coalesce(c.dias_vencido_comp, 0) ELSE b.dias_vencido END AS dias_vencido,
+       CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN coalesce(c.dias_vencido_max_comp, 0) ELSE b.dias_vencido_max END AS dias_vencido_max,
+       b.venc_referencia,
+       CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN 'composicion' ELSE 'cc_movimientos' END AS fuente_aging,
+       {sql_aging("CASE WHEN coalesce(c.saldo_composicion, 0) > 0 THEN coalesce(c.dias_vencido_comp, 0) ELSE b.dias_vencido END")} AS aging,
+       b.total_facturado, b.total_cobrado, b.ratio_cobranza,
+       c.saldo_composicion, c.saldo_vencido_comp, c.saldo_por_vencer_comp, c.dias_vencido_comp, c.dias_vencido_max_comp,
+       c.venc_comp_min, c.centro_costo_principal, c.centros_costo
+FROM bal b LEFT JOIN comp_sum c ON b.cliente = c.cliente
+""")
+
+oracle("comp_header_detect", ["comp_hdr"], """
+SELECT file, sheet, CAST(header_row AS BIGINT) AS header_row, col_cliente, col_centro, col_saldo, col_venc, col_doc FROM comp_hdr
+""")
+
+oracle("comp_ffill", ["comp_filled"], """
+SELECT file, sheet, CAST(row_idx AS BIGINT) AS row_idx, cliente_raw AS cliente, centro_raw AS centro_costo FROM comp_filled
+""")
+
+oracle("parse_local_amount", ["comp_rows"], f"""
+SELECT file, sheet, CAST(row_idx AS BIGINT) AS row_idx, CAST({sql_amount('saldo_raw')} AS DOUBLE) AS monto FROM comp_rows
+""")
+
+oracle("comp_items", ["comp_items"], """
+SELECT sheet, CAST(row_idx AS BIGINT) AS row_idx, cliente, cliente_norm, centro_costo, CAST(saldo_abierto AS DOUBLE) AS saldo_abierto,
+       venc_comp, documento_ref, dias_vencido_item, esta_vencido
+FROM comp_items
+""")
+
+oracle("comp_centers", ["comp_centers"], "SELECT cliente, centro_costo_principal, centros_costo FROM comp_centers")
+
+oracle("comp_by_center", ["comp_items"], """
+SELECT centro_costo, CAST(sum(saldo_abierto) AS DOUBLE) AS saldo_abierto FROM comp_items GROUP BY centro_costo
+""")
+
+oracle("comp_summary", ["comp_sum"], """
+SELECT cliente, CAST(saldo_composicion AS DOUBLE) AS saldo_composicion, CAST(saldo_vencido_comp AS DOUBLE) AS saldo_vencido_comp,
+       CAST(saldo_por_vencer_comp AS DOUBLE) AS saldo_por_vencer_comp, dias_vencido_comp,
+       CAST(dias_vencido_max_comp AS BIGINT) AS dias_vencido_max_comp, venc_comp_min, centro_costo_principal, centros_costo
+FROM comp_sum
+""")
+
+oracle("client_balances_comp", ["bal_comp"], _BAL_OUT + """,
+       CAST(saldo_composicion AS DOUBLE) AS saldo_composicion, CAST(saldo_vencido_comp AS DOUBLE) AS saldo_vencido_comp,
+       CAST(saldo_por_vencer_comp AS DOUBLE) AS saldo_por_vencer_comp, dias_vencido_comp,
+       CAST(dias_vencido_max_comp AS BIGINT) AS dias_vencido_max_comp, venc_comp_min, centro_costo_principal, centros_costo
+FROM bal_comp""")
+
+oracle("open_items_center", ["lifo", "comp_sum"], f"""
+SELECT l.cliente, {sql_key('l.cliente')} AS cliente_norm, l.documento AS documento_ref, l.venc AS venc_comp,
+       CAST(l.tramo AS DOUBLE) AS saldo_abierto, coalesce(datediff('day', l.venc, {AS_OF}), 0) AS dias_vencido_item,
+       coalesce(c.centro_costo_principal, 'Sin centro') AS centro_costo
+FROM lifo l LEFT JOIN comp_sum c ON l.cliente = c.cliente
+""")
