@@ -188,3 +188,186 @@ def q_open_items_center(spark, sf):
 @query("comp_flexible_check")
 def q_comp_flexible_check(spark, sf):
     return comp_ops.flexible_check(comp_grid(spark, sf))
+
+
+# --- M5: scope, permissions, options ------------------------------------------------
+from arlens.functions.text import client_key, title_case  # noqa: E402
+from arlens.operators import briefing as brief_ops  # noqa: E402
+from arlens.operators import quality as q_ops  # noqa: E402
+from arlens.operators import scope as scope_ops  # noqa: E402
+from arlens.operators import views as view_ops  # noqa: E402
+
+# --- fixed values: the selections a dashboard user makes in the fixtures -----------
+FILTER_CLIENTS = ["Customer#000000002 S.A.U.", "customer#000000004 s.a.u.", "CUSTOMER#000000007 S.A.U."]
+FILTER_CENTERS = ["ECONOMY", "PROMO"]
+SEMI_CENTERS = ["ECONOMY", "1-URGENT"]
+# --- end of fixed values -----------------------------------------------------------
+
+
+def scoped_invoices(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices inside the default selection: every dated row."""
+    return scope_ops.apply_scope(invoices(spark, sf), scope_ops.ScopeSpec())
+
+
+@query("date_window")
+def q_date_window(spark, sf):
+    return to_edge(scope_ops.date_window(invoices(spark, sf)))
+
+
+@query("filter_clients_in")
+def q_filter_clients_in(spark, sf):
+    spec = scope_ops.ScopeSpec(clientes=FILTER_CLIENTS, clientes_modo=scope_ops.INCLUDE)
+    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec), "cliente"))
+
+
+@query("filter_clients_out")
+def q_filter_clients_out(spark, sf):
+    spec = scope_ops.ScopeSpec(clientes=FILTER_CLIENTS, clientes_modo=scope_ops.EXCLUDE)
+    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec), "cliente"))
+
+
+@query("filter_centers")
+def q_filter_centers(spark, sf):
+    spec = scope_ops.ScopeSpec(centros=FILTER_CENTERS, centros_modo=scope_ops.INCLUDE)
+    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec), "linea_negocio", "linea"))
+
+
+@query("row_permissions")
+def q_row_permissions(spark, sf):
+    grants = scope_ops.permission_rows(fixtures.permissions_doc(spark))
+    return to_edge(scope_ops.rows_per_user(scoped_invoices(spark, sf), grants))
+
+
+@query("center_semi_filter")
+def q_center_semi_filter(spark, sf):
+    keys = scope_ops.clients_of_centers(scoped_invoices(spark, sf), comp_items(spark, sf), SEMI_CENTERS)
+    return to_edge(scope_ops.restrict_to_clients(balances(spark, sf), keys).select("cliente", "saldo_actual"))
+
+
+@query("center_impact")
+def q_center_impact(spark, sf):
+    return to_edge(scope_ops.center_impact(invoices(spark, sf)))
+
+
+@query("client_options")
+def q_client_options(spark, sf):
+    return scope_ops.option_list([(invoices(spark, sf), title_case("cliente")),
+                                  (balances(spark, sf), title_case("cliente"))], "cliente")
+
+
+@query("center_options")
+def q_center_options(spark, sf):
+    return scope_ops.option_list([(invoices(spark, sf), F.trim("linea_negocio")),
+                                  (comp_items(spark, sf), F.trim("centro_costo")),
+                                  (balances_comp(spark, sf), F.trim("centro_costo_principal"))], "centro")
+
+
+# --- M1 / M6: views -------------------------------------------------------------------
+@query("billing_totals")
+def q_billing_totals(spark, sf):
+    return to_edge(view_ops.billing_totals(scoped_invoices(spark, sf)))
+
+
+@query("monthly_local")
+def q_monthly_local(spark, sf):
+    return to_edge(view_ops.monthly_local(scoped_invoices(spark, sf)))
+
+
+@query("monthly_intl")
+def q_monthly_intl(spark, sf):
+    return to_edge(view_ops.monthly_intl(scoped_invoices(spark, sf)))
+
+
+@query("monthly_usd")
+def q_monthly_usd(spark, sf):
+    return to_edge(view_ops.monthly_usd(scoped_invoices(spark, sf)))
+
+
+@query("period_line_share")
+def q_period_line_share(spark, sf):
+    inv = scoped_invoices(spark, sf)
+    return to_edge(view_ops.period_line_share(inv.filter(F.col("razon_social") == view_ops.LOCAL)))
+
+
+@query("line_mix")
+def q_line_mix(spark, sf):
+    return to_edge(view_ops.line_mix(scoped_invoices(spark, sf)))
+
+
+@query("top_clients")
+def q_top_clients(spark, sf):
+    return to_edge(view_ops.top_clients(scoped_invoices(spark, sf)))
+
+
+@query("top_clients_line")
+def q_top_clients_line(spark, sf):
+    inv = scoped_invoices(spark, sf)
+    return to_edge(view_ops.top_clients(inv, view_ops.top_line(inv)))
+
+
+@query("title_case_names")
+def q_title_case_names(spark, sf):
+    raw = fixtures.invoices_raw(spark, sf).select(F.col("cliente").alias("cliente_raw")).distinct()
+    return raw.select("cliente_raw", title_case("cliente_raw").alias("cliente"))
+
+
+@query("client_norm_key")
+def q_client_norm_key(spark, sf):
+    raw = fixtures.invoices_raw(spark, sf).select(F.col("cliente").alias("cliente_raw")).distinct()
+    return raw.select("cliente_raw", client_key("cliente_raw").alias("cliente_norm"))
+
+
+@query("billing_vs_debt")
+def q_billing_vs_debt(spark, sf):
+    return to_edge(view_ops.billing_vs_debt(scoped_invoices(spark, sf), balances(spark, sf)))
+
+
+@query("top_debtors")
+def q_top_debtors(spark, sf):
+    return to_edge(view_ops.top_debtors(balances(spark, sf)))
+
+
+@query("debt_totals")
+def q_debt_totals(spark, sf):
+    return to_edge(view_ops.debt_totals(balances(spark, sf)))
+
+
+@query("open_items_drill")
+def q_open_items_drill(spark, sf):
+    led = ledger(spark, sf)
+    bal = bal_ops.client_balances(led, AS_OF)
+    items = aging_ops.open_items(aging_ops.lifo_slices(led, bal.select("cliente", "saldo_actual")), AS_OF)
+    return to_edge(view_ops.open_items_drill(items, view_ops.debtor_top(bal).select("cliente")))
+
+
+@query("client_statement")
+def q_client_statement(spark, sf):
+    led = ledger(spark, sf)
+    return to_edge(view_ops.client_statement(led, view_ops.largest_debtor(led)))
+
+
+@query("client_statement_totals")
+def q_client_statement_totals(spark, sf):
+    led = ledger(spark, sf)
+    return to_edge(view_ops.client_statement_totals(led, view_ops.largest_debtor(led)))
+
+
+@query("kpi_financial")
+def q_kpi_financial(spark, sf):
+    return view_ops.kpi_financial(scoped_invoices(spark, sf), balances(spark, sf))
+
+
+@query("briefing")
+def q_briefing(spark, sf):
+    return brief_ops.briefing(scoped_invoices(spark, sf), balances(spark, sf))
+
+
+@query("quality_report")
+def q_quality_report(spark, sf):
+    return q_ops.quality_report(invoices(spark, sf), balances(spark, sf), comp_items(spark, sf))
+
+
+@query("run_meta")
+def q_run_meta(spark, sf):
+    from arlens.sources.io import run_meta
+    return run_meta(invoices(spark, sf), {"ultima_actualizacion": AS_OF.isoformat()})

@@ -520,3 +520,241 @@ SELECT l.cliente, {sql_key('l.cliente')} AS cliente_norm, l.documento AS documen
        coalesce(c.centro_costo_principal, 'Sin centro') AS centro_costo
 FROM lifo l LEFT JOIN comp_sum c ON l.cliente = c.cliente
 """)
+
+
+# --- M5: scope, permissions, options ---------------------------------------------------
+oracle("date_window", ["inv"], """
+WITH r AS (SELECT min(fecha) AS dmin, max(fecha) AS dmax FROM inv),
+     b AS (SELECT greatest(dmin, make_date(year(dmax), 1, 1)) AS desde, dmax AS hasta FROM r)
+SELECT b.desde, b.hasta, count(i.fecha) AS filas, CAST(coalesce(sum(i.monto_total_ars), 0) AS DOUBLE) AS total
+FROM b LEFT JOIN inv i ON i.fecha BETWEEN b.desde AND b.hasta
+GROUP BY b.desde, b.hasta
+""")
+
+_CLIENTS_SQL = "('Customer#000000002 S.A.U.', 'Customer#000000004 S.A.U.', 'Customer#000000007 S.A.U.')"
+
+oracle("filter_clients_in", ["inv_s"], f"""
+SELECT cliente, count(*) AS filas, CAST(sum(monto_total_ars) AS DOUBLE) AS monto
+FROM inv_s WHERE cliente IN {_CLIENTS_SQL} GROUP BY cliente
+""")
+
+oracle("filter_clients_out", ["inv_s"], f"""
+SELECT cliente, count(*) AS filas, CAST(sum(monto_total_ars) AS DOUBLE) AS monto
+FROM inv_s WHERE cliente IS NULL OR cliente NOT IN {_CLIENTS_SQL} GROUP BY cliente
+""")
+
+oracle("filter_centers", ["inv_s"], """
+SELECT linea_negocio AS linea, count(*) AS filas, CAST(sum(monto_total_ars) AS DOUBLE) AS monto
+FROM inv_s WHERE trim(linea_negocio) IN ('ECONOMY', 'PROMO') GROUP BY linea_negocio
+""")
+
+oracle("row_permissions", ["inv_s"], """
+WITH perm(usuario, is_super, cli, cli_inc, ctr, ctr_inc) AS (VALUES
+  ('admin', true, NULL, NULL, NULL, NULL),
+  ('u_excl', false, ['Customer#000000002 S.A.U.'], false, ['ECONOMY'], true),
+  ('u_incl', false, ['Customer#000000004 S.A.U.'], true, NULL, NULL),
+  ('u_none', false, ['No Existe'], true, NULL, NULL))
+SELECT p.usuario, count(i.numero_comprobante) AS filas, CAST(coalesce(sum(i.monto_total_ars), 0) AS DOUBLE) AS monto
+FROM perm p LEFT JOIN inv_s i ON (
+  p.is_super OR (
+    (p.cli IS NULL OR (CASE WHEN p.cli_inc THEN list_contains(p.cli, i.cliente) ELSE NOT list_contains(p.cli, i.cliente) END))
+    AND (p.ctr IS NULL OR (CASE WHEN p.ctr_inc THEN list_contains(p.ctr, trim(i.linea_negocio)) ELSE NOT list_contains(p.ctr, trim(i.linea_negocio)) END))))
+GROUP BY p.usuario
+""")
+
+oracle("center_semi_filter", ["inv_s", "comp_items", "bal"], """
+SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo_actual FROM bal
+WHERE cliente IN (SELECT cliente FROM inv_s WHERE trim(linea_negocio) IN ('ECONOMY', '1-URGENT')
+                  UNION SELECT cliente FROM comp_items WHERE trim(centro_costo) IN ('ECONOMY', '1-URGENT'))
+""")
+
+oracle("center_impact", ["inv"], """
+SELECT trim(linea_negocio) AS centro, count(DISTINCT cliente) AS clientes FROM inv WHERE cliente IS NOT NULL GROUP BY 1
+""")
+
+oracle("client_options", ["inv", "bal"], f"""
+SELECT DISTINCT cliente FROM (SELECT {sql_title('cliente')} AS cliente FROM inv UNION ALL SELECT {sql_title('cliente')} FROM bal)
+WHERE cliente IS NOT NULL AND cliente <> ''
+""")
+
+oracle("center_options", ["inv", "comp_items", "bal_comp"], """
+SELECT DISTINCT centro FROM (SELECT trim(linea_negocio) AS centro FROM inv UNION ALL SELECT trim(centro_costo) FROM comp_items
+                            UNION ALL SELECT trim(centro_costo_principal) FROM bal_comp)
+WHERE centro IS NOT NULL AND centro <> ''
+""")
+
+# --- M1 / M6: views ----------------------------------------------------------------------
+oracle("billing_totals", ["inv_s"], """
+SELECT CAST(coalesce(sum(monto_total_ars) FILTER (WHERE razon_social = 'Local'), 0) AS DOUBLE) AS total_local,
+       CAST(coalesce(sum(monto_total_ars) FILTER (WHERE razon_social = 'Internacional'), 0) AS DOUBLE) AS total_intl,
+       CAST(coalesce(sum(monto_usd), 0) AS DOUBLE) AS total_usd
+FROM inv_s
+""")
+
+for _name, _where, _amt in [("monthly_local", "razon_social = 'Local' AND moneda_iso = 'ARS'", "monto_total_ars"),
+                            ("monthly_intl", "razon_social = 'Internacional'", "monto_total_ars"),
+                            ("monthly_usd", "true", "monto_usd")]:
+    oracle(_name, ["inv_s"], f"""
+SELECT anio, mes, mes_nombre, CAST(sum({_amt}) AS DOUBLE) AS monto FROM inv_s WHERE {_where} AND anio IS NOT NULL
+GROUP BY anio, mes, mes_nombre
+""")
+
+oracle("period_line_share", ["inv_s"], f"""
+WITH l AS (SELECT * FROM inv_s WHERE razon_social = 'Local'),
+     y AS (SELECT count(DISTINCT anio) > 1 AS multi FROM l),
+     g AS (SELECT CASE WHEN y.multi THEN CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') ELSE lpad(CAST(mes AS VARCHAR), 2, '0') END AS periodo,
+                  CASE WHEN y.multi THEN mes_nombre || ' ''' || right(CAST(anio AS VARCHAR), 2) ELSE mes_nombre END AS etiqueta,
+                  CASE WHEN trim(linea_negocio) = '' OR linea_negocio IS NULL THEN 'SIN LINEA' ELSE upper(trim(linea_negocio)) END AS linea,
+                  sum(monto_total_ars) AS monto
+           FROM l, y GROUP BY 1, 2, 3),
+     t AS (SELECT periodo, sum(monto) AS total_periodo FROM g GROUP BY periodo)
+SELECT g.periodo, g.etiqueta, g.linea, CAST(g.monto AS DOUBLE) AS monto, CAST(t.total_periodo AS DOUBLE) AS total_periodo,
+       coalesce({sql_div_half_even('g.monto * 100', 't.total_periodo', 1)}, 0.0) AS pct
+FROM g JOIN t ON g.periodo = t.periodo
+""")
+
+oracle("line_mix", ["inv_s"], """
+SELECT CASE WHEN trim(linea_negocio) = '' OR linea_negocio IS NULL THEN 'SIN LINEA' ELSE upper(trim(linea_negocio)) END AS linea,
+       CAST(sum(monto_total_ars) AS DOUBLE) AS monto
+FROM inv_s WHERE moneda_iso = 'ARS' GROUP BY 1
+""")
+
+oracle("top_clients", ["inv_s"], """
+SELECT cliente, CAST(sum(monto_total_ars) AS DOUBLE) AS monto FROM inv_s WHERE moneda_iso = 'ARS'
+GROUP BY cliente ORDER BY sum(monto_total_ars) DESC, cliente LIMIT 10
+""")
+
+oracle("top_clients_line", ["inv_s"], """
+WITH best AS (SELECT linea_negocio FROM inv_s WHERE moneda_iso = 'ARS' AND linea_negocio IS NOT NULL
+              GROUP BY linea_negocio ORDER BY sum(monto_total_ars) DESC, linea_negocio LIMIT 1)
+SELECT cliente, CAST(sum(monto_total_ars) AS DOUBLE) AS monto FROM inv_s
+WHERE moneda_iso = 'ARS' AND linea_negocio = (SELECT linea_negocio FROM best)
+GROUP BY cliente ORDER BY sum(monto_total_ars) DESC, cliente LIMIT 10
+""")
+
+oracle("title_case_names", ["inv_raw"], f"""
+SELECT cliente_raw, {sql_title('cliente_raw')} AS cliente FROM (SELECT DISTINCT cliente AS cliente_raw FROM inv_raw)
+""")
+
+oracle("client_norm_key", ["inv_raw"], f"""
+SELECT cliente_raw, {sql_key('cliente_raw')} AS cliente_norm FROM (SELECT DISTINCT cliente AS cliente_raw FROM inv_raw)
+""")
+
+oracle("billing_vs_debt", ["inv_s", "bal"], """
+WITH f AS (SELECT cliente, sum(monto_total_ars) AS facturado_ars FROM inv_s WHERE moneda_iso = 'ARS' AND cliente IS NOT NULL GROUP BY cliente)
+SELECT coalesce(f.cliente, b.cliente) AS cliente, CAST(coalesce(f.facturado_ars, 0) AS DOUBLE) AS facturado_ars,
+       CAST(coalesce(b.saldo_actual, 0) AS DOUBLE) AS deuda_ars, CAST(coalesce(b.saldo_vencido, 0) AS DOUBLE) AS saldo_vencido,
+       coalesce(b.ratio_cobranza, 0.0) AS ratio_cobranza, coalesce(b.aging, 'Sin deuda') AS aging,
+       CAST(coalesce(b.dias_vencido, 0) AS BIGINT) AS dias_vencido
+FROM f FULL OUTER JOIN bal b ON f.cliente = b.cliente
+""")
+
+cte("top10", ["bal"], """
+SELECT * FROM bal ORDER BY saldo_actual DESC, saldo_vencido DESC, dias_vencido DESC, cliente LIMIT 10
+""")
+
+oracle("top_debtors", ["top10"], """
+SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo, CAST(saldo_vencido AS DOUBLE) AS vencido,
+       CAST(dias_vencido AS BIGINT) AS dias_vencido, aging FROM top10
+UNION ALL
+SELECT 'TOTAL', CAST(sum(saldo_actual) AS DOUBLE), CAST(sum(saldo_vencido) AS DOUBLE), NULL, NULL FROM top10
+""")
+
+oracle("debt_totals", ["bal"], f"""
+WITH t AS (SELECT coalesce(sum(saldo_actual), 0) AS deuda_total, coalesce(sum(saldo_vencido), 0) AS deuda_vencida,
+                  coalesce(sum(saldo_vencido) FILTER (WHERE aging = '+90 días'), 0) AS deuda_critica FROM bal)
+SELECT CAST(deuda_total AS DOUBLE) AS deuda_total, CAST(deuda_vencida AS DOUBLE) AS deuda_vencida,
+       CAST(deuda_critica AS DOUBLE) AS deuda_critica, {sql_div_half_even('deuda_critica * 100', 'deuda_vencida', 2)} AS pct_critica
+FROM t
+""")
+
+oracle("open_items_drill", ["lifo", "top10"], f"""
+SELECT t.cliente, l.documento AS documento_ref, l.venc,
+       coalesce(datediff('day', l.venc, {AS_OF}), 0) AS dias,
+       {sql_aging(f"coalesce(datediff('day', l.venc, {AS_OF}), 0)")} AS estado, CAST(l.tramo AS DOUBLE) AS saldo
+FROM lifo l JOIN top10 t ON {sql_key('l.cliente')} = {sql_key('t.cliente')}
+WHERE l.tramo > 0
+""")
+
+cte("stmt_client", ["recon"], """
+SELECT cliente FROM recon ORDER BY saldo_final_ledger DESC, cliente LIMIT 1
+""")
+
+
+def _fmt(x: str) -> str:
+    return f"(CASE WHEN {x} = 0 THEN '' ELSE '$ ' || format('{{:,.0f}}', CAST({x} AS DOUBLE)) END)"
+
+
+oracle("client_statement", ["led", "stmt_client"], f"""
+SELECT orden_origen, fecha, documento, fecha_vencimiento AS vencimiento, tipo,
+       CAST(debe AS DOUBLE) AS debe, CAST(haber AS DOUBLE) AS haber, CAST(saldo AS DOUBLE) AS saldo,
+       {_fmt('debe')} AS debe_fmt, {_fmt('haber')} AS haber_fmt, {_fmt('saldo')} AS saldo_fmt,
+       strftime(fecha, '%d/%m/%Y') AS fecha_fmt
+FROM led WHERE cliente = (SELECT cliente FROM stmt_client)
+""")
+
+oracle("client_statement_totals", ["led_ord", "stmt_client"], """
+SELECT CAST(sum(debe) AS DOUBLE) AS debe_total, CAST(sum(haber) AS DOUBLE) AS haber_total,
+       CAST(max(CASE WHEN rn_last = 1 THEN saldo END) AS DOUBLE) AS saldo_final
+FROM led_ord WHERE cliente = (SELECT cliente FROM stmt_client)
+""")
+
+oracle("kpi_financial", ["inv_s", "bal"], """
+WITH b AS (SELECT CAST(coalesce(sum(saldo_actual), 0) AS DOUBLE) AS deuda, CAST(coalesce(sum(saldo_vencido), 0) AS DOUBLE) AS venc,
+                  CAST(coalesce(sum(saldo_vencido) FILTER (WHERE dias_vencido <= 30), 0) AS DOUBLE) AS v30 FROM bal),
+     t5 AS (SELECT CAST(coalesce(sum(saldo_actual), 0) AS DOUBLE) AS top5 FROM (SELECT saldo_actual FROM bal ORDER BY saldo_actual DESC LIMIT 5)),
+     f AS (SELECT CAST(coalesce(sum(monto_total_ars), 0) AS DOUBLE) AS f90 FROM inv_s
+           WHERE fecha >= (SELECT max(fecha) FROM inv_s) - INTERVAL 89 DAY)
+SELECT CASE WHEN f90 / 90.0 > 0 THEN deuda / (f90 / 90.0) ELSE 0.0 END AS dso,
+       CASE WHEN deuda > 0 THEN venc / deuda * 100.0 ELSE 0.0 END AS overdue_ratio,
+       CASE WHEN deuda > 0 THEN top5 / deuda * 100.0 ELSE 0.0 END AS top5_concentracion,
+       CASE WHEN venc > 0 THEN v30 / venc * 100.0 ELSE 0.0 END AS cobertura_30d,
+       f90 AS facturacion_90d
+FROM b, t5, f
+""")
+
+oracle("briefing", ["inv_s", "bal"], """
+SELECT 'facturacion' AS seccion, 'total' AS metrica, '' AS clave, CAST(sum(monto_total_ars) AS DOUBLE) AS valor FROM inv_s
+UNION ALL SELECT 'facturacion', 'total_neto', '', CAST(sum(monto_neto_ars) AS DOUBLE) FROM inv_s
+UNION ALL SELECT 'facturacion', 'cantidad_facturas', '', CAST(count(*) AS DOUBLE) FROM inv_s
+UNION ALL SELECT 'facturacion', 'clientes_activos', '', CAST(count(DISTINCT cliente) AS DOUBLE) FROM inv_s
+UNION ALL (SELECT 'facturacion', 'top_clientes', cliente, CAST(sum(monto_total_ars) AS DOUBLE) FROM inv_s WHERE cliente IS NOT NULL
+           GROUP BY cliente ORDER BY sum(monto_total_ars) DESC, cliente LIMIT 5)
+UNION ALL (SELECT 'facturacion', 'evolucion_mensual', CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0'),
+                  CAST(sum(monto_total_ars) AS DOUBLE) FROM inv_s WHERE anio IS NOT NULL
+           GROUP BY anio, mes ORDER BY anio DESC, mes DESC LIMIT 12)
+UNION ALL SELECT 'cuentas_corrientes', 'deuda_total', '', CAST(sum(saldo_actual) AS DOUBLE) FROM bal
+UNION ALL SELECT 'cuentas_corrientes', 'al_dia', '', CAST(coalesce(sum(saldo_actual) FILTER (WHERE aging = 'Al día'), 0) AS DOUBLE) FROM bal
+UNION ALL SELECT 'cuentas_corrientes', 'vencido', '', CAST(sum(saldo_actual) - coalesce(sum(saldo_actual) FILTER (WHERE aging = 'Al día'), 0) AS DOUBLE) FROM bal
+UNION ALL SELECT 'cuentas_corrientes', 'aging', aging, CAST(sum(saldo_actual) AS DOUBLE) FROM bal GROUP BY aging
+UNION ALL (SELECT 'cuentas_corrientes', 'top_deudores', cliente, CAST(sum(saldo_actual) AS DOUBLE) FROM bal
+           GROUP BY cliente ORDER BY sum(saldo_actual) DESC, cliente LIMIT 5)
+UNION ALL (SELECT 'cuentas_corrientes', 'criticos', cliente, CAST(sum(saldo_actual) AS DOUBLE) FROM bal WHERE dias_vencido > 60
+           GROUP BY cliente ORDER BY sum(saldo_actual) DESC, cliente LIMIT 10)
+""")
+
+oracle("quality_report", ["inv", "bal", "comp_items"], """
+WITH fi AS (SELECT count(*) AS n, CAST(sum(monto_total_ars) AS DECIMAL(38,2)) AS total FROM inv),
+     fb AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(saldo_vencido, 0) > coalesce(saldo_actual, 0) + 1e-6) AS over,
+                   count(*) FILTER (WHERE coalesce(dias_vencido, 0) < 0) AS neg,
+                   CAST(max(abs(coalesce(dif_conciliacion, 0))) AS DECIMAL(38,2)) AS maxdif FROM bal),
+     fc AS (SELECT count(*) AS n, CAST(sum(saldo_abierto) AS DECIMAL(38,2)) AS total FROM comp_items),
+     r AS (
+       SELECT 'Q1_facturas_presentes' AS check_id, n > 0 AS passed, CAST(n AS VARCHAR) AS detail FROM fi
+       UNION ALL SELECT 'Q2_facturas_columnas', true, '' FROM fi
+       UNION ALL SELECT 'Q3_facturacion_positiva', coalesce(total > 0, false), CAST(total AS VARCHAR) FROM fi
+       UNION ALL SELECT 'Q1_saldos_presentes', n > 0, CAST(n AS VARCHAR) FROM fb
+       UNION ALL SELECT 'Q2_saldos_columnas', true, '' FROM fb
+       UNION ALL SELECT 'Q4_vencido_menor_saldo', over = 0, CAST(over AS VARCHAR) FROM fb
+       UNION ALL SELECT 'Q5_dias_no_negativos', neg = 0, CAST(neg AS VARCHAR) FROM fb
+       UNION ALL SELECT 'Q6_conciliacion_tolerancia', coalesce(maxdif <= 1.0, true), CAST(maxdif AS VARCHAR) FROM fb
+       UNION ALL SELECT 'Q2_composicion_columnas', true, '' FROM fc
+       UNION ALL SELECT 'Q7_composicion_positiva', coalesce(total > 0, false), CAST(total AS VARCHAR) FROM fc)
+SELECT * FROM r
+UNION ALL SELECT 'Q8_estado_general', bool_and(passed), CAST(count(*) FILTER (WHERE NOT passed) AS VARCHAR) FROM r
+""")
+
+oracle("run_meta", ["inv"], """
+SELECT 'filas' AS clave, CAST(count(*) AS VARCHAR) AS valor FROM inv
+UNION ALL SELECT 'ultima_actualizacion', '2001-09-01'
+""")
