@@ -58,8 +58,8 @@ def date_window(inv: DataFrame, desde=None, hasta=None) -> DataFrame:
     """Rows and billing inside the (default or given) date window; rows
     without a date never qualify. The bounds are scalar subqueries, so the
     filter runs where the scan is, with no join."""
-    b = date_bounds(inv, desde, hasta)
-    lo, hi = b.select("desde").scalar(), b.select("hasta").scalar()
+    bounds = date_bounds(inv, desde, hasta).select(F.struct("desde", "hasta")).scalar()
+    lo, hi = bounds["desde"], bounds["hasta"]
     inside = inv.filter(F.col("fecha").between(lo, hi))
     return inside.agg(F.count(F.lit(1)).alias("filas"), F.sum("monto_total_ars").alias("total")).select(
         lo.alias("desde"), hi.alias("hasta"), "filas",
@@ -88,8 +88,8 @@ def apply_scope(inv: DataFrame, spec: ScopeSpec) -> DataFrame:
     """Invoices inside a user's selection (dated rows only, like the window)."""
     out = inv.filter(F.col("fecha").isNotNull())
     if spec.desde is not None or spec.hasta is not None:
-        b = date_bounds(inv, spec.desde, spec.hasta)
-        out = out.filter(F.col("fecha").between(b.select("desde").scalar(), b.select("hasta").scalar()))
+        bounds = date_bounds(inv, spec.desde, spec.hasta).select(F.struct("desde", "hasta")).scalar()
+        out = out.filter(F.col("fecha").between(bounds["desde"], bounds["hasta"]))
     if spec.empresa:
         out = out.filter(F.col("razon_social") == spec.empresa)
     if spec.clientes:
