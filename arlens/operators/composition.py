@@ -18,7 +18,7 @@ from arlens.functions.constants import (COMPOSITION_HEADER_ROWS, COMPOSITION_ROL
                                         FLEX_CLIENT_TOKENS, FLEX_HEADER_ROWS, NO_CENTER)
 from arlens.functions.dates import days_overdue, parse_dayfirst
 from arlens.functions.text import client_key, header_key, header_key_alnum, title_case
-from arlens.operators.windows import forward_fill
+from arlens.operators.windows import broadcast_if_small, forward_fill
 
 SHEET_KEYS = ["file", "sheet"]
 ROLE_ORDER = ["cliente", "centro", "saldo", "venc", "doc"]
@@ -73,10 +73,13 @@ def detect_header(grid: DataFrame) -> DataFrame:
 def data_rows(grid: DataFrame, header: DataFrame) -> DataFrame:
     """Rows below the header with the role cells picked by position.
 
-    ``header`` has one row per sheet (tiny next to the grid); AQE turns the
-    join into a broadcast when it is measured small.
+    ``header`` has one row per sheet and is cheap to compute (it reads only
+    the first rows of each sheet), so its size is checked and it is broadcast
+    when within bound: the grid is then never shuffled, even when one sheet
+    holds most of the rows. Beyond the bound the planner shuffles (and AQE
+    splits a skewed sheet).
     """
-    j = grid.join(header, SHEET_KEYS).filter(F.col("row_idx") > F.col("header_row"))
+    j = grid.join(broadcast_if_small(header), SHEET_KEYS).filter(F.col("row_idx") > F.col("header_row"))
 
     def pick(role):
         return F.when(F.col(f"pos_{role}").isNotNull(),

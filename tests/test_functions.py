@@ -82,3 +82,15 @@ def test_half_even_division(spark):
     assert got == [2.0, 4.0, -2.0, 0.0, None]
     got1 = [r[0] for r in df.select(div_half_even(F.col("n") * 100, F.col("d"), 1)).collect()]
     assert got1 == [250.0, 350.0, -250.0, 33.3, None]
+
+
+def test_optional_invoice_columns_default(spark):
+    """Absent optional amount columns count as 0 (P19)."""
+    from arlens.operators.invoices import clean_invoices
+    raw = spark.createDataFrame([("Factura", "05/01/2024", "1-1", " acme ", "10.00", "Pesos", "TIARG S.A.", "03_SOPORTE")],
+                                "documento string, fecha string, comprobante string, cliente string, "
+                                "importe_principal string, moneda string, empresa string, nivel_1_dimension string")
+    r = clean_invoices(raw).collect()[0]
+    assert r["monto_neto_ars"] == 0 and r["monto_usd"] == 0 and r["importe_pendiente"] == 0
+    assert r["moneda_iso"] == "ARS" and r["razon_social"] == "Local" and r["linea_negocio"] == "SOPORTE"
+    assert r["cliente"] == "Acme" and r["mes_nombre"] == "Jan 2024"
