@@ -40,6 +40,18 @@ def accent_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+@lru_cache(maxsize=1)
+def whitespace_chars() -> str:
+    """Every character a Python ``str.strip()`` removes (built by rule)."""
+    return "".join(chr(cp) for cp in range(0x110000) if chr(cp).isspace())
+
+
+def strip(c) -> Column:
+    """Remove leading/trailing whitespace of any kind (``trim`` only removes
+    spaces). Null stays null."""
+    return F.btrim(_col(c), F.lit(whitespace_chars()))
+
+
 def strip_accents(c) -> Column:
     src, dst = accent_table()
     return F.translate(_col(c), src, dst)
@@ -53,7 +65,7 @@ def title_case(c) -> Column:
     each letter that is not preceded by a letter and each piece is capitalised.
     Null stays null.
     """
-    pieces = F.split(F.lower(F.trim(_col(c))), r"(?<!\p{L})(?=\p{L})")
+    pieces = F.split(F.lower(strip(c)), r"(?<!\p{L})(?=\p{L})")
     return F.array_join(
         F.transform(pieces, lambda t: F.concat(F.upper(F.substr(t, F.lit(1), F.lit(1))), F.substr(t, F.lit(2)))),
         "",
@@ -64,7 +76,7 @@ def client_key(c) -> Column:
     """Customer match key: no accents, non-alphanumerics -> space, upper case,
     single spaces, trimmed. Null, blank, ``nan`` and ``none`` give ``""``."""
     raw = _col(c)
-    lowered = F.lower(F.trim(raw))
+    lowered = F.lower(strip(raw))
     key = F.trim(F.regexp_replace(
         F.upper(F.regexp_replace(strip_accents(raw), r"[^A-Za-z0-9 ]+", " ")), r"\s+", " "))
     return (F.when(raw.isNull() | lowered.isin("", "nan", "none"), F.lit(""))
@@ -80,10 +92,10 @@ def header_key(c) -> Column:
 
 def header_key_alnum(c) -> Column:
     """Header key for the upload check: no accents, letters/digits only, lower."""
-    return F.lower(F.regexp_replace(strip_accents(F.trim(_col(c))), r"[^\p{L}\p{N}]", ""))
+    return F.lower(F.regexp_replace(strip_accents(strip(c)), r"[^\p{L}\p{N}]", ""))
 
 
 def line_label(c) -> Column:
     """Business-line label: trimmed upper case, blank -> ``SIN LINEA``."""
-    t = F.trim(_col(c))
+    t = strip(c)
     return F.when(t.isNull() | (t == ""), F.lit(NO_LINE)).otherwise(F.upper(t))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arlens.functions.amounts import MONEY, to_money
 from arlens.functions.constants import COMPANY_MAP, CREDIT_NOTE_TYPES, CURRENCY_MAP
 from arlens.functions.dates import month_label, parse_dayfirst
-from arlens.functions.text import title_case
+from arlens.functions.text import strip, title_case
 
 # Export header -> landing column name.
 INVOICE_EXPORT_COLUMNS = {
@@ -67,7 +67,7 @@ def clean_invoices(raw: DataFrame, company_map: dict | None = None) -> DataFrame
         return to_money(c) if types[c] == "string" else to_money(c, raw.schema[c].dataType)
 
     def text(c):
-        return F.trim(F.col(c)) if c in cols else F.lit(None).cast("string")
+        return strip(c) if c in cols else F.lit(None).cast("string")
 
     fecha = parse_dayfirst("fecha", raw.schema["fecha"].dataType)
     moneda = text("moneda")

@@ -94,3 +94,10 @@ def test_optional_invoice_columns_default(spark):
     assert r["monto_neto_ars"] == 0 and r["monto_usd"] == 0 and r["importe_pendiente"] == 0
     assert r["moneda_iso"] == "ARS" and r["razon_social"] == "Local" and r["linea_negocio"] == "SOPORTE"
     assert r["cliente"] == "Acme" and r["mes_nombre"] == "Jan 2024"
+
+
+def test_strip_like_python(spark):
+    vals = ["\t a b \n", "\xa0x ", "  ", None]
+    from arlens.functions.text import strip
+    assert col_values(spark, vals, strip) == ["a b", "x", "", None]
+    assert col_values(spark, ["\tpayway s.a.u.\n"], title_case) == ["Payway S.A.U."]
