@@ -758,3 +758,17 @@ oracle("run_meta", ["inv"], """
 SELECT 'filas' AS clave, CAST(count(*) AS VARCHAR) AS valor FROM inv
 UNION ALL SELECT 'ultima_actualizacion', '2001-09-01'
 """)
+
+oracle("comp_flexible_check", ["comp_cells"], """
+WITH k AS (SELECT file, sheet, row_idx, lower(regexp_replace(strip_accents(trim(cell)), '[^\\p{L}\\p{N}]', '', 'g')) AS k
+           FROM comp_cells WHERE row_idx < 6 AND cell IS NOT NULL AND trim(cell) <> ''),
+     r AS (SELECT file, sheet, row_idx,
+                  bool_or(contains(k, 'cliente') OR contains(k, 'razonsocial') OR contains(k, 'razon') OR contains(k, 'social')) AS c,
+                  bool_or(contains(k, 'saldoabierto') OR contains(k, 'saldo') OR contains(k, 'importependiente')
+                          OR contains(k, 'pendiente') OR contains(k, 'deuda') OR contains(k, 'importe')) AS b
+           FROM k GROUP BY file, sheet, row_idx),
+     s AS (SELECT DISTINCT file, sheet FROM comp_cells)
+SELECT s.file, s.sheet, coalesce(bool_or(r.c AND r.b), false) AS ok
+FROM s LEFT JOIN r ON s.file = r.file AND s.sheet = r.sheet
+GROUP BY s.file, s.sheet
+""")

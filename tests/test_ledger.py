@@ -112,3 +112,26 @@ def test_invariants(spark):
     assert bad == 0
     items = open_items(slices, AS_OF)
     assert items.filter(F.col("cliente_norm") == "").count() == 0
+
+
+def test_lifo_hot_customer(spark):
+    """One customer holds a third of all charges; the sliced prefix sum still
+    equals the naive loop."""
+    import random
+    rnd = random.Random(5)
+    rows, bal = [], {}
+    for i in range(900):
+        c = "hot" if i % 3 == 0 else f"c{i % 40}"
+        due = None if i % 17 == 0 else dt.date(2000, 1, 1) + dt.timedelta(days=rnd.randint(0, 600))
+        amt = D(rnd.randint(1, 5000)) / 10
+        bal[c] = bal.get(c, D(0)) + amt
+        rows.append((i, c, f"FACVTA - {i}", dt.date(2000, 1, 1) + dt.timedelta(days=rnd.randint(0, 600)), due,
+                     amt, D(0), bal[c]))
+    for c in list(bal):  # a final collection leaves part of each balance open
+        bal[c] = (bal[c] * D("0.4")).quantize(D("0.01"))
+        rows.append((10_000 + len(rows), c, "COBRANZA - x", dt.date(2003, 1, 1), None, D(0), D(0), bal[c]))
+    l = led(spark, rows)
+    cb = current_balance(l)
+    got = {(r["cliente"], r["orden_origen"]): r["tramo"] for r in lifo_slices(l, cb).collect()}
+    want = _naive_lifo([r.asDict() for r in l.collect()], {r["cliente"]: r["saldo_actual"] for r in cb.collect()})
+    assert got == want and any(k[0] == "Hot" for k in got)
