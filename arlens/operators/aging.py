@@ -92,3 +92,15 @@ def aging_summary(slices: DataFrame, debtors: DataFrame, as_of) -> DataFrame:
         F.coalesce(F.col("_dias_max"), F.lit(0)).alias("dias_vencido_max"),
         F.coalesce(F.col("venc"), F.col("prox_vencimiento")).alias("venc_referencia"),
     ).withColumn("aging", aging_bucket("dias_vencido"))
+
+
+def open_items_source(comp_items: DataFrame | None, led: DataFrame, balances: DataFrame, as_of) -> DataFrame:
+    """Open items for the views: the composition items when there are any,
+    else items derived by LIFO from the ledger for the debtors in
+    ``balances`` (which may already be scoped, e.g. by a centre filter that
+    left no composition item). ``isEmpty`` is one bounded job."""
+    if comp_items is not None and not comp_items.isEmpty():
+        return comp_items
+    centers = balances if "centro_costo_principal" in balances.columns else None
+    debtors = balances.select("cliente", "saldo_actual")
+    return open_items(lifo_slices(led, debtors), as_of, centers=centers)

@@ -135,3 +135,14 @@ def test_lifo_hot_customer(spark):
     got = {(r["cliente"], r["orden_origen"]): r["tramo"] for r in lifo_slices(l, cb).collect()}
     want = _naive_lifo([r.asDict() for r in l.collect()], {r["cliente"]: r["saldo_actual"] for r in cb.collect()})
     assert got == want and any(k[0] == "Hot" for k in got)
+
+
+def test_open_items_source_falls_back_to_lifo(spark):
+    from arlens.operators.aging import open_items_source
+    l = clean_ledger(ledger_raw(spark, "/root/testdata/sf0.001"))
+    bal = client_balances(l, AS_OF)
+    empty = spark.createDataFrame([], "cliente string, saldo_abierto double")
+    derived = open_items_source(empty, l, bal, AS_OF)
+    assert derived.count() == lifo_slices(l, current_balance(l)).count() > 0
+    some = spark.createDataFrame([("x", 1.0)], "cliente string, saldo_abierto double")
+    assert open_items_source(some, l, bal, AS_OF).count() == 1
