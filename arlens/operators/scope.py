@@ -16,8 +16,10 @@ from arlens.functions.text import title_case
 
 INCLUDE = "Incluir"
 EXCLUDE = "Excluir"
-# Lists longer than this become a broadcast semi/anti join instead of IN (...).
+# Lists longer than this become a semi/anti join instead of IN (...); lists up
+# to BROADCAST_LIST_MAX entries (their size is known on the driver) are broadcast.
 INLINE_LIST_MAX = 1000
+BROADCAST_LIST_MAX = 1_000_000
 
 PERMISSIONS_SCHEMA = StructType([
     StructField("superusers", ArrayType(StringType())),
@@ -78,7 +80,9 @@ def in_list(df: DataFrame, col: str, values: list[str], mode: str = INCLUDE, key
         cond = k.isin(*values)
         return df.filter(cond) if mode == INCLUDE else df.filter(~F.coalesce(cond, F.lit(False)))
     spark = df.sparkSession
-    lst = F.broadcast(spark.createDataFrame([(v,) for v in values], "_v string"))
+    lst = spark.createDataFrame([(v,) for v in values], "_v string")
+    if len(values) <= BROADCAST_LIST_MAX:
+        lst = F.broadcast(lst)
     keyed = df.withColumn("_k", k)
     how = "left_semi" if mode == INCLUDE else "left_anti"
     return keyed.join(lst, keyed["_k"] == lst["_v"], how).drop("_k")
@@ -141,8 +145,8 @@ def rows_per_user(inv: DataFrame, grants: DataFrame) -> DataFrame:
     """
     cube = inv.groupBy("cliente", F.trim("linea_negocio").alias("linea")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("monto_total_ars").alias("m"))
-    total = cube.agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    t_n, t_m = total.select("n").scalar(), total.select("m").scalar()
+    total = cube.agg(F.struct(F.sum("n").alias("n"), F.sum("m").alias("m"))).scalar()
+    t_n, t_m = total["n"], total["m"]
 
     g = grants.filter(F.col("ambito") != "superuser")
     cli = g.filter((F.col("ambito") == "clientes") & F.col("valor").isNotNull()).select("usuario", F.col("valor").alias("cliente")).distinct()

@@ -13,6 +13,7 @@ from arlens.functions.constants import AGING_CRITICAL, KPI_BILLING_DAYS, KPI_COV
 from arlens.functions.dates import aging_bucket
 from arlens.functions.text import client_key, line_label
 from arlens.operators.ledger import ledger_order
+from arlens.operators.windows import broadcast_if_small
 
 LOCAL = "Local"
 INTERNATIONAL = "Internacional"
@@ -136,9 +137,10 @@ def debt_totals(bal: DataFrame) -> DataFrame:
 def open_items_drill(items: DataFrame, selected: DataFrame) -> DataFrame:
     """Open items of the selected customers (matched on the name key), tagged
     with the selection, item aging label, most overdue first.
-    ``selected`` is a short pick list (a top-k result): broadcast by bound."""
-    sel = F.broadcast(selected.select(F.col("cliente").alias("seleccion"),
-                                      client_key("cliente").alias("cliente_norm")))
+    ``selected`` is a pick list (e.g. a top-k result); it is broadcast after
+    its size is checked."""
+    sel = broadcast_if_small(selected.select(F.col("cliente").alias("seleccion"),
+                                             client_key("cliente").alias("cliente_norm")))
     j = items.filter(F.col("saldo_abierto") > 0).join(sel, "cliente_norm")
     return (j.select(F.col("seleccion").alias("cliente"), "documento_ref", F.col("venc_comp").alias("venc"),
                      F.col("dias_vencido_item").alias("dias"), aging_bucket("dias_vencido_item").alias("estado"),
