@@ -3,6 +3,7 @@ first/last movement (W1 W2), reconciliation (A2 A3 J2)."""
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,8 +75,15 @@ def _valid_client(df: DataFrame) -> DataFrame:
 
 
 def ledger_order() -> Column:
-    """Ledger order as one comparable value: date (missing first), then source order."""
-    return F.struct(F.col("fecha").isNotNull(), F.col("fecha"), F.col("orden_origen"))
+    """Ledger order as one exact number: date (missing first), then source
+    order. ``(epoch day + 10^7) * 10^20 + (source order + 10^19)`` fits in
+    ``DECIMAL(38,0)`` for every representable date and 64-bit order; a
+    fixed-width key keeps ``min_by``/``max_by`` in the hash aggregate (a
+    struct key forces a sort-based aggregate)."""
+    day = F.datediff(F.col("fecha"), F.lit("1970-01-01").cast("date")).cast("decimal(38,0)")
+    hi = F.coalesce(day + F.lit(10_000_000), F.lit(0).cast("decimal(38,0)"))
+    lo = F.col("orden_origen").cast("decimal(38,0)") + F.lit(Decimal(10 ** 19))
+    return (hi * F.lit(Decimal(10 ** 20)) + lo).cast("decimal(38,0)")
 
 
 def movement_mix(led: DataFrame) -> DataFrame:

@@ -110,8 +110,9 @@ def forward_fill(df: DataFrame, group_cols: Sequence[str], order: Sequence, cols
     for c in cols:
         local = local.withColumn(c, F.last(c, ignorenulls=True).over(w))
     # Last non-null value of each slice: the max of the order among non-null rows.
-    order_struct = F.struct(*_cols(order))
-    aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_struct)).alias(f"_last_{c}") for c in cols]
+    # A single order column is used as is (fixed width keeps the hash aggregate).
+    order_key = _cols(order)[0] if len(order) == 1 else F.struct(*_cols(order))
+    aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(f"_last_{c}") for c in cols]
     parts = base.groupBy(*group_cols, SLICE).agg(*aggs)
     out = local
     for c in cols:

@@ -57,6 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        # Executors on other machines cannot read a folder local to one host.
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = tempfile.mkdtemp(prefix="arlens-ckpt-", dir=os.environ.get("ARLENS_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local
