@@ -109,12 +109,25 @@ def forward_fill(df: DataFrame, group_cols: Sequence[str], order: Sequence, cols
     local = base
     for c in cols:
         local = local.withColumn(c, F.last(c, ignorenulls=True).over(w))
+    out = local
+    if len(order) == 1:
+        # Index of the last non-null row of each slice is a fixed-width max
+        # (hash aggregate); only the carried rows' values (< 2 x slices of
+        # them) are then looked up with a broadcast join.
+        idx = _cols(order)[0]
+        parts = base.groupBy(*group_cols, SLICE).agg(
+            *[F.max(F.when(F.col(c).isNotNull(), idx)).alias(f"_last_{c}") for c in cols])
+        for c in cols:
+            carry = _carry(parts.select(*group_cols, SLICE, f"_last_{c}"), group_cols, f"_last_{c}", "last")
+            lookup = base.select(*group_cols, idx.alias("_carry"), F.col(c).alias(f"_carry_{c}"))
+            vals = F.broadcast(lookup.join(carry, [*group_cols, "_carry"]).select(*group_cols, SLICE, f"_carry_{c}"))
+            out = (out.join(vals, [*group_cols, SLICE], "left")
+                      .withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).drop(f"_carry_{c}"))
+        return out.drop(SLICE)
     # Last non-null value of each slice: the max of the order among non-null rows.
-    # A single order column is used as is (fixed width keeps the hash aggregate).
-    order_key = _cols(order)[0] if len(order) == 1 else F.struct(*_cols(order))
+    order_key = F.struct(*_cols(order))
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(f"_last_{c}") for c in cols]
     parts = base.groupBy(*group_cols, SLICE).agg(*aggs)
-    out = local
     for c in cols:
         carry = _carry(parts.select(*group_cols, SLICE, f"_last_{c}"), group_cols, f"_last_{c}", "last")
         carry = carry.withColumnRenamed("_carry", f"_carry_{c}")
