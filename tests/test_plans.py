@@ -1,7 +1,7 @@
 """Plan lint: no query pairs rows (cartesian / nested-loop joins) and none
 leaves the JVM (Python evaluation nodes)."""
 
-import __spark_entry__ as E
+from arlens.plans.catalog import QUERIES
 from conftest import SF_SMALL
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -10,7 +10,7 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 def test_no_pairing_joins_or_python(spark):
     bad = {}
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         hits = [f for f in FORBIDDEN if f in plan]
         if hits:
