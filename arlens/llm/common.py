@@ -171,7 +171,7 @@ class Words:
 
     def hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         h = (self._sum[end] - self._sum[start]) * _powers(len(self._sum), _P_INV)[start]
-        return mix64(h + np.uint64(salt) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64))
+        return mix64(h + np.uint64(salt * 0xD6E8FEB86659FD93 % (1 << 64)) + (end - start).astype(np.uint64))
 
     def words(self, salt: int = 0) -> np.ndarray:
         return self.hash(self.start, self.end, salt)

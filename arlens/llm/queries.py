@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import ppm_language
-from arlens.llm.common import crc_fold, read_table, ship_package
+from arlens.llm import order_minhash, ppm_language, rendezvous, source_mix
+from arlens.llm.common import crc_fold, read_table, ship_package, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries SQL can express; the others are held against brute force in tests/llm.
@@ -37,3 +37,71 @@ def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), r["lang"].alias("lang_pred"), r["score"].alias("score"),
         r["bits_per_byte"].alias("bits_per_byte"))
 
+
+
+@query
+def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    rows = rendezvous.assign(docs, [1.0] * 16, new_weight=1.0).drop("text")
+    return rendezvous.with_slots(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# The crc of a text is the reflected polynomial 0xEDB88320 byte by byte.
+ORACLE["op3_rendezvous"] = """
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
+       lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce(strlen(text), 0) + 1 AS size,
+       xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+         lambda x: ('0x' || x)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32
+  FROM documents, tab),
+h AS (SELECT *, list_transform(range(17), lambda s: ('0x' || substr(md5(k || '/' || s), 1, 13))::BIGINT) AS u,
+       ('0x' || substr(md5(k || '#' || text_crc32), 1, 13))::BIGINT AS o FROM d),
+p AS (SELECT *, list_position(u[1:16], list_max(u[1:16])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown_shard FROM h)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY o, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       CAST(grown_shard AS INTEGER) AS grown_shard
+FROM p
+"""
+
+
+@query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return order_minhash.near_duplicates(docs).select("doc_id", "class_id", "links", "n_words")
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    units = stored(source_mix.keyed(docs).withColumn("size", source_mix.word_count()).select(
+        "doc_id", "size", "_mix_source", "_mix_key", "_mix_hash", "_mix_block"), "mix-units")
+    return source_mix.apply_plan(units, source_mix.plan(units)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("mix_shards")).alias("taken"))
+
+
+ORACLE["op6_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+       coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+       ('0x' || substr(md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT AS h,
+       CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS sk FROM documents),
+w AS (SELECT sk, sum(size)::BIGINT AS src, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS wt
+      FROM d GROUP BY sk, source),
+c AS (SELECT *, (SELECT sum(src) FROM w) - coalesce(sum(3 * src) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remain,
+       sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wsum
+      FROM w WINDOW o AS (ORDER BY 3.0 * src / wt, sk)),
+e AS (SELECT *, 3 * src * wsum <= wt * remain AS capped FROM c),
+f AS (SELECT max(wsum) FILTER (WHERE NOT capped) AS wopen,
+       max(remain) FILTER (WHERE NOT capped) AS ropen FROM e),
+t AS (SELECT sk, src, CASE WHEN capped THEN 3.0 * src ELSE CAST(wt * ropen AS DOUBLE) / wopen END::DOUBLE AS target FROM e, f),
+r AS (SELECT *, CASE WHEN src > 0 THEN least(3, floor(target / src)) ELSE 0 END AS times FROM t),
+q AS (SELECT *, CASE WHEN src > 0 THEN target - times * src ELSE 0 END AS rest FROM r),
+b AS (SELECT sk, h >> 42 AS block, sum(size) AS words, ('0x' || substr(md5('block/' || sk || '/' || (h >> 42)), 1, 13))::BIGINT AS draw
+      FROM d GROUP BY sk, h >> 42),
+bc AS (SELECT *, sum(words) OVER (PARTITION BY sk ORDER BY draw, block) - words AS before FROM b),
+u AS (SELECT sk, h, k, h >> 42 AS block, sum(size) AS usize FROM d GROUP BY sk, h, k),
+uc AS (SELECT *, sum(usize) OVER (PARTITION BY sk, block ORDER BY h, k) AS upto FROM u)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(q.src AS BIGINT) AS source_size, q.target,
+       CAST(d.size * (q.times + CASE WHEN q.rest > 0 AND 2 * (bc.before + uc.upto) - uc.usize <= 2 * q.rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN q USING (sk) JOIN uc ON uc.sk = d.sk AND uc.h = d.h AND uc.k = d.k JOIN bc ON bc.sk = d.sk AND bc.block = uc.block
+"""
