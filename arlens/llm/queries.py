@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import order_minhash, ppm_language, rendezvous, source_mix
+from arlens.llm import crf_toxicity, decontaminate, order_minhash, ppm_language, rendezvous, rff_quality, source_mix
 from arlens.llm.common import crc_fold, read_table, ship_package, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,32 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, CAST(q.src AS BIGINT) AS source
        CAST(d.size * (q.times + CASE WHEN q.rest > 0 AND 2 * (bc.before + uc.upto) - uc.usize <= 2 * q.rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN q USING (sk) JOIN uc ON uc.sk = d.sk AND uc.h = d.h AND uc.k = d.k JOIN bc ON bc.sk = d.sk AND bc.block = uc.block
 """
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    items = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
+    return decontaminate.leaks(docs, items).drop("text_hash")
+
+
+@query
+def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    held = crc_fold(5) == 0
+    model = crf_toxicity.train(docs, labels.filter(~held))
+    return crf_toxicity.score(docs, model, into="_r").select(
+        "doc_id", held.alias("held_out"), F.col("_r")["score"].alias("score"),
+        crf_toxicity.is_toxic("_r").cast("int").alias("predicted"), F.col("_r")["spans"].alias("spans"))
+
+
+@query
+def op9_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    held = crc_fold(5) == 0
+    rows = rff_quality.measured(docs)
+    model = rff_quality.train(rows, labels.filter(~held))
+    return rff_quality.score(rows, model, into="score").select(
+        "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
