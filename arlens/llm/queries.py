@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import crf_toxicity, decontaminate, order_minhash, ppm_language, rendezvous, rff_quality, source_mix
+from arlens.llm import crf_toxicity, decontaminate, mcd_outliers, order_minhash, ppm_language, rendezvous, rff_quality, source_mix
 from arlens.llm.common import crc_fold, read_table, ship_package, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ def op9_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = rff_quality.train(rows, labels.filter(~held))
     return rff_quality.score(rows, model, into="score").select(
         "doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return mcd_outliers.judged(docs)
