@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import crf_toxicity, decontaminate, mcd_outliers, order_minhash, ppm_language, rendezvous, rff_quality, source_mix
-from arlens.llm.common import crc_fold, read_table, ship_package, stored
+from arlens.llm import crf_toxicity, decontaminate, mcd_outliers, order_minhash, pii_surrogates, ppm_language, rendezvous, rff_quality, source_mix, token_rollups
+from arlens.llm.common import crc_fold, read_table, shared_path, ship_package, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
 #: DuckDB SQL of the queries SQL can express; the others are held against brute force in tests/llm.
 ORACLE: dict[str, str] = {}
 
@@ -27,6 +29,12 @@ def query(fn):
     return run
 
 
+@query
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "set a secret key in production") -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return pii_surrogates.pseudonymise(docs, key)
+
+
 @query
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
@@ -71,6 +79,28 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(docs).select("doc_id", "class_id", "links", "n_words")
 
 
+@query
+def op5_token_rollups(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Four commits: all documents; the later copies of equal texts leave; the others
+    are recounted with runs of blanks collapsed; the second batch comes again."""
+    blank = F.regexp_replace("text", "[ \\t]+", " ")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]).withColumn("clean", F.when(blank != F.col("text"), blank))
+    files = {"byte_bpe_50k": f"{folder}/byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": f"{folder}/byte_bpe_multi_50k.tiktoken"}
+    counted = token_rollups.count_tokens(docs, files)
+    counted = token_rollups.count_tokens(counted, files, text="clean", into="_clean_tokens")
+    rows = stored(counted.select("doc_id", "lang", "source", F.xxhash64("text").alias("hash"), F.col("clean").isNotNull().alias("revised"), "_tokens",
+                                 token_rollups.bytes_of("text").alias("_bytes"), "_clean_tokens", token_rollups.bytes_of("clean").alias("_clean_bytes")), "counted")
+    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    rows = stored(rows.join(first, "hash").withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first"))).drop("hash", "first"), "counted")
+    rollup = token_rollups.Rollup(spark, shared_path(spark, "rollup"))
+    copies = token_rollups.changes(rows.filter("copy"), -1)
+    rollup.commit("1-insert", token_rollups.changes(rows, 1))
+    rollup.commit("2-copies", copies)
+    rollup.commit("3-blanks", token_rollups.revisions(rows.filter("revised AND NOT copy"), ("_tokens", "_bytes"), ("_clean_tokens", "_clean_bytes")))
+    rollup.commit("2-copies", copies)
+    return rollup.totals()
+
+
 @query
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
