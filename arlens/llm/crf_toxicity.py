@@ -10,8 +10,8 @@ chosen by a hash of the id), split into a fitting and a calibrating part:
 1. Labelled tokens: in how many toxic and clean documents of the fitting part
    each feature occurs is counted by Spark. A token of a toxic document is
    tagged toxic if its word or a beginning of it is significantly more frequent
-   in toxic documents (likelihood ratio G >= MIN_G, odds >= MIN_ODDS, at least
-   MIN_DOCS of them); every other token is clean.
+   in toxic documents (likelihood ratio G at a level that lets CHANCE_FINDS
+   features pass by chance, odds >= MIN_ODDS, at least MIN_DOCS of them); every other token is clean.
 2. The CRF is fitted by iterative parameter mixing: in each round every part of
    the sample runs one pass of Adagrad on the log likelihood from the shared
    weights, and the rounds' weights are averaged per feature.
@@ -45,7 +45,8 @@ from arlens.llm.common import Words, byte_set, fold_case, id_text, mix64, slices
 FEATURE_BITS = 20
 BEGINNINGS = (4, 5, 6, 7)
 ENDING = 4
-MIN_G, MIN_ODDS, MIN_DOCS = 20.0, 4.5, 3
+MIN_ODDS, MIN_DOCS = 4.5, 3
+CHANCE_FINDS = 5  # features that pass the test by chance, about, whatever the number tested
 PARTS = 12
 ROUNDS = 4
 BATCH_BYTES = 1 << 16
@@ -162,7 +163,8 @@ def toxic_features(feature: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_
         g = sum(np.where(o > 0, 2 * o * np.log(o * n / (seen_ * part)), 0.0) for o, seen_, part in (
             (toxic, seen, n_toxic), (clean, seen, n_clean), (n_toxic - toxic, n - seen, n_toxic), (n_clean - clean, n - seen, n_clean)))
     odds = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
-    flags[feature[(g >= MIN_G) & (odds >= MIN_ODDS) & (toxic >= MIN_DOCS)]] = True
+    least = 2 * np.log(max(len(feature) / CHANCE_FINDS, 150))
+    flags[feature[(g >= least) & (odds >= MIN_ODDS) & (toxic >= MIN_DOCS)]] = True
     return flags
 
 

@@ -24,7 +24,8 @@ Result of ``leaks``: one row per (document, item) that leaks: doc_id, text_hash,
 item_id, score, start and end (word places in the document, of its best passage).
 
 Defined results: null or wordless texts and items never match; an item shorter
-than SEED_WORDS words has one seed, its whole word list; items of equal words
+than SEED_WORDS words has one seed, its whole word list, and meets only texts of
+exactly those words; items of equal words
 each get their own rows; documents that repeat get equal rows each; empty tables
 give no rows; other columns are ignored. Memory follows the longest text.
 """
