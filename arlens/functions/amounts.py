@@ -1,6 +1,6 @@
 """Money expressions.
 
-Money is ``DECIMAL(18,2)`` inside every plan (exact sums, exact LIFO slices)
+Money is ``DECIMAL(28,2)`` inside every plan (exact sums, exact LIFO slices)
 and is cast to ``DOUBLE`` only in the final projection of a product.
 """
 
@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType, StringType
+from pyspark.sql.types import DecimalType
 
-MONEY = DecimalType(18, 2)
+MONEY = DecimalType(28, 2)
+RATE = DecimalType(24, 10)
 # Free-text amounts keep up to 6 decimals (``"1.234"`` is 1.234, not 1.23).
 AMOUNT = DecimalType(24, 6)
 WIDE = DecimalType(38, 0)
@@ -20,12 +21,20 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_money(c, source_type: DataType | None = None) -> Column:
-    """Coerce to money; unparseable or null -> 0 (never raises under ANSI)."""
-    col = _col(c)
-    if source_type is not None and not isinstance(source_type, StringType):
-        return F.coalesce(col.cast(MONEY), F.lit(0).cast(MONEY))
-    return F.coalesce(col.try_cast(MONEY), F.lit(0).cast(MONEY))
+def to_money(c) -> Column:
+    """Coerce to money; unparseable or null -> 0 (never raises under ANSI).
+    ``unread_amount`` tells the values this turns into 0."""
+    return F.coalesce(_col(c).try_cast(MONEY), F.lit(0).cast(MONEY))
+
+
+def unread_amount(c) -> Column:
+    """True for a text that is not blank and not an amount money can hold."""
+    return (F.trim(_col(c).cast("string")) != "") & _col(c).try_cast(MONEY).isNull()
+
+
+def to_rate(c) -> Column:
+    """Exchange rate with ten decimals; unparseable or null -> 0."""
+    return F.coalesce(_col(c).try_cast(RATE), F.lit(0).cast(RATE))
 
 
 def parse_local_amount(c) -> Column:
@@ -50,10 +59,6 @@ def clamp0(c) -> Column:
     return F.greatest(_col(c), F.lit(0))
 
 
-def as_double(c) -> Column:
-    return _col(c).cast("double")
-
-
 def div_half_even(num, den, scale: int, in_scale: int = 2) -> Column:
     """Exact ``round_half_even(num / den, scale)`` for decimals with at most
     ``in_scale`` fractional digits. Null when ``den`` is 0 or null.
@@ -73,16 +78,3 @@ def div_half_even(num, den, scale: int, in_scale: int = 2) -> Column:
             .otherwise(F.lit(0)))
     res = (q + bump) * sign
     return F.when(d == 0, F.lit(None).cast("double")).otherwise(res.cast("double") / F.lit(float(10 ** scale)))
-
-
-def sql_div_half_even(num: str, den: str, scale: int, in_scale: int = 2) -> str:
-    """DuckDB SQL text of :func:`div_half_even` (same integer recipe)."""
-    n = f"CAST(({num}) * {10 ** (in_scale + scale)} AS HUGEINT)"
-    d = f"CAST(({den}) * {10 ** in_scale} AS HUGEINT)"
-    an, ad = f"abs({n})", f"abs({d})"
-    r = f"({an} % {ad})"
-    q = f"(({an} - {r}) // {ad})"
-    bump = f"(CASE WHEN {r} * 2 > {ad} THEN 1 WHEN {r} * 2 = {ad} AND {q} % 2 = 1 THEN 1 ELSE 0 END)"
-    sign = f"(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END)"
-    return (f"(CASE WHEN {d} = 0 THEN NULL ELSE "
-            f"CAST(({q} + {bump}) * {sign} AS DOUBLE) / {float(10 ** scale)} END)")

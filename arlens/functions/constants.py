@@ -19,12 +19,6 @@ CURRENCY_MAP = {
     "Dollars": "USD",
 }
 
-# Company label -> company scope; unmapped labels pass through unchanged.
-COMPANY_MAP = {
-    "TIARG S.A.": "Local",
-    "TIARG LLC": "Internacional",
-}
-
 # Ledger document prefixes (text before " - ", upper-cased) that mark a
 # collection or credit note.
 COLLECTION_PREFIXES = ["COBRANZA", "COBRANZA_FCE", "NCVEE", "FCEVCTA", "FCEINCVTAELEC", "FCENCVTAELEC"]
@@ -42,7 +36,6 @@ AGING_BUCKETS = [
     (90, "61–90 días"),
     (None, "+90 días"),
 ]
-AGING_ORDER = [label for _, label in AGING_BUCKETS]
 AGING_CRITICAL = "+90 días"
 AGING_CURRENT = "Al día"
 NO_DEBT = "Sin deuda"
@@ -82,8 +75,6 @@ LEDGER_FILE_NAME = "cc_clientes.xlsx"
 # Required upload columns.
 REQUIRED_INVOICE_COLUMNS = ["Fecha", "Cliente", "Empresa", "Moneda", "Documento",
                             "Importe mon. principal", "Imp. usd", "Nivel 1 dimensión"]
-REQUIRED_LEDGER_COLUMNS = ["Fecha", "Fecha vencimiento", "Cliente", "Documento",
-                           "Debe ppal", "Haber ppal", "Saldo ppal"]
 
 # Post-run quality checks: required product columns.
 QUALITY_INVOICE_COLUMNS = ["fecha", "monto_total_ars"]

@@ -11,7 +11,9 @@ from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType,
 from arlens.functions.constants import AGING_BUCKETS
 
 # Day-first text layouts accepted, tried in order.
-DAYFIRST_PATTERNS = ["d/M/yyyy", "d-M-yyyy", "yyyy-MM-dd", "d/M/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss"]
+DAYFIRST_PATTERNS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy", "d.M.yy", "yyyy-MM-dd", "yyyy/M/d",
+                     "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+                     "yyyy-MM-dd'T'HH:mm:ss.SSS"]
 
 
 def _col(c) -> Column:

@@ -26,7 +26,8 @@ def accent_table() -> tuple[str, str]:
     Built by rule, not by hand: every code point in the Latin-1 Supplement,
     Latin Extended-A/B, Latin Extended Additional and the fullwidth ASCII
     block whose compatibility decomposition (NFKD) minus combining marks is a
-    single ASCII character maps to that character.
+    single ASCII character maps to that character; combining marks (a base
+    letter followed by its accent) are deleted.
     """
     ranges = [(0x00A0, 0x024F), (0x1E00, 0x1EFF), (0xFF01, 0xFF5E)]
     src, dst = [], []
@@ -37,7 +38,9 @@ def accent_table() -> tuple[str, str]:
             if len(base) == 1 and ord(base) < 128 and base != ch:
                 src.append(ch)
                 dst.append(base)
-    return "".join(src), "".join(dst)
+    # Combining marks have no counterpart in the target, so ``translate`` removes them.
+    marks = "".join(chr(cp) for cp in range(0x0300, 0x0370))
+    return "".join(src) + marks, "".join(dst)
 
 
 @lru_cache(maxsize=1)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arlens.functions.amounts import MONEY, clamp0, div_half_even
 from arlens.functions.constants import MOV_CHARGE, NO_CENTER
 from arlens.functions.dates import aging_bucket, days_overdue
 from arlens.functions.text import client_key
-from arlens.operators.windows import running_sum
+from arlens.operators.windows import SLICE, month_slice, slice_carry
 
 ITEM_COLUMNS = ["cliente", "cliente_norm", "documento_ref", "venc_comp", "saldo_abierto",
                 "dias_vencido_item", "centro_costo"]
@@ -29,20 +29,24 @@ def lifo_slices(led: DataFrame, debtors: DataFrame) -> DataFrame:
     ``min(charge, balance - charges before it)`` while that remainder is
     positive. ``debtors`` = ``(cliente, saldo_actual)`` with a positive balance.
 
-    The "charges before it" total is a running sum computed by range slices,
-    so one customer with a third of all charges is spread over many tasks.
-    An inner join keeps a debtor without charges out of this frame (it has no
-    open item; the aging summary left-joins it back).
+    Charges are summed per customer and due month first (partial aggregates);
+    the months that newer ones have not yet used up are joined with the charges,
+    which are shuffled once, by customer and month. Most charges of long
+    settled months never leave their task's shuffle output for the window, and
+    a customer with a third of all charges is spread over its months. A debtor
+    without charges has no open item; the aging summary left-joins it back.
     """
-    c = charges(led).select("cliente", "documento", "fecha", "fecha_vencimiento", "orden_origen", "debe")
+    c = (charges(led).select("cliente", "documento", "fecha", "fecha_vencimiento", "orden_origen", "debe")
+         .withColumn(SLICE, month_slice("fecha_vencimiento", latest_first=True)))
     d = debtors.filter(F.col("saldo_actual") > 0).select("cliente", "saldo_actual")
-    j = c.join(d, "cliente")
+    live = slice_carry(c, ["cliente"], "debe").join(d, "cliente").filter(F.col("_carry") < F.col("saldo_actual"))
     order = [F.col("fecha_vencimiento").desc_nulls_last(), F.col("fecha").desc_nulls_last(), F.col("orden_origen")]
-    j = running_sum(j, ["cliente"], order, "debe", "_before", exclusive=True)
-    remaining = F.col("saldo_actual") - F.col("_before")
-    return (j.filter(remaining > 0)
-             .withColumn("tramo", F.least(F.col("debe"), remaining).cast(MONEY))
-             .drop("_before"))
+    w = Window.partitionBy("cliente", SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    j = c.join(live, ["cliente", SLICE])
+    remaining = F.col("saldo_actual") - F.col("_carry") - F.coalesce(F.sum("debe").over(w), F.lit(0))
+    return (j.withColumn("_left", remaining).filter(F.col("_left") > 0)
+             .withColumn("tramo", F.least(F.col("debe"), F.col("_left")).cast(MONEY))
+             .drop("_left", "_carry", SLICE))
 
 
 def open_items(slices: DataFrame, as_of, centers: DataFrame | None = None) -> DataFrame:

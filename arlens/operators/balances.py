@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arlens.functions.amounts import MONEY, clamp0, div_half_even
+from arlens.functions.amounts import AMOUNT, MONEY, clamp0, div_half_even
 from arlens.functions.constants import SOURCE_COMPOSITION, SOURCE_LEDGER
 from arlens.functions.dates import aging_bucket, as_of_lit
 from arlens.operators.aging import aging_summary, lifo_slices
@@ -92,3 +92,30 @@ def client_balances_with_composition(led: DataFrame, comp_summary: DataFrame, as
             .withColumn("venc", pick(F.coalesce("venc_comp_min", "venc"), "venc"))
             .withColumn("fuente_aging", F.when(has, F.lit(SOURCE_COMPOSITION)).otherwise(F.lit(SOURCE_LEDGER))))
     return _finish(df, with_comp=True)
+
+
+def debt_base(bal: DataFrame) -> DataFrame:
+    """What every debt view adds up, per debtor: balance, overdue, not due, days
+    and longest days from the composition where its balance is positive, else
+    from the ledger; aging and source follow. ``bal`` comes from
+    :func:`client_balances_with_composition`."""
+    has = F.coalesce(F.col("saldo_composicion"), F.lit(0)) > 0
+
+    def pick(comp: str, own: str, kind) -> F.Column:
+        return F.when(has, F.coalesce(F.col(comp), F.lit(0))).otherwise(F.col(own)).cast(kind)
+
+    return bal.select(
+        "cliente",
+        pick("saldo_composicion", "saldo_actual", AMOUNT).alias("saldo_deuda"),
+        pick("saldo_vencido_comp", "saldo_vencido", AMOUNT).alias("saldo_vencido_base"),
+        pick("saldo_por_vencer_comp", "saldo_por_vencer", AMOUNT).alias("saldo_por_vencer_base"),
+        pick("dias_vencido_comp", "dias_vencido", "int").alias("dias_vencido_base"),
+        pick("dias_vencido_max_comp", "dias_vencido_max", "int").alias("dias_vencido_max_base"),
+        F.when(has, F.lit(SOURCE_COMPOSITION)).otherwise(F.lit(SOURCE_LEDGER)).alias("fuente_cc_base"),
+        "ratio_cobranza",
+    ).withColumn("aging_base", aging_bucket("dias_vencido_base"))
+
+
+def aging_sources(debt: DataFrame) -> DataFrame:
+    """Debtors and debt by the source their aging comes from."""
+    return debt.groupBy("fuente_cc_base").agg(F.count(F.lit(1)).alias("clientes"), F.sum("saldo_deuda").alias("saldo"))

@@ -40,22 +40,22 @@ def briefing(inv: DataFrame, bal: DataFrame, top: int = 5, months: int = 12, cri
                     .orderBy(F.col("anio").desc(), F.col("mes").desc()).limit(months))
     month_key = F.concat_ws("-", F.col("anio").cast("string"), F.lpad(F.col("mes").cast("string"), 2, "0"))
 
-    debt_tot = bal.agg(F.sum("saldo_actual").alias("deuda_total"),
-                       F.sum(F.when(F.col("aging") == AGING_CURRENT, F.col("saldo_actual"))).alias("al_dia"))
+    debt_tot = bal.agg(F.sum("saldo_deuda").alias("deuda_total"),
+                       F.sum(F.when(F.col("aging_base") == AGING_CURRENT, F.col("saldo_deuda"))).alias("al_dia"))
     debt_tot = debt_tot.select("deuda_total", F.coalesce("al_dia", F.lit(0)).alias("al_dia"),
                                (F.col("deuda_total") - F.coalesce("al_dia", F.lit(0))).alias("vencido"))
-    by_aging = bal.groupBy("aging").agg(F.sum("saldo_actual").alias("m"))
-    debtors = bal.groupBy("cliente").agg(F.sum("saldo_actual").alias("m"))
+    by_aging = bal.groupBy("aging_base").agg(F.sum("saldo_deuda").alias("m"))
+    debtors = bal.groupBy("cliente").agg(F.sum("saldo_deuda").alias("m"))
     top_debtors = debtors.orderBy(F.col("m").desc(), "cliente").limit(top)
-    critical = (bal.filter(F.col("dias_vencido") > BRIEFING_CRITICAL_DAYS).groupBy("cliente")
-                   .agg(F.sum("saldo_actual").alias("m")).orderBy(F.col("m").desc(), "cliente").limit(critical_top))
+    critical = (bal.filter(F.col("dias_vencido_base") > BRIEFING_CRITICAL_DAYS).groupBy("cliente")
+                   .agg(F.sum("saldo_deuda").alias("m")).orderBy(F.col("m").desc(), "cliente").limit(critical_top))
 
     parts = [
         _scalars(inv_tot, BILLING, ["total", "total_neto", "cantidad_facturas", "clientes_activos"]),
         _rows(top_clients, BILLING, "top_clientes", F.col("cliente"), F.col("m")),
         _rows(per_month, BILLING, "evolucion_mensual", month_key, F.col("m")),
         _scalars(debt_tot, DEBT, ["deuda_total", "al_dia", "vencido"]),
-        _rows(by_aging, DEBT, "aging", F.col("aging"), F.col("m")),
+        _rows(by_aging, DEBT, "aging", F.col("aging_base"), F.col("m")),
         _rows(top_debtors, DEBT, "top_deudores", F.col("cliente"), F.col("m")),
         _rows(critical, DEBT, "criticos", F.col("cliente"), F.col("m")),
     ]

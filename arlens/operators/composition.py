@@ -17,11 +17,13 @@ from arlens.functions.amounts import AMOUNT, clamp0, div_half_even, parse_local_
 from arlens.functions.constants import (COMPOSITION_HEADER_ROWS, COMPOSITION_ROLES, FLEX_BALANCE_TOKENS,
                                         FLEX_CLIENT_TOKENS, FLEX_HEADER_ROWS, NO_CENTER)
 from arlens.functions.dates import days_overdue, parse_dayfirst
-from arlens.functions.text import client_key, header_key, header_key_alnum, title_case
-from arlens.operators.windows import broadcast_if_small, forward_fill
+from arlens.functions.text import client_key, header_key, header_key_alnum, strip, title_case
+from arlens.operators.windows import forward_fill
 
 SHEET_KEYS = ["file", "sheet"]
 ROLE_ORDER = ["cliente", "centro", "saldo", "venc", "doc"]
+# Rows of a sheet that one task fills together.
+SLICE_ROWS = 10_000
 
 
 def _any(cols: list[Column]) -> Column:
@@ -73,17 +75,15 @@ def detect_header(grid: DataFrame) -> DataFrame:
 def data_rows(grid: DataFrame, header: DataFrame) -> DataFrame:
     """Rows below the header with the role cells picked by position.
 
-    ``header`` has one row per sheet and is cheap to compute (it reads only
-    the first rows of each sheet), so its size is checked and it is broadcast
-    when within bound: the grid is then never shuffled, even when one sheet
-    holds most of the rows. Beyond the bound the planner shuffles (and AQE
-    splits a skewed sheet).
+    ``header`` has one row per sheet; adaptive execution broadcasts it on its
+    measured bytes, and splits a skewed sheet where it is too large for that.
+    A row shorter than the header has nulls in the cells it lacks.
     """
-    j = grid.join(broadcast_if_small(header), SHEET_KEYS).filter(F.col("row_idx") > F.col("header_row"))
+    j = grid.join(header, SHEET_KEYS).filter(F.col("row_idx") > F.col("header_row"))
 
     def pick(role):
         return F.when(F.col(f"pos_{role}").isNotNull(),
-                      F.element_at(F.col("cells"), (F.col(f"pos_{role}") + 1).cast("int")))
+                      F.try_element_at(F.col("cells"), (F.col(f"pos_{role}") + 1).cast("int")))
 
     return j.select(*SHEET_KEYS, "row_idx",
                     pick("cliente").alias("cliente_raw"), pick("centro").alias("centro_raw"),
@@ -97,7 +97,8 @@ def filled_rows(grid: DataFrame, header: DataFrame | None = None) -> DataFrame:
     rows = data_rows(grid, header if header is not None else detect_header(grid))
     rows = (rows.withColumn("cliente_raw", F.when(F.col("cliente_raw") != "", F.col("cliente_raw")))
                 .withColumn("centro_raw", F.when(F.col("centro_raw") != "", F.col("centro_raw"))))
-    return forward_fill(rows, SHEET_KEYS, [F.col("row_idx")], ["cliente_raw", "centro_raw"])
+    return forward_fill(rows, SHEET_KEYS, [F.col("row_idx")], ["cliente_raw", "centro_raw"],
+                        F.floor(F.col("row_idx") / SLICE_ROWS).cast("long"))
 
 
 def composition_items(grid: DataFrame, as_of, header: DataFrame | None = None) -> DataFrame:
@@ -111,10 +112,10 @@ def composition_items(grid: DataFrame, as_of, header: DataFrame | None = None) -
         *SHEET_KEYS, "row_idx",
         cliente.alias("cliente"),
         client_key(cliente).alias("cliente_norm"),
-        F.when(F.col("has_centro"), F.trim("centro_raw")).otherwise(F.lit(NO_CENTER)).alias("centro_costo"),
+        F.when(F.col("has_centro"), strip("centro_raw")).otherwise(F.lit(NO_CENTER)).alias("centro_costo"),
         parse_local_amount("saldo_raw").alias("saldo_abierto"),
         parse_dayfirst("venc_raw").alias("venc_comp"),
-        F.when(F.col("has_doc"), F.trim("doc_raw")).otherwise(F.lit("")).alias("documento_ref"),
+        F.when(F.col("has_doc"), strip("doc_raw")).otherwise(F.lit("")).alias("documento_ref"),
     ).filter((F.col("cliente_norm") != "") & (F.col("saldo_abierto") > 0))
     dias = days_overdue(as_of, "venc_comp")
     return (items.withColumn("dias_vencido_item", dias)
@@ -178,7 +179,7 @@ def flexible_check(grid: DataFrame) -> DataFrame:
     containing a customer token and one containing a balance token."""
     cells = (grid.filter(F.col("row_idx") < FLEX_HEADER_ROWS)
                  .select(*SHEET_KEYS, "row_idx", F.explode("cells").alias("cell"))
-                 .filter(F.col("cell").isNotNull() & (F.trim("cell") != ""))
+                 .filter(F.col("cell").isNotNull() & (strip("cell") != ""))
                  .withColumn("k", header_key_alnum("cell")))
     per_row = cells.groupBy(*SHEET_KEYS, "row_idx").agg(
         F.max(_any([F.col("k").contains(t) for t in FLEX_CLIENT_TOKENS])).alias("has_client"),

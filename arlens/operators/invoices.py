@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arlens.functions.amounts import MONEY, to_money
-from arlens.functions.constants import COMPANY_MAP, CREDIT_NOTE_TYPES, CURRENCY_MAP
+from arlens.functions.constants import CREDIT_NOTE_TYPES, CURRENCY_MAP
 from arlens.functions.dates import month_label, parse_dayfirst
 from arlens.functions.text import strip, title_case
 
@@ -36,7 +36,10 @@ INVOICE_EXPORT_COLUMNS = {
 
 INVOICE_COLUMNS = ["fecha", "numero_comprobante", "cliente", "empresa", "tipo_documento", "moneda_iso",
                    "razon_social", "es_nota_credito", "monto_total_ars", "monto_neto_ars", "monto_usd",
-                   "importe_pendiente", "anio", "mes", "mes_nombre", "linea_negocio"]
+                   "importe_pendiente", "anio", "mes", "mes_nombre", "linea_negocio", "iva", "condicion_pago", "producto",
+                   "descripcion_item", "descripcion", "situacion", "dim_valor", "cantidad"]
+# Text columns of the export that pass through unchanged; absent ones are null.
+PLAIN_COLUMNS = ["condicion_pago", "producto", "descripcion_item", "descripcion", "situacion", "dim_valor"]
 
 
 def _map_or_keep(c, mapping: dict) -> F.Column:
@@ -50,21 +53,22 @@ def landing_from_export(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in INVOICE_EXPORT_COLUMNS.items() if k in df.columns})
 
 
-def clean_invoices(raw: DataFrame, company_map: dict | None = None) -> DataFrame:
+def clean_invoices(raw: DataFrame, company_map: dict[str, str]) -> DataFrame:
     """Typed invoice lines.
 
     Day-first dates (bad -> null), amounts coerced (bad -> 0), names trimmed and
     title-cased, currency/company mapped with pass-through, credit-note flag,
     derived amounts, year/month/label, business line without its ``NN_``
-    prefix. Optional amount columns that are absent count as 0.
+    prefix. Optional amount columns that are absent count as 0. ``company_map``
+    gives the scope of each company label; export headers are accepted.
     """
+    raw = landing_from_export(raw)
     cols = set(raw.columns)
-    types = dict(raw.dtypes)
 
     def money(c):
         if c not in cols:
             return F.lit(0).cast(MONEY)
-        return to_money(c) if types[c] == "string" else to_money(c, raw.schema[c].dataType)
+        return to_money(c)
 
     def text(c):
         return strip(c) if c in cols else F.lit(None).cast("string")
@@ -87,11 +91,13 @@ def clean_invoices(raw: DataFrame, company_map: dict | None = None) -> DataFrame
         money("importe_principal").alias("monto_total_ars"),
         money("imp_usd").alias("monto_usd"),
         money("importe_pendiente").alias("importe_pendiente"),
+        money("iva").alias("iva"), money("cantidad").alias("cantidad"),
+        *[(F.col(c).cast("string") if c in cols else F.lit(None).cast("string")).alias(c) for c in PLAIN_COLUMNS],
     )
     return df.select(
         "fecha", "numero_comprobante", "cliente", "empresa", "tipo_documento",
         _map_or_keep(F.col("moneda"), CURRENCY_MAP).alias("moneda_iso"),
-        _map_or_keep(F.col("empresa"), company_map or COMPANY_MAP).alias("razon_social"),
+        _map_or_keep(F.col("empresa"), company_map).alias("razon_social"),
         F.coalesce(F.col("tipo_documento").isin(*CREDIT_NOTE_TYPES), F.lit(False)).alias("es_nota_credito"),
         "monto_total_ars",
         (F.col("_gravado") + F.col("_no_gravado")).cast(MONEY).alias("monto_neto_ars"),
@@ -99,7 +105,7 @@ def clean_invoices(raw: DataFrame, company_map: dict | None = None) -> DataFrame
         F.year("fecha").alias("anio"), F.month("fecha").alias("mes"),
         month_label("fecha").alias("mes_nombre"),
         F.regexp_replace(F.col("nivel_dimension"), r"^\d+_", "").alias("linea_negocio"),
-        "moneda", "nivel_dimension",
+        "iva", *PLAIN_COLUMNS, "cantidad", "moneda", "nivel_dimension",
     )
 
 

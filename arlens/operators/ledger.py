@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arlens.functions.amounts import MONEY, to_money
+from arlens.functions.amounts import MONEY, RATE, to_money, to_rate
 from arlens.functions.constants import (COLLECTION_PREFIXES, MOV_CHARGE, MOV_COLLECTION, MOV_OPENING,
                                         RECONCILE_TOLERANCE)
 from arlens.functions.dates import parse_dayfirst
-from arlens.functions.text import title_case
-from arlens.operators.windows import running_sum
+from arlens.functions.text import strip, title_case
+from arlens.operators.windows import month_slice, running_sum
 
 LEDGER_EXPORT_COLUMNS = {
     "Fecha": "fecha",
@@ -33,8 +33,8 @@ def movement_type(doc) -> Column:
     """Opening when blank or ``Saldo Inicial``; collection/credit note when the
     text before ``" - "`` (upper-cased) starts with a collection prefix;
     otherwise a charge."""
-    d = F.coalesce(F.trim(F.col(doc) if isinstance(doc, str) else doc), F.lit(""))
-    prefix = F.upper(F.trim(F.split(d, " - ", 2).getItem(0)))
+    d = F.coalesce(strip(doc), F.lit(""))
+    prefix = F.upper(strip(F.split(d, " - ", 2).getItem(0)))
     is_collection = reduce(lambda a, b: a | b, [prefix.startswith(p) for p in COLLECTION_PREFIXES])
     return (F.when(d.isin("", MOV_OPENING), F.lit(MOV_OPENING))
              .when(is_collection, F.lit(MOV_COLLECTION))
@@ -44,29 +44,31 @@ def movement_type(doc) -> Column:
 def clean_ledger(raw: DataFrame) -> DataFrame:
     """Typed movements with the movement type.
 
-    ``orden_origen`` (the export's row order, used to break date ties) is kept
-    when landed, else taken from ``monotonically_increasing_id`` which follows
-    file order. Optional columns (description, secondary rate) default to
-    ``""`` / 0.
+    ``orden_origen`` (the export's row order, used to break date ties)
+    must be landed: no row order survives a scan of several files. Optional
+    columns (description, secondary rate) default to ``""`` / 0; the rate keeps
+    ten decimals.
     """
     raw = raw.withColumnsRenamed({k: v for k, v in LEDGER_EXPORT_COLUMNS.items() if k in raw.columns})
     cols = set(raw.columns)
     sch = {f.name: f.dataType for f in raw.schema.fields}
 
     def money(c):
-        return to_money(c, sch[c]) if c in cols else F.lit(0).cast(MONEY)
+        return to_money(c) if c in cols else F.lit(0).cast(MONEY)
 
-    orden = F.col("orden_origen").cast("long") if "orden_origen" in cols else F.monotonically_increasing_id()
+    if "orden_origen" not in cols:
+        raise ValueError("the ledger landing needs orden_origen, the row order of the export")
+    orden = F.col("orden_origen").cast("long")
     return raw.select(
         orden.alias("orden_origen"),
         title_case("cliente").alias("cliente"),
-        F.coalesce(F.trim(F.col("documento").cast("string")), F.lit("")).alias("documento"),
+        F.coalesce(strip(F.col("documento").cast("string")), F.lit("")).alias("documento"),
         (F.coalesce(F.col("descripcion").cast("string"), F.lit("")) if "descripcion" in cols
          else F.lit("")).alias("descripcion"),
         parse_dayfirst("fecha", sch["fecha"]).alias("fecha"),
         parse_dayfirst("fecha_vencimiento", sch["fecha_vencimiento"]).alias("fecha_vencimiento"),
         money("debe").alias("debe"), money("haber").alias("haber"), money("saldo").alias("saldo"),
-        money("cotizacion").alias("cotizacion"),
+        (to_rate("cotizacion") if "cotizacion" in cols else F.lit(0).cast(RATE)).alias("cotizacion"),
     ).withColumn("tipo", movement_type("documento"))
 
 
@@ -94,12 +96,12 @@ def movement_mix(led: DataFrame) -> DataFrame:
 
 def running_balance(led: DataFrame) -> DataFrame:
     """Recompute the balance the export carries: opening balance, then
-    debit - credit, accumulated in ledger order per customer (hot customers
-    are split across tasks by the slice helper)."""
+    debit - credit, accumulated in ledger order per customer (a customer's
+    months are separate slices, so a hot one is spread over tasks)."""
     step = F.when(F.col("tipo") == MOV_OPENING, F.col("saldo")).otherwise(F.col("debe") - F.col("haber"))
     base = _valid_client(led).select("cliente", "orden_origen", "fecha", "saldo", step.alias("_step"))
     out = running_sum(base, ["cliente"], [F.col("fecha").asc_nulls_first(), F.col("orden_origen")],
-                      "_step", "saldo_recalculado")
+                      "_step", "saldo_recalculado", month_slice("fecha"))
     return out.select("cliente", "orden_origen", "saldo", F.col("saldo_recalculado").cast(MONEY).alias("saldo_recalculado"))
 
 

@@ -7,19 +7,16 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from arlens.functions.amounts import MONEY
-from arlens.functions.text import title_case
+from arlens.functions.text import strip, title_case
+from arlens.operators.aging import open_items_source
 
 INCLUDE = "Incluir"
 EXCLUDE = "Excluir"
-# Lists longer than this become a semi/anti join instead of IN (...); lists up
-# to BROADCAST_LIST_MAX entries (their size is known on the driver) are broadcast.
-INLINE_LIST_MAX = 1000
-BROADCAST_LIST_MAX = 1_000_000
 
 PERMISSIONS_SCHEMA = StructType([
     StructField("superusers", ArrayType(StringType())),
@@ -35,7 +32,9 @@ PERMISSIONS_SCHEMA = StructType([
 
 @dataclass
 class ScopeSpec:
-    """What a dashboard user selected. Empty lists mean "no filter"."""
+    """What a dashboard user selected. Empty lists mean "no filter"; without
+    dates the default window holds (from January 1 of the last year), unless
+    ``all_dates`` is set."""
     desde: _dt.date | None = None
     hasta: _dt.date | None = None
     empresa: str | None = None            # "Local" / "Internacional" / None = all
@@ -43,6 +42,7 @@ class ScopeSpec:
     clientes_modo: str = INCLUDE
     centros: list[str] = field(default_factory=list)
     centros_modo: str = INCLUDE
+    all_dates: bool = False
 
 
 def date_bounds(inv: DataFrame, desde=None, hasta=None) -> DataFrame:
@@ -71,18 +71,11 @@ def date_window(inv: DataFrame, desde=None, hasta=None) -> DataFrame:
 def in_list(df: DataFrame, col: str, values: list[str], mode: str = INCLUDE, key: Column | None = None) -> DataFrame:
     """Keep (include) or drop (exclude) rows whose ``col`` is in ``values``.
 
-    Short lists are an ``IN`` predicate (pushed to the scan when ``col`` is a
-    stored column); long lists become a broadcast ``left_semi`` /
-    ``left_anti`` join against a one-column frame whose size is the list's.
+    The list becomes a one-column frame and a semi or anti join, whatever its
+    length; adaptive execution picks the join on measured bytes.
     """
     k = key if key is not None else F.col(col)
-    if len(values) <= INLINE_LIST_MAX:
-        cond = k.isin(*values)
-        return df.filter(cond) if mode == INCLUDE else df.filter(~F.coalesce(cond, F.lit(False)))
-    spark = df.sparkSession
-    lst = spark.createDataFrame([(v,) for v in values], "_v string")
-    if len(values) <= BROADCAST_LIST_MAX:
-        lst = F.broadcast(lst)
+    lst = df.sparkSession.createDataFrame([(v,) for v in values], "_v string")
     keyed = df.withColumn("_k", k)
     how = "left_semi" if mode == INCLUDE else "left_anti"
     return keyed.join(lst, keyed["_k"] == lst["_v"], how).drop("_k")
@@ -91,7 +84,7 @@ def in_list(df: DataFrame, col: str, values: list[str], mode: str = INCLUDE, key
 def apply_scope(inv: DataFrame, spec: ScopeSpec) -> DataFrame:
     """Invoices inside a user's selection (dated rows only, like the window)."""
     out = inv.filter(F.col("fecha").isNotNull())
-    if spec.desde is not None or spec.hasta is not None:
+    if not spec.all_dates:
         bounds = date_bounds(inv, spec.desde, spec.hasta).select(F.struct("desde", "hasta")).scalar()
         out = out.filter(F.col("fecha").between(bounds["desde"], bounds["hasta"]))
     if spec.empresa:
@@ -100,10 +93,56 @@ def apply_scope(inv: DataFrame, spec: ScopeSpec) -> DataFrame:
         out = in_list(out, "cliente", [c.strip().title() for c in spec.clientes], spec.clientes_modo)
     if spec.centros:
         out = in_list(out, "linea_negocio", [c.strip() for c in spec.centros], spec.centros_modo,
-                      key=F.trim("linea_negocio"))
+                      key=strip("linea_negocio"))
     return out
 
 
+@dataclass
+class Scoped:
+    """Every frame of the views inside one selection."""
+    invoices: DataFrame
+    balances: DataFrame
+    movements: DataFrame
+    items: DataFrame
+
+
+def scope_frames(inv: DataFrame, bal: DataFrame, led: DataFrame, items: DataFrame, spec: ScopeSpec, as_of) -> Scoped:
+    """A selection applied to invoices, balances, movements and items: customers
+    by name everywhere; centres on invoices and items, and through the customers
+    these leave also on balances and movements. If the centres leave no item,
+    items are derived again from the scoped ledger."""
+    names = [c.strip().title() for c in spec.clientes]
+
+    def by_name(df: DataFrame) -> DataFrame:
+        return in_list(df, "cliente", names, spec.clientes_modo) if names else df
+
+    invoices, bal, led, items = apply_scope(inv, spec), by_name(bal), by_name(led), by_name(items)
+    if spec.centros:
+        centres = [c.strip() for c in spec.centros]
+        items = in_list(items, "centro_costo", centres, spec.centros_modo, key=strip("centro_costo"))
+        keys = (invoices.select("cliente").unionByName(items.select("cliente")).filter(F.col("cliente").isNotNull()).distinct())
+        bal, led = restrict_to_clients(bal, keys), restrict_to_clients(led, keys)
+        items = open_items_source(items, led, bal, as_of)
+    return Scoped(invoices, bal, led, items)
+
+
+def visible_rows(inv: DataFrame, grants: DataFrame, user: str) -> DataFrame:
+    """The invoice rows ``user`` may see: all for a superuser or a user without
+    lists, else those its customer and centre lists include or do not exclude.
+    An include list that matches nothing shows nothing; so does an unknown user."""
+    mine = grants.filter(F.col("usuario") == user)
+    facts = mine.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("ambito") == "superuser"), F.lit(False)).alias("all"),
+                              *[F.max(F.when((F.col("ambito") == a) & F.col("valor").isNotNull(), F.col("modo"))).alias(a)
+                                for a in ("clientes", "centros")])).scalar()
+    out = inv.withColumn("_linea", strip("linea_negocio"))
+    for scope, key in (("clientes", "cliente"), ("centros", "_linea")):
+        listed = mine.filter((F.col("ambito") == scope) & F.col("valor").isNotNull()).select(F.col("valor").alias("_v")).distinct()
+        out = out.join(listed, F.col(key) == F.col("_v"), "left")
+        hit = F.col("_v").isNotNull()
+        out = out.filter(facts["all"] | facts[scope].isNull() | F.when(facts[scope] == INCLUDE, hit).otherwise(~hit)).drop("_v")
+    return out.filter(facts["n"] > 0).drop("_linea")
+
+
 def billing_by(df: DataFrame, key: str, out_key: str | None = None) -> DataFrame:
     return df.groupBy(F.col(key).alias(out_key or key)).agg(
         F.count(F.lit(1)).alias("filas"), F.sum("monto_total_ars").alias("monto"))
@@ -127,7 +166,7 @@ def permission_rows(doc: DataFrame) -> DataFrame:
     ctr = users.select("usuario", F.lit("centros").alias("ambito"),
                        F.coalesce("u.centros_modo", F.lit(EXCLUDE)).alias("modo"),
                        F.explode_outer("u.centros").alias("valor")) \
-        .withColumn("valor", F.trim("valor"))
+        .withColumn("valor", strip("valor"))
     return supers.unionByName(cli).unionByName(ctr)
 
 
@@ -143,7 +182,7 @@ def rows_per_user(inv: DataFrame, grants: DataFrame) -> DataFrame:
     inc/inc = CL, inc C/exc L = C - CL, exc C/inc L = L - CL,
     exc/exc = T - C - L + CL.
     """
-    cube = inv.groupBy("cliente", F.trim("linea_negocio").alias("linea")).agg(
+    cube = inv.groupBy("cliente", strip("linea_negocio").alias("linea")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("monto_total_ars").alias("m"))
     total = cube.agg(F.struct(F.sum("n").alias("n"), F.sum("m").alias("m"))).scalar()
     t_n, t_m = total["n"], total["m"]
@@ -155,8 +194,12 @@ def rows_per_user(inv: DataFrame, grants: DataFrame) -> DataFrame:
     def sums(df, name):
         return df.groupBy("usuario").agg(F.sum("n").alias(f"{name}_n"), F.sum("m").alias(f"{name}_m"))
 
-    s_c = sums(cube.join(cli, "cliente"), "c")
-    s_l = sums(cube.join(ctr, "linea"), "l")
+    # Summed per customer and per line before users are joined, so a user meets each key once.
+    def per(key: str) -> DataFrame:
+        return cube.groupBy(key).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+    s_c = sums(per("cliente").join(cli, "cliente"), "c")
+    s_l = sums(per("linea").join(ctr, "linea"), "l")
     s_cl = sums(cube.join(cli, "cliente").join(ctr, ["usuario", "linea"]), "cl")
 
     users = grants.groupBy("usuario").agg(
@@ -194,9 +237,9 @@ def rows_per_user(inv: DataFrame, grants: DataFrame) -> DataFrame:
 def clients_of_centers(inv: DataFrame, items: DataFrame | None, centers: list[str], mode: str = INCLUDE) -> DataFrame:
     """Customers related to the selected centres through invoices (line) and
     composition items (centre)."""
-    keys = in_list(inv, "linea_negocio", centers, mode, key=F.trim("linea_negocio")).select("cliente")
+    keys = in_list(inv, "linea_negocio", centers, mode, key=strip("linea_negocio")).select("cliente")
     if items is not None:
-        keys = keys.unionByName(in_list(items, "centro_costo", centers, mode, key=F.trim("centro_costo"))
+        keys = keys.unionByName(in_list(items, "centro_costo", centers, mode, key=strip("centro_costo"))
                                 .select("cliente"))
     return keys.filter(F.col("cliente").isNotNull()).distinct()
 
@@ -209,7 +252,7 @@ def restrict_to_clients(df: DataFrame, clients: DataFrame) -> DataFrame:
 def center_impact(inv: DataFrame) -> DataFrame:
     """Distinct customers billed per centre (business line)."""
     return (inv.filter(F.col("cliente").isNotNull())
-               .groupBy(F.trim("linea_negocio").alias("centro"))
+               .groupBy(strip("linea_negocio").alias("centro"))
                .agg(F.count_distinct("cliente").alias("clientes")))
 
 
@@ -221,7 +264,3 @@ def option_list(frames: list[tuple[DataFrame, Column]], name: str) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     out = out.filter(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
     return out.orderBy(name)
-
-
-def session_for(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arlens.functions.amounts import MONEY, div_half_even
+from arlens.functions.amounts import AMOUNT, MONEY, div_half_even
 from arlens.functions.constants import AGING_CRITICAL, KPI_BILLING_DAYS, KPI_COVERAGE_DAYS, NO_DEBT
 from arlens.functions.dates import aging_bucket
 from arlens.functions.text import client_key, line_label
 from arlens.operators.ledger import ledger_order
-from arlens.operators.windows import broadcast_if_small
 
 LOCAL = "Local"
 INTERNATIONAL = "Internacional"
@@ -95,8 +94,8 @@ def billing_vs_debt(inv: DataFrame, bal: DataFrame) -> DataFrame:
     and days overdue; customers on one side only get zeros / ``Sin deuda``."""
     fact = (inv.filter((F.col("moneda_iso") == "ARS") & F.col("cliente").isNotNull())
                .groupBy("cliente").agg(F.sum("monto_total_ars").alias("facturado_ars")))
-    debt = bal.select("cliente", F.col("saldo_actual").alias("deuda_ars"), "saldo_vencido", "ratio_cobranza",
-                      "aging", "dias_vencido")
+    debt = bal.select("cliente", F.col("saldo_deuda").alias("deuda_ars"), F.col("saldo_vencido_base").alias("saldo_vencido"),
+                      "ratio_cobranza", F.col("aging_base").alias("aging"), F.col("dias_vencido_base").alias("dias_vencido"))
     zero = F.lit(0).cast(MONEY)
     j = fact.join(debt, "cliente", "full")
     return j.select(
@@ -111,14 +110,15 @@ def billing_vs_debt(inv: DataFrame, bal: DataFrame) -> DataFrame:
 
 def debtor_top(bal: DataFrame, n: int = 10) -> DataFrame:
     """Top ``n`` debtors by balance (ties: overdue, days, name)."""
-    return (bal.orderBy(F.col("saldo_actual").desc(), F.col("saldo_vencido").desc(), F.col("dias_vencido").desc(),
+    return (bal.orderBy(F.col("saldo_deuda").desc(), F.col("saldo_vencido_base").desc(), F.col("dias_vencido_base").desc(),
                         F.col("cliente")).limit(n))
 
 
 def top_debtors(bal: DataFrame, n: int = 10) -> DataFrame:
     """Top debtors table plus a ``TOTAL`` row summing balance and overdue."""
-    top = debtor_top(bal, n).select("cliente", F.col("saldo_actual").alias("saldo"),
-                                    F.col("saldo_vencido").alias("vencido"), "dias_vencido", "aging")
+    top = debtor_top(bal, n).select("cliente", F.col("saldo_deuda").alias("saldo"),
+                                    F.col("saldo_vencido_base").alias("vencido"),
+                                    F.col("dias_vencido_base").alias("dias_vencido"), F.col("aging_base").alias("aging"))
     total = top.agg(F.sum("saldo").alias("saldo"), F.sum("vencido").alias("vencido")).select(
         F.lit("TOTAL").alias("cliente"), "saldo", "vencido",
         F.lit(None).cast("int").alias("dias_vencido"), F.lit(None).cast("string").alias("aging"))
@@ -127,38 +127,56 @@ def top_debtors(bal: DataFrame, n: int = 10) -> DataFrame:
 
 def debt_totals(bal: DataFrame) -> DataFrame:
     """Total, overdue and critical (+90) debt and the critical share of overdue."""
-    g = bal.agg(F.sum("saldo_actual").alias("deuda_total"), F.sum("saldo_vencido").alias("deuda_vencida"),
-                F.sum(F.when(F.col("aging") == AGING_CRITICAL, F.col("saldo_vencido"))).alias("deuda_critica"))
-    zero = F.lit(0).cast(MONEY)
+    g = bal.agg(F.sum("saldo_deuda").alias("deuda_total"), F.sum("saldo_vencido_base").alias("deuda_vencida"),
+                F.sum(F.when(F.col("aging_base") == AGING_CRITICAL, F.col("saldo_vencido_base"))).alias("deuda_critica"))
+    zero = F.lit(0).cast(AMOUNT)
     g = g.select(*[F.coalesce(c, zero).alias(c) for c in ("deuda_total", "deuda_vencida", "deuda_critica")])
-    return g.withColumn("pct_critica", div_half_even(F.col("deuda_critica") * 100, F.col("deuda_vencida"), 2))
+    return g.withColumn("pct_critica", div_half_even(F.col("deuda_critica") * 100, F.col("deuda_vencida"), 2, in_scale=6))
+
+
+def selected_items(items: DataFrame, selected: DataFrame) -> DataFrame:
+    """Open items of the selected customers, matched on the name key and tagged
+    with the selection's name."""
+    sel = selected.select(F.col("cliente").alias("seleccion"), client_key("cliente").alias("cliente_norm"))
+    return items.filter(F.col("saldo_abierto") > 0).join(sel, "cliente_norm")
 
 
 def open_items_drill(items: DataFrame, selected: DataFrame) -> DataFrame:
-    """Open items of the selected customers (matched on the name key), tagged
-    with the selection, item aging label, most overdue first.
-    ``selected`` is a pick list (e.g. a top-k result); it is broadcast after
-    its size is checked."""
-    sel = broadcast_if_small(selected.select(F.col("cliente").alias("seleccion"),
-                                             client_key("cliente").alias("cliente_norm")))
-    j = items.filter(F.col("saldo_abierto") > 0).join(sel, "cliente_norm")
-    return (j.select(F.col("seleccion").alias("cliente"), "documento_ref", F.col("venc_comp").alias("venc"),
-                     F.col("dias_vencido_item").alias("dias"), aging_bucket("dias_vencido_item").alias("estado"),
-                     F.col("saldo_abierto").alias("saldo"))
-             .orderBy(F.col("dias").desc(), "cliente", "documento_ref"))
-
-
-def fmt_money(c) -> Column:
-    """``$ 1,234`` (half-even to units), blank when zero."""
+    """Open items of the selected customers with centre and aging label, most overdue first."""
+    return (selected_items(items, selected)
+            .select(F.col("seleccion").alias("cliente"), "documento_ref", "centro_costo", F.col("venc_comp").alias("venc"),
+                    F.col("dias_vencido_item").alias("dias"), aging_bucket("dias_vencido_item").alias("estado"),
+                    F.col("saldo_abierto").alias("saldo"))
+            .orderBy(F.col("dias").desc(), "cliente", "documento_ref"))
+
+
+def selection_totals(debt: DataFrame, items: DataFrame, selected: DataFrame) -> DataFrame:
+    """One row for a selection of customers: how many, their debt and overdue,
+    the longest days, and number and balance of their open items."""
+    chosen = debt.join(selected.select("cliente"), "cliente", "left_semi")
+    of_items = selected_items(items, selected).agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("saldo_abierto").alias("s"))).scalar()
+    return chosen.agg(F.count(F.lit(1)).alias("clientes"), F.sum("saldo_deuda").alias("saldo"),
+                      F.sum("saldo_vencido_base").alias("vencido"), F.max("dias_vencido_base").alias("dias_vencido_max")).select(
+        "*", of_items["n"].alias("items"), of_items["s"].alias("saldo_items"))
+
+
+def fmt_money(c, symbol: str = "$") -> Column:
+    """``$ 1,234`` or ``USD 1,234`` (half-even to units), blank when zero."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(col == 0, F.lit("")).otherwise(F.concat(F.lit(f"{symbol} "), F.format_number(col, 0)))
+
+
+def fmt_percent(c) -> Column:
+    """``12.3%``."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.when(col == 0, F.lit("")).otherwise(F.concat(F.lit("$ "), F.format_number(col, 0)))
+    return F.concat(F.format_number(col, 1), F.lit("%"))
 
 
 def client_statement(led: DataFrame, cliente: Column | str) -> DataFrame:
     """One customer's movements in date order with display amounts."""
     who = F.lit(cliente) if isinstance(cliente, str) else cliente
     m = led.filter(F.col("cliente") == who)
-    return m.select("orden_origen", "fecha", "documento", F.col("fecha_vencimiento").alias("vencimiento"), "tipo",
+    return m.select("orden_origen", "fecha", "documento", "descripcion", F.col("fecha_vencimiento").alias("vencimiento"), "tipo",
                     "debe", "haber", "saldo",
                     fmt_money("debe").alias("debe_fmt"), fmt_money("haber").alias("haber_fmt"),
                     fmt_money("saldo").alias("saldo_fmt"),
@@ -186,9 +204,9 @@ def kpi_financial(inv: DataFrame, bal: DataFrame) -> DataFrame:
     debt concentration; share of overdue held by customers <= 30 days overdue;
     90-day billing. Zero denominators give 0. Sums are exact decimals; the
     ratios are DOUBLE arithmetic in a fixed order."""
-    b = bal.agg(F.sum("saldo_actual").alias("deuda"), F.sum("saldo_vencido").alias("venc"),
-                F.sum(F.when(F.col("dias_vencido") <= KPI_COVERAGE_DAYS, F.col("saldo_vencido"))).alias("v30"))
-    top5 = bal.select("saldo_actual").orderBy(F.col("saldo_actual").desc()).limit(5).agg(F.sum("saldo_actual")).scalar()
+    b = bal.agg(F.sum("saldo_deuda").alias("deuda"), F.sum("saldo_vencido_base").alias("venc"),
+                F.sum(F.when(F.col("dias_vencido_base") <= KPI_COVERAGE_DAYS, F.col("saldo_vencido_base"))).alias("v30"))
+    top5 = bal.select("saldo_deuda").orderBy(F.col("saldo_deuda").desc()).limit(5).agg(F.sum("saldo_deuda")).scalar()
     fmax = inv.agg(F.max("fecha")).scalar()
     fact90 = inv.filter(F.col("fecha") >= F.date_sub(fmax, KPI_BILLING_DAYS - 1)).agg(F.sum("monto_total_ars")).scalar()
     d = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))

@@ -2,16 +2,17 @@
 
 A plain ``Window.partitionBy(group).orderBy(...)`` puts every row of a group in
 one task; if one customer (or one sheet) holds a third of the rows, that task
-holds a third of the data. The helpers here split each group into *slices*:
-
-1. ``repartitionByRange`` on ``(group, order)`` cuts the global order into
-   ``n`` balanced ranges; a hot group spans many ranges. The range id becomes
-   the slice id.
-2. The window runs per ``(group, slice)`` -- at most one range of rows.
-3. Per ``(group, slice)`` totals give each slice the carry from the slices
-   before it. Only a group that spans several slices needs a carry, and at
-   most ``n - 1`` groups can span a slice boundary, so the carry table has
-   fewer than ``2 n`` rows: a proven bound, so it is broadcast.
+holds a third of the data. The helpers here split each group into *slices* that
+come from the data (a month, a block of row numbers), so they need no sampling
+pass and are the same on every evaluation:
+
+1. ``slice_by`` must not fall along the order of the rows.
+2. Per (group, slice) totals are partial aggregates; a window over these few
+   rows gives each slice the carry from the slices before it.
+3. The rows are shuffled once, by (group, slice); the window inside a slice and
+   the join with the carry both use that partitioning.
+
+Group columns must not be null.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arlens.session import checkpoint_dir, default_slices
-
 SLICE = "_slice"
 
 
@@ -30,118 +29,56 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
+def month_slice(date: str, latest_first: bool = False) -> Column:
+    """Calendar month of ``date`` as a slice; a missing date is in the first
+    slice, or in the last one if the latest month comes first."""
+    month = F.year(date) * 12 + F.month(date)
+    return F.coalesce(-month, F.lit(10_000_000)) if latest_first else F.coalesce(month, F.lit(-10_000_000))
 
-def sliced(df: DataFrame, group_cols: Sequence[str], order: Sequence, slices: int | None = None) -> DataFrame:
-    """Range-partition on (group, order) and stamp each row with its range id.
 
-    The stamped frame is read by two branches (the per-slice window and the
-    per-slice totals). Range bounds come from sampling the input, and the
-    input of an exchange after a shuffle has no fixed row order, so two
-    evaluations could cut different ranges. A reliable ``checkpoint()`` into
-    the shared checkpoint folder fixes the slices once, cuts the lineage and
-    survives executor loss.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = slices or default_slices(spark)
-    stamped = (df.repartitionByRange(n, *_cols(group_cols), *_cols(order))
-                 .withColumn(SLICE, F.spark_partition_id()))
-    return stamped.checkpoint(eager=True)
+def slice_carry(rows: DataFrame, group_cols: Sequence[str], value: str) -> DataFrame:
+    """(group, slice, _carry): sum of ``value`` in the group's earlier slices."""
+    parts = rows.groupBy(*group_cols, SLICE).agg(F.sum(value).alias("_part"))
+    before = Window.partitionBy(*group_cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*group_cols, SLICE, F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_carry"))
 
 
-def _carry(parts: DataFrame, group_cols: Sequence[str], value: str, combine: str) -> DataFrame:
-    """Carry from earlier slices for groups spanning more than one slice."""
-    by_group = Window.partitionBy(*group_cols)
-    before = Window.partitionBy(*group_cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    spans = parts.withColumn("_nslices", F.count(F.lit(1)).over(by_group)).filter(F.col("_nslices") > 1)
-    if combine == "sum":
-        carried = F.sum(value).over(before)
-    else:  # last non-null value of the earlier slices
-        carried = F.last(value, ignorenulls=True).over(before)
-    out = spans.withColumn("_carry", carried).filter(F.col("_carry").isNotNull())
-    # At most (slices - 1) groups cross a slice boundary: < 2 * slices rows.
-    return F.broadcast(out.select(*group_cols, SLICE, "_carry"))
-
-
-def running_sum(df: DataFrame, group_cols: Sequence[str], order: Sequence, value, out: str,
-                exclusive: bool = False, slices: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, group_cols: Sequence[str], order: Sequence, value, out: str, slice_by: Column,
+                exclusive: bool = False) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within each group in ``order``.
 
     ``exclusive=True`` sums only the rows before the current one (0 for the
     first row). ``order`` must make rows unique inside a group.
     """
-    val = "_rs_value"
-    base = sliced(df.withColumn(val, value if isinstance(value, Column) else F.col(value)),
-                  group_cols, order, slices)
-    frame_end = -1 if exclusive else 0
+    rows = df.withColumn("_rs_value", value if isinstance(value, Column) else F.col(value)).withColumn(SLICE, slice_by)
     w = (Window.partitionBy(*group_cols, SLICE).orderBy(*_cols(order))
-         .rowsBetween(Window.unboundedPreceding, frame_end))
-    zero = F.lit(0)
-    local = base.withColumn("_local", F.coalesce(F.sum(val).over(w), zero))
-    parts = base.groupBy(*group_cols, SLICE).agg(F.sum(val).alias("_part"))
-    carry = _carry(parts, group_cols, "_part", "sum")
-    joined = local.join(carry, _null_safe_on(local, carry, [*group_cols, SLICE]), "left")
-    keep = [local[c] for c in local.columns if c not in ("_local", val, SLICE)]
-    total = local["_local"] + F.coalesce(carry["_carry"], zero)
-    return joined.select(*keep, total.alias(out))
-
-
-def row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence, out: str,
-               slices: int | None = None) -> DataFrame:
+         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    local = rows.withColumn("_local", F.coalesce(F.sum("_rs_value").over(w), F.lit(0)))
+    carry = slice_carry(rows, group_cols, "_rs_value")
+    total = F.col("_local") + F.col("_carry")
+    return local.join(carry, [*group_cols, SLICE]).select(*df.columns, total.alias(out))
+
+
+def row_number(df: DataFrame, group_cols: Sequence[str], order: Sequence, out: str, slice_by: Column) -> DataFrame:
     """1-based position of each row inside its group in ``order``."""
-    res = running_sum(df, group_cols, order, F.lit(1).cast("long"), out, slices=slices)
+    res = running_sum(df, group_cols, order, F.lit(1).cast("long"), out, slice_by)
     return res.withColumn(out, F.col(out).cast("long"))
 
 
 def forward_fill(df: DataFrame, group_cols: Sequence[str], order: Sequence, cols: Sequence[str],
-                 slices: int | None = None) -> DataFrame:
+                 slice_by: Column) -> DataFrame:
     """Replace nulls in ``cols`` by the last non-null value earlier in the group."""
-    base = sliced(df, group_cols, order, slices)
+    rows = df.withColumn(SLICE, slice_by)
     w = (Window.partitionBy(*group_cols, SLICE).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, 0))
-    local = base
+    local = rows
     for c in cols:
         local = local.withColumn(c, F.last(c, ignorenulls=True).over(w))
-    out = local
-    if len(order) == 1:
-        # Index of the last non-null row of each slice is a fixed-width max
-        # (hash aggregate); only the carried rows' values (< 2 x slices of
-        # them) are then looked up with a broadcast join.
-        idx = _cols(order)[0]
-        parts = base.groupBy(*group_cols, SLICE).agg(
-            *[F.max(F.when(F.col(c).isNotNull(), idx)).alias(f"_last_{c}") for c in cols])
-        for c in cols:
-            carry = _carry(parts.select(*group_cols, SLICE, f"_last_{c}"), group_cols, f"_last_{c}", "last")
-            lookup = base.select(*group_cols, idx.alias("_carry"), F.col(c).alias(f"_carry_{c}"))
-            vals = F.broadcast(lookup.join(carry, [*group_cols, "_carry"]).select(*group_cols, SLICE, f"_carry_{c}"))
-            out = (out.join(vals, [*group_cols, SLICE], "left")
-                      .withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).drop(f"_carry_{c}"))
-        return out.drop(SLICE)
-    # Last non-null value of each slice: the max of the order among non-null rows.
-    order_key = F.struct(*_cols(order))
-    aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(f"_last_{c}") for c in cols]
-    parts = base.groupBy(*group_cols, SLICE).agg(*aggs)
-    for c in cols:
-        carry = _carry(parts.select(*group_cols, SLICE, f"_last_{c}"), group_cols, f"_last_{c}", "last")
-        carry = carry.withColumnRenamed("_carry", f"_carry_{c}")
-        # Group keys of a forward fill (file, sheet) are never null.
-        out = (out.join(carry, [*group_cols, SLICE], "left")
-                  .withColumn(c, F.coalesce(F.col(c), F.col(f"_carry_{c}"))).drop(f"_carry_{c}"))
-    return out.drop(SLICE)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a bounded ``limit(max_rows + 1).count()``; beyond the bound
-    the frame is returned unchanged so the planner uses a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    # Last non-null values of each slice, then of the slices before it: one carry for all columns.
+    key = F.struct(*_cols(order))
+    parts = rows.groupBy(*group_cols, SLICE).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_last_{c}") for c in cols])
+    before = Window.partitionBy(*group_cols).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(*group_cols, SLICE, *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in cols])
+    filled = local.join(carry, [*group_cols, SLICE])
+    return filled.select(*[F.coalesce(c, f"_carry_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])

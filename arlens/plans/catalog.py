@@ -8,6 +8,7 @@ the schema equals the oracle's.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,25 +28,42 @@ def query(name: str):
     return deco
 
 
-# --- shared inputs ------------------------------------------------------------------
-# Silver inputs (cleaned invoices, cleaned ledger, composition grid) and the
-# gold products that views read (balances, composition items and summary) are
-# materialised once per session and scale factor with a reliable checkpoint in
-# the shared checkpoint folder -- the same shape as a deployment where the
-# load writes product tables and the views query them. A query that *defines*
-# a product still computes it from its inputs.
-_SHARED: dict[tuple, DataFrame] = {}
-
-
-def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
-    df = _SHARED.get(key)
-    if df is None:
-        from arlens.session import checkpoint_dir
-        checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
-        _SHARED[key] = df
-    return df
+# --- products ------------------------------------------------------------------------
+# The cleaned inputs and the tables views read are Parquet products, as in a
+# deployment where the load writes tables and the views query them: the first
+# query that needs a product writes it (a job), later ones read it with column
+# pruning and pushed filters. They live below ``spark.arlens.products`` or, if
+# that is unset, the session's shared checkpoint folder. A product is keyed by
+# the name, size and time of its input files, so rewritten tables give a new
+# one. A query that *defines* a product computes it from its inputs.
+_INPUTS = ("nation", "customer", "part", "orders", "lineitem")
+_READY: dict[tuple, str] = {}
+
+
+def _fingerprint(spark: SparkSession, sf: str) -> str:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for t in _INPUTS:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        for f in fs.listStatus(p):
+            seen.append(f"{t}/{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join([sf, *sorted(seen)]).encode()).hexdigest()[:16]
+
+
+def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+    from arlens.session import checkpoint_dir
+
+    sf = sf.rstrip("/")
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf), name)
+    if key not in _READY:
+        base = spark.conf.get("spark.arlens.products", None) or f"{checkpoint_dir(spark).rstrip('/')}/arlens-products"
+        path = f"{base}/{'/'.join(key)}"
+        df = build()
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        _READY[key] = path
+    return spark.read.parquet(_READY[key])
 
 
 def clean_invoices_fresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +71,7 @@ def clean_invoices_fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def invoices(spark: SparkSession, sf: str) -> DataFrame:
-    return shared(spark, sf, "invoices", lambda: clean_invoices_fresh(spark, sf))
+    return shared(spark, sf, "invoices", lambda: clean_invoices_fresh(spark, sf), ("anio",))
 
 
 # --- M0 / M1: invoices -----------------------------------------------------------
@@ -121,13 +139,6 @@ def q_aging_by_client(spark, sf):
     return to_edge(aging_ops.aging_summary(aging_ops.lifo_slices(led, debtors), debtors, AS_OF))
 
 
-@query("aging_distribution")
-def q_aging_distribution(spark, sf):
-    b = balances(spark, sf)
-    return to_edge(b.groupBy("aging").agg(F.sum("saldo_actual").alias("saldo"))
-                    .withColumn("orden", aging_rank("aging")), ["aging", "orden", "saldo"])
-
-
 @query("client_balances")
 def q_client_balances(spark, sf):
     return to_edge(bal_ops.rank_debtors(bal_ops.client_balances(ledger(spark, sf), AS_OF)))
@@ -204,6 +215,26 @@ def q_client_balances_comp(spark, sf):
     return to_edge(bal_ops.rank_debtors(balances_comp_fresh(spark, sf)))
 
 
+def debt(spark: SparkSession, sf: str) -> DataFrame:
+    return bal_ops.debt_base(balances_comp(spark, sf))
+
+
+@query("debt_base")
+def q_debt_base(spark, sf):
+    return to_edge(debt(spark, sf).drop("ratio_cobranza"))
+
+
+@query("aging_source_count")
+def q_aging_source_count(spark, sf):
+    return to_edge(bal_ops.aging_sources(debt(spark, sf)))
+
+
+@query("aging_distribution")
+def q_aging_distribution(spark, sf):
+    d = debt(spark, sf).groupBy(F.col("aging_base").alias("aging")).agg(F.sum("saldo_deuda").alias("saldo"))
+    return to_edge(d.withColumn("orden", aging_rank("aging")), ["aging", "orden", "saldo"])
+
+
 @query("open_items_center")
 def q_open_items_center(spark, sf):
     led = ledger(spark, sf)
@@ -219,7 +250,7 @@ def q_comp_flexible_check(spark, sf):
 
 
 # --- M5: scope, permissions, options ------------------------------------------------
-from arlens.functions.text import client_key, title_case  # noqa: E402
+from arlens.functions.text import client_key, strip, title_case  # noqa: E402
 from arlens.operators import briefing as brief_ops  # noqa: E402
 from arlens.operators import quality as q_ops  # noqa: E402
 from arlens.operators import scope as scope_ops  # noqa: E402
@@ -233,7 +264,7 @@ SEMI_CENTERS = ["ECONOMY", "1-URGENT"]
 
 
 def scoped_invoices(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoices inside the default selection: every dated row."""
+    """Invoices inside the default selection: the default date window."""
     return scope_ops.apply_scope(invoices(spark, sf), scope_ops.ScopeSpec())
 
 
@@ -272,6 +303,34 @@ def q_center_semi_filter(spark, sf):
     return to_edge(scope_ops.restrict_to_clients(balances(spark, sf), keys).select("cliente", "saldo_actual"))
 
 
+def scoped(spark: SparkSession, sf: str) -> "scope_ops.Scoped":
+    spec = scope_ops.ScopeSpec(clientes=FILTER_CLIENTS, clientes_modo=scope_ops.EXCLUDE, centros=SEMI_CENTERS)
+    return scope_ops.scope_frames(invoices(spark, sf), balances_comp(spark, sf), ledger(spark, sf), comp_items(spark, sf), spec, AS_OF)
+
+
+@query("scope_balances")
+def q_scope_balances(spark, sf):
+    return to_edge(scoped(spark, sf).balances.select("cliente", "saldo_actual", "saldo_vencido"))
+
+
+@query("scope_movements")
+def q_scope_movements(spark, sf):
+    return to_edge(led_ops.movement_mix(scoped(spark, sf).movements))
+
+
+@query("scope_items")
+def q_scope_items(spark, sf):
+    return to_edge(scoped(spark, sf).items.groupBy("cliente", "centro_costo").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("saldo_abierto").alias("saldo")))
+
+
+@query("permission_rows_visible")
+def q_permission_rows_visible(spark, sf):
+    grants = scope_ops.permission_rows(fixtures.permissions_doc(spark))
+    return to_edge(scope_ops.visible_rows(scoped_invoices(spark, sf), grants, "u_excl").select(
+        "numero_comprobante", "cliente", "linea_negocio", F.col("monto_total_ars").alias("monto")))
+
+
 @query("center_impact")
 def q_center_impact(spark, sf):
     return to_edge(scope_ops.center_impact(invoices(spark, sf)))
@@ -279,15 +338,15 @@ def q_center_impact(spark, sf):
 
 @query("client_options")
 def q_client_options(spark, sf):
-    return scope_ops.option_list([(invoices(spark, sf), title_case("cliente")),
-                                  (balances(spark, sf), title_case("cliente"))], "cliente")
+    return scope_ops.option_list([(invoices(spark, sf), F.col("cliente")),
+                                  (balances(spark, sf), F.col("cliente"))], "cliente")
 
 
 @query("center_options")
 def q_center_options(spark, sf):
-    return scope_ops.option_list([(invoices(spark, sf), F.trim("linea_negocio")),
-                                  (comp_items(spark, sf), F.trim("centro_costo")),
-                                  (balances_comp(spark, sf), F.trim("centro_costo_principal"))], "centro")
+    return scope_ops.option_list([(invoices(spark, sf), strip("linea_negocio")),
+                                  (comp_items(spark, sf), strip("centro_costo")),
+                                  (balances_comp(spark, sf), strip("centro_costo_principal"))], "centro")
 
 
 # --- M1 / M6: views -------------------------------------------------------------------
@@ -313,7 +372,7 @@ def q_monthly_usd(spark, sf):
 
 @query("period_line_share")
 def q_period_line_share(spark, sf):
-    inv = scoped_invoices(spark, sf)
+    inv = scope_ops.apply_scope(invoices(spark, sf), scope_ops.ScopeSpec(all_dates=True))
     return to_edge(view_ops.period_line_share(inv.filter(F.col("razon_social") == view_ops.LOCAL)))
 
 
@@ -347,25 +406,37 @@ def q_client_norm_key(spark, sf):
 
 @query("billing_vs_debt")
 def q_billing_vs_debt(spark, sf):
-    return to_edge(view_ops.billing_vs_debt(scoped_invoices(spark, sf), balances(spark, sf)))
+    return to_edge(view_ops.billing_vs_debt(scoped_invoices(spark, sf), debt(spark, sf)))
 
 
 @query("top_debtors")
 def q_top_debtors(spark, sf):
-    return to_edge(view_ops.top_debtors(balances(spark, sf)))
+    return to_edge(view_ops.top_debtors(debt(spark, sf)))
 
 
 @query("debt_totals")
 def q_debt_totals(spark, sf):
-    return to_edge(view_ops.debt_totals(balances(spark, sf)))
+    return to_edge(view_ops.debt_totals(debt(spark, sf)))
 
 
 @query("open_items_drill")
 def q_open_items_drill(spark, sf):
-    led = ledger(spark, sf)
-    bal = balances(spark, sf)
-    items = aging_ops.open_items(aging_ops.lifo_slices(led, bal.select("cliente", "saldo_actual")), AS_OF)
-    return to_edge(view_ops.open_items_drill(items, view_ops.debtor_top(bal).select("cliente")))
+    return to_edge(view_ops.open_items_drill(comp_items(spark, sf), view_ops.debtor_top(debt(spark, sf)).select("cliente")))
+
+
+@query("open_items_drill_lifo")
+def q_open_items_drill_lifo(spark, sf):
+    chosen = view_ops.debtor_top(debt(spark, sf)).select("cliente")
+    debtors = balances(spark, sf).select("cliente", "saldo_actual").join(chosen, "cliente", "left_semi")
+    led = scope_ops.restrict_to_clients(ledger(spark, sf), chosen)
+    items = aging_ops.open_items(aging_ops.lifo_slices(led, debtors), AS_OF)
+    return to_edge(view_ops.open_items_drill(items, chosen))
+
+
+@query("selection_totals")
+def q_selection_totals(spark, sf):
+    d = debt(spark, sf)
+    return to_edge(view_ops.selection_totals(d, comp_items(spark, sf), view_ops.debtor_top(d).select("cliente")))
 
 
 @query("client_statement")
@@ -382,12 +453,12 @@ def q_client_statement_totals(spark, sf):
 
 @query("kpi_financial")
 def q_kpi_financial(spark, sf):
-    return view_ops.kpi_financial(scoped_invoices(spark, sf), balances(spark, sf))
+    return view_ops.kpi_financial(scoped_invoices(spark, sf), debt(spark, sf))
 
 
 @query("briefing")
 def q_briefing(spark, sf):
-    return brief_ops.briefing(scoped_invoices(spark, sf), balances(spark, sf))
+    return brief_ops.briefing(scoped_invoices(spark, sf), debt(spark, sf))
 
 
 @query("quality_report")

@@ -9,10 +9,22 @@ final SELECT.
 
 from __future__ import annotations
 
-from arlens.functions.amounts import sql_div_half_even
-
 AS_OF = "DATE '2001-09-01'"
 
+
+def sql_div_half_even(num: str, den: str, scale: int, in_scale: int = 2) -> str:
+    """num / den to ``scale`` digits, ties to even: round half up on exact integers
+    (twice the numerator plus the divisor over twice the divisor), then step back
+    from an odd result where the remainder was exactly one half."""
+    n = f"CAST(abs({num}) * {10 ** (in_scale + scale)} AS HUGEINT)"
+    d = f"CAST(abs({den}) * {10 ** in_scale} AS HUGEINT)"
+    up = f"((2 * {n} + {d}) // (2 * {d}))"
+    tie = f"((2 * {n} + {d}) % (2 * {d}) = 0 AND {up} % 2 = 1)"
+    sign = f"(CASE WHEN (({num}) < 0) <> (({den}) < 0) THEN -1 ELSE 1 END)"
+    return (f"(CASE WHEN ({den}) = 0 THEN NULL ELSE "
+            f"CAST({sign} * ({up} - CASE WHEN {tie} THEN 1 ELSE 0 END) AS DOUBLE) / {float(10 ** scale)} END)")
+
+
 # Title case: runs of letters / non-letters, first character of each run upper.
 def sql_title(x: str) -> str:
     return (f"array_to_string(list_transform(regexp_extract_all(lower(trim({x})), '[\\p{{L}}]+|[^\\p{{L}}]+'), "
@@ -76,7 +88,10 @@ SELECT CASE WHEN l_returnflag='R' AND l_linenumber=1 THEN 'Nota de Crédito de V
        cast(cast(l_quantity AS decimal(18,2)) AS string) AS imp_usd,
        CASE WHEN n_regionkey IN (1,2) THEN 'Empresa Internacional' ELSE 'Empresa Local' END AS empresa,
        CASE WHEN p_partkey%40=0 THEN '' ELSE concat(lpad(cast(p_size AS string),2,'0'),'_',p_type) END AS nivel_1_dimension,
-       CASE WHEN l_linestatus='O' THEN cast(cast(l_extendedprice AS decimal(18,2)) AS string) ELSE '' END AS importe_pendiente
+       CASE WHEN l_linestatus='O' THEN cast(cast(l_extendedprice AS decimal(18,2)) AS string) ELSE '' END AS importe_pendiente,
+       cast(cast(l_tax AS decimal(18,2)) AS string) AS iva, o_orderpriority AS condicion_pago, p_brand AS producto,
+       p_name AS descripcion_item, concat('Pedido ',cast(l_orderkey AS string)) AS descripcion, o_orderstatus AS situacion,
+       c_mktsegment AS dim_valor, cast(cast(l_quantity AS decimal(18,2)) AS string) AS cantidad
 FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey
      JOIN nation ON c_nationkey=n_nationkey JOIN part ON l_partkey=p_partkey
 """)
@@ -110,12 +125,12 @@ FROM led_mv
 """)
 
 cte("comp_d", [], """
- SELECT c_custkey%3 AS s, c_name, o_orderkey, o_orderpriority, o_orderdate,
-        cast(cast(o_totalprice AS decimal(18,2)) AS string) AS amt,
-        row_number() OVER (PARTITION BY c_custkey%3 ORDER BY c_name, o_orderkey) AS rn,
+ SELECT s, c_name, o_orderkey, o_orderpriority, o_orderdate, amt,
+        row_number() OVER (PARTITION BY s ORDER BY c_name, o_orderkey) AS rn,
         row_number() OVER (PARTITION BY c_name ORDER BY o_orderkey) AS rc
- FROM orders JOIN customer ON o_custkey=c_custkey
- WHERE o_orderdate >= timestamp '2001-03-01 00:00:00' AND c_custkey%2=0
+ FROM (SELECT CASE WHEN c_custkey%10=3 THEN 3 ELSE c_custkey%3 END AS s, c_name, o_orderkey, o_orderpriority, o_orderdate,
+              cast(cast(o_totalprice AS decimal(18,2)) AS string) AS amt
+       FROM orders JOIN customer ON o_custkey=c_custkey)
 """)
 
 cte("comp_raw", ["comp_d"], """
@@ -127,13 +142,14 @@ SELECT 'composicion_saldos' AS file, concat('Hoja',cast(s+1 AS string)) AS sheet
             WHEN o_orderkey%3=1 THEN replace(amt,'.',',') ELSE amt END AS c2,
        CASE WHEN o_orderkey%50=0 THEN '' ELSE
          concat(lpad(cast(day(o_orderdate) AS string),2,'0'),'/',lpad(cast(month(o_orderdate) AS string),2,'0'),'/',cast(year(o_orderdate) AS string)) END AS c3,
-       concat('FACVTA - ',cast(o_orderkey AS string)) AS c4
+       CASE WHEN o_orderkey%7<>0 THEN concat('FACVTA - ',cast(o_orderkey AS string)) END AS c4
 FROM comp_d
 UNION ALL SELECT 'composicion_saldos','Hoja1',0,'Reporte al 01/09/2001',NULL,NULL,NULL,NULL
-UNION ALL SELECT 'composicion_saldos','Hoja1',1,'Razón Social','Centro de Costo','Saldo Abierto','Fecha Vencimiento','Comprobante'
+UNION ALL SELECT 'composicion_saldos','Hoja1',1,'Razo'||chr(769)||'n Social','Centro de Costo','Saldo Abierto','Fecha Vencimiento','Comprobante'
 UNION ALL SELECT 'composicion_saldos','Hoja2',0,'Empresa Local',NULL,NULL,NULL,NULL
 UNION ALL SELECT 'composicion_saldos','Hoja2',1,'Cliente final','Dim. valor','Deuda al cierre','Fecha Vto.','Factura nro'
 UNION ALL SELECT 'composicion_saldos','Hoja3',1,'CLIENTE','Línea negocio','Importe Pendiente','Vencimiento','Documento'
+UNION ALL SELECT 'composicion_saldos','Hoja4',1,'Código','Centro de Costo','Saldo Abierto','Fecha Vencimiento','Comprobante'
 """)
 
 # --- cleaned invoices ----------------------------------------------------------
@@ -152,12 +168,17 @@ SELECT {sql_dmy('fecha')} AS fecha,
        coalesce(TRY_CAST(importe_pendiente AS DECIMAL(18,2)), 0) AS importe_pendiente,
        year({sql_dmy('fecha')}) AS anio, month({sql_dmy('fecha')}) AS mes,
        strftime({sql_dmy('fecha')}, '%b %Y') AS mes_nombre,
-       regexp_replace(trim(nivel_1_dimension), '^[0-9]+_', '') AS linea_negocio
+       regexp_replace(trim(nivel_1_dimension), '^[0-9]+_', '') AS linea_negocio,
+       coalesce(TRY_CAST(iva AS DECIMAL(18,2)), 0) AS iva, condicion_pago, producto, descripcion_item, descripcion, situacion,
+       dim_valor, coalesce(TRY_CAST(cantidad AS DECIMAL(18,2)), 0) AS cantidad
 FROM inv_raw
 """)
 
-# Invoices inside the default scope: every row with a date.
-cte("inv_s", ["inv"], "SELECT * FROM inv WHERE fecha IS NOT NULL")
+# Every dated invoice, and the default window: from January 1 of the last year (or the first date) to the last date.
+cte("inv_d", ["inv"], "SELECT * FROM inv WHERE fecha IS NOT NULL")
+cte("inv_s", ["inv_d"], """
+SELECT * FROM inv_d WHERE fecha >= (SELECT greatest(min(fecha), make_date(year(max(fecha)), 1, 1)) FROM inv_d)
+""")
 
 
 def build(body: str, needs: list[str]) -> str:
@@ -194,7 +215,8 @@ oracle("inv_clean", ["inv"], """
 SELECT fecha, numero_comprobante, cliente, empresa, tipo_documento, moneda_iso, razon_social, es_nota_credito,
        CAST(monto_total_ars AS DOUBLE) AS monto_total_ars, CAST(monto_neto_ars AS DOUBLE) AS monto_neto_ars,
        CAST(monto_usd AS DOUBLE) AS monto_usd, CAST(importe_pendiente AS DOUBLE) AS importe_pendiente,
-       CAST(anio AS BIGINT) AS anio, CAST(mes AS BIGINT) AS mes, mes_nombre, linea_negocio
+       CAST(anio AS BIGINT) AS anio, CAST(mes AS BIGINT) AS mes, mes_nombre, linea_negocio, CAST(iva AS DOUBLE) AS iva, condicion_pago, producto,
+       descripcion_item, descripcion, situacion, dim_valor, CAST(cantidad AS DOUBLE) AS cantidad
 FROM inv
 """)
 
@@ -346,19 +368,22 @@ SELECT cliente, CAST(saldo_pendiente_cc AS DOUBLE) AS saldo_pendiente_cc, CAST(s
 FROM aging
 """)
 
-oracle("aging_distribution", ["bal"], f"""
-SELECT aging, CAST({sql_aging_rank('aging')} AS BIGINT) AS orden, CAST(sum(saldo_actual) AS DOUBLE) AS saldo
-FROM bal GROUP BY aging
-""")
-
 oracle("client_balances", ["bal"], _BAL_OUT + " FROM bal")
 
 
 # --- M4: composition -----------------------------------------------------------------
+_ROLES = {
+    "cliente": "cliente razon_social razonsocial",
+    "centro": "centro_de_costo centro_costo centro linea_negocio nivel_1_dimension dim_valor",
+    "saldo": "saldo_abierto saldo importe_pendiente pendiente deuda importe",
+    "venc": "fecha_vencimiento vencimiento fecha_vto fecha_de_vencimiento",
+    "doc": "documento comprobante factura numero_comprobante numero_factura",
+}
+
+
 def _role_values() -> str:
-    from arlens.functions.constants import COMPOSITION_ROLES
     rows = []
-    for role, cands in COMPOSITION_ROLES.items():
+    for role, cands in ((r, c.split()) for r, c in _ROLES.items()):
         for i, c in enumerate(cands):
             rows.append(f"('{role}', {i}, '{c}')")
     return "VALUES " + ", ".join(rows)
@@ -477,6 +502,31 @@ SELECT b.cliente, b.saldo_actual, b.saldo_inicial, b.debe_total, b.haber_total,
 FROM bal b LEFT JOIN comp_sum c ON b.cliente = c.cliente
 """)
 
+# What the debt views add up: the composition balance where it is positive, else the ledger's.
+cte("dbase", ["bal_comp"], f"""
+SELECT cliente, deuda AS saldo_actual, vencido AS saldo_vencido, por_vencer AS saldo_por_vencer, dias AS dias_vencido, dias_max AS dias_vencido_max,
+       {sql_aging('dias')} AS aging, fuente, ratio_cobranza
+FROM (SELECT cliente, ratio_cobranza,
+        CASE WHEN coalesce(saldo_composicion, 0) > 0 THEN CAST(saldo_composicion AS DECIMAL(24,6)) ELSE saldo_actual END AS deuda,
+        CASE WHEN coalesce(saldo_composicion, 0) > 0 THEN CAST(coalesce(saldo_vencido_comp, 0) AS DECIMAL(24,6)) ELSE saldo_vencido END AS vencido,
+        CASE WHEN coalesce(saldo_composicion, 0) > 0 THEN CAST(coalesce(saldo_por_vencer_comp, 0) AS DECIMAL(24,6)) ELSE saldo_por_vencer END AS por_vencer,
+        CASE WHEN coalesce(saldo_composicion, 0) > 0 THEN coalesce(dias_vencido_comp, 0) ELSE dias_vencido END AS dias,
+        CASE WHEN coalesce(saldo_composicion, 0) > 0 THEN coalesce(dias_vencido_max_comp, 0) ELSE dias_vencido_max END AS dias_max,
+        CASE WHEN coalesce(saldo_composicion, 0) > 0 THEN 'composicion' ELSE 'cc_movimientos' END AS fuente
+      FROM bal_comp)
+""")
+
+oracle("debt_base", ["dbase"], """
+SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo_deuda, CAST(saldo_vencido AS DOUBLE) AS saldo_vencido_base,
+       CAST(saldo_por_vencer AS DOUBLE) AS saldo_por_vencer_base, CAST(dias_vencido AS BIGINT) AS dias_vencido_base,
+       CAST(dias_vencido_max AS BIGINT) AS dias_vencido_max_base, aging AS aging_base, fuente AS fuente_cc_base
+FROM dbase
+""")
+
+oracle("aging_source_count", ["dbase"], """
+SELECT fuente AS fuente_cc_base, count(*) AS clientes, CAST(sum(saldo_actual) AS DOUBLE) AS saldo FROM dbase GROUP BY fuente
+""")
+
 oracle("comp_header_detect", ["comp_hdr"], """
 SELECT file, sheet, CAST(header_row AS BIGINT) AS header_row, col_cliente, col_centro, col_saldo, col_venc, col_doc FROM comp_hdr
 """)
@@ -568,6 +618,36 @@ WHERE cliente IN (SELECT cliente FROM inv_s WHERE trim(linea_negocio) IN ('ECONO
                   UNION SELECT cliente FROM comp_items WHERE trim(centro_costo) IN ('ECONOMY', '1-URGENT'))
 """)
 
+# Selection of the fixtures: three customers left out, then two centres; customers of a centre through invoices or items.
+cte("sel_inv", ["inv_s"], f"""
+SELECT * FROM inv_s WHERE (cliente IS NULL OR cliente NOT IN {_CLIENTS_SQL}) AND trim(linea_negocio) IN ('ECONOMY', '1-URGENT')
+""")
+cte("sel_items", ["comp_items"], f"""
+SELECT * FROM comp_items WHERE cliente NOT IN {_CLIENTS_SQL} AND trim(centro_costo) IN ('ECONOMY', '1-URGENT')
+""")
+cte("sel_clients", ["sel_inv", "sel_items"], """
+SELECT cliente FROM sel_inv WHERE cliente IS NOT NULL UNION SELECT cliente FROM sel_items
+""")
+
+oracle("scope_balances", ["sel_clients", "bal_comp"], f"""
+SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo_actual, CAST(saldo_vencido AS DOUBLE) AS saldo_vencido FROM bal_comp
+WHERE cliente NOT IN {_CLIENTS_SQL} AND cliente IN (SELECT cliente FROM sel_clients)
+""")
+
+oracle("scope_movements", ["sel_clients", "led"], f"""
+SELECT tipo, count(*) AS movimientos, CAST(sum(debe) AS DOUBLE) AS debe, CAST(sum(haber) AS DOUBLE) AS haber FROM led
+WHERE cliente NOT IN {_CLIENTS_SQL} AND cliente IN (SELECT cliente FROM sel_clients) GROUP BY tipo
+""")
+
+oracle("scope_items", ["sel_items"], """
+SELECT cliente, centro_costo, count(*) AS items, CAST(sum(saldo_abierto) AS DOUBLE) AS saldo FROM sel_items GROUP BY cliente, centro_costo
+""")
+
+oracle("permission_rows_visible", ["inv_s"], """
+SELECT numero_comprobante, cliente, linea_negocio, CAST(monto_total_ars AS DOUBLE) AS monto FROM inv_s
+WHERE (cliente IS NULL OR cliente <> 'Customer#000000002 S.A.U.') AND trim(linea_negocio) = 'ECONOMY'
+""")
+
 oracle("center_impact", ["inv"], """
 SELECT trim(linea_negocio) AS centro, count(DISTINCT cliente) AS clientes FROM inv WHERE cliente IS NOT NULL GROUP BY 1
 """)
@@ -599,8 +679,8 @@ SELECT anio, mes, mes_nombre, CAST(sum({_amt}) AS DOUBLE) AS monto FROM inv_s WH
 GROUP BY anio, mes, mes_nombre
 """)
 
-oracle("period_line_share", ["inv_s"], f"""
-WITH l AS (SELECT * FROM inv_s WHERE razon_social = 'Local'),
+oracle("period_line_share", ["inv_d"], f"""
+WITH l AS (SELECT * FROM inv_d WHERE razon_social = 'Local'),
      y AS (SELECT count(DISTINCT anio) > 1 AS multi FROM l),
      g AS (SELECT CASE WHEN y.multi THEN CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0') ELSE lpad(CAST(mes AS VARCHAR), 2, '0') END AS periodo,
                   CASE WHEN y.multi THEN mes_nombre || ' ''' || right(CAST(anio AS VARCHAR), 2) ELSE mes_nombre END AS etiqueta,
@@ -640,17 +720,22 @@ oracle("client_norm_key", ["inv_raw"], f"""
 SELECT cliente_raw, {sql_key('cliente_raw')} AS cliente_norm FROM (SELECT DISTINCT cliente AS cliente_raw FROM inv_raw)
 """)
 
-oracle("billing_vs_debt", ["inv_s", "bal"], """
+oracle("aging_distribution", ["dbase"], f"""
+SELECT aging, CAST({sql_aging_rank('aging')} AS BIGINT) AS orden, CAST(sum(saldo_actual) AS DOUBLE) AS saldo
+FROM dbase GROUP BY aging
+""")
+
+oracle("billing_vs_debt", ["inv_s", "dbase"], """
 WITH f AS (SELECT cliente, sum(monto_total_ars) AS facturado_ars FROM inv_s WHERE moneda_iso = 'ARS' AND cliente IS NOT NULL GROUP BY cliente)
 SELECT coalesce(f.cliente, b.cliente) AS cliente, CAST(coalesce(f.facturado_ars, 0) AS DOUBLE) AS facturado_ars,
        CAST(coalesce(b.saldo_actual, 0) AS DOUBLE) AS deuda_ars, CAST(coalesce(b.saldo_vencido, 0) AS DOUBLE) AS saldo_vencido,
        coalesce(b.ratio_cobranza, 0.0) AS ratio_cobranza, coalesce(b.aging, 'Sin deuda') AS aging,
        CAST(coalesce(b.dias_vencido, 0) AS BIGINT) AS dias_vencido
-FROM f FULL OUTER JOIN bal b ON f.cliente = b.cliente
+FROM f FULL OUTER JOIN dbase b ON f.cliente = b.cliente
 """)
 
-cte("top10", ["bal"], """
-SELECT * FROM bal ORDER BY saldo_actual DESC, saldo_vencido DESC, dias_vencido DESC, cliente LIMIT 10
+cte("top10", ["dbase"], """
+SELECT * FROM dbase ORDER BY saldo_actual DESC, saldo_vencido DESC, dias_vencido DESC, cliente LIMIT 10
 """)
 
 oracle("top_debtors", ["top10"], """
@@ -660,22 +745,35 @@ UNION ALL
 SELECT 'TOTAL', CAST(sum(saldo_actual) AS DOUBLE), CAST(sum(saldo_vencido) AS DOUBLE), NULL, NULL FROM top10
 """)
 
-oracle("debt_totals", ["bal"], f"""
+oracle("debt_totals", ["dbase"], f"""
 WITH t AS (SELECT coalesce(sum(saldo_actual), 0) AS deuda_total, coalesce(sum(saldo_vencido), 0) AS deuda_vencida,
-                  coalesce(sum(saldo_vencido) FILTER (WHERE aging = '+90 días'), 0) AS deuda_critica FROM bal)
+                  coalesce(sum(saldo_vencido) FILTER (WHERE aging = '+90 días'), 0) AS deuda_critica FROM dbase)
 SELECT CAST(deuda_total AS DOUBLE) AS deuda_total, CAST(deuda_vencida AS DOUBLE) AS deuda_vencida,
-       CAST(deuda_critica AS DOUBLE) AS deuda_critica, {sql_div_half_even('deuda_critica * 100', 'deuda_vencida', 2)} AS pct_critica
+       CAST(deuda_critica AS DOUBLE) AS deuda_critica, {sql_div_half_even('deuda_critica * 100', 'deuda_vencida', 2, in_scale=6)} AS pct_critica
 FROM t
 """)
 
-oracle("open_items_drill", ["lifo", "top10"], f"""
-SELECT t.cliente, l.documento AS documento_ref, l.venc,
+oracle("open_items_drill", ["comp_items", "top10"], f"""
+SELECT t.cliente, i.documento_ref, i.centro_costo, i.venc_comp AS venc, i.dias_vencido_item AS dias,
+       {sql_aging('i.dias_vencido_item')} AS estado, CAST(i.saldo_abierto AS DOUBLE) AS saldo
+FROM comp_items i JOIN top10 t ON i.cliente_norm = {sql_key('t.cliente')}
+""")
+
+oracle("open_items_drill_lifo", ["lifo", "top10"], f"""
+SELECT t.cliente, l.documento AS documento_ref, 'Sin centro' AS centro_costo, l.venc,
        coalesce(datediff('day', l.venc, {AS_OF}), 0) AS dias,
        {sql_aging(f"coalesce(datediff('day', l.venc, {AS_OF}), 0)")} AS estado, CAST(l.tramo AS DOUBLE) AS saldo
 FROM lifo l JOIN top10 t ON {sql_key('l.cliente')} = {sql_key('t.cliente')}
 WHERE l.tramo > 0
 """)
 
+oracle("selection_totals", ["comp_items", "top10"], f"""
+WITH i AS (SELECT sum(i.saldo_abierto) AS abierto, count(*) AS n FROM comp_items i JOIN top10 t ON i.cliente_norm = {sql_key('t.cliente')})
+SELECT count(*) AS clientes, CAST(sum(saldo_actual) AS DOUBLE) AS saldo, CAST(sum(saldo_vencido) AS DOUBLE) AS vencido,
+       CAST(max(dias_vencido) AS BIGINT) AS dias_vencido_max, any_value(i.n) AS items, CAST(any_value(i.abierto) AS DOUBLE) AS saldo_items
+FROM top10, i
+""")
+
 cte("stmt_client", ["recon"], """
 SELECT cliente FROM recon ORDER BY saldo_final_ledger DESC, cliente LIMIT 1
 """)
@@ -686,7 +784,7 @@ def _fmt(x: str) -> str:
 
 
 oracle("client_statement", ["led", "stmt_client"], f"""
-SELECT orden_origen, fecha, documento, fecha_vencimiento AS vencimiento, tipo,
+SELECT orden_origen, fecha, documento, '' AS descripcion, fecha_vencimiento AS vencimiento, tipo,
        CAST(debe AS DOUBLE) AS debe, CAST(haber AS DOUBLE) AS haber, CAST(saldo AS DOUBLE) AS saldo,
        {_fmt('debe')} AS debe_fmt, {_fmt('haber')} AS haber_fmt, {_fmt('saldo')} AS saldo_fmt,
        strftime(fecha, '%d/%m/%Y') AS fecha_fmt
@@ -699,10 +797,10 @@ SELECT CAST(sum(debe) AS DOUBLE) AS debe_total, CAST(sum(haber) AS DOUBLE) AS ha
 FROM led_ord WHERE cliente = (SELECT cliente FROM stmt_client)
 """)
 
-oracle("kpi_financial", ["inv_s", "bal"], """
+oracle("kpi_financial", ["inv_s", "dbase"], """
 WITH b AS (SELECT CAST(coalesce(sum(saldo_actual), 0) AS DOUBLE) AS deuda, CAST(coalesce(sum(saldo_vencido), 0) AS DOUBLE) AS venc,
-                  CAST(coalesce(sum(saldo_vencido) FILTER (WHERE dias_vencido <= 30), 0) AS DOUBLE) AS v30 FROM bal),
-     t5 AS (SELECT CAST(coalesce(sum(saldo_actual), 0) AS DOUBLE) AS top5 FROM (SELECT saldo_actual FROM bal ORDER BY saldo_actual DESC LIMIT 5)),
+                  CAST(coalesce(sum(saldo_vencido) FILTER (WHERE dias_vencido <= 30), 0) AS DOUBLE) AS v30 FROM dbase),
+     t5 AS (SELECT CAST(coalesce(sum(saldo_actual), 0) AS DOUBLE) AS top5 FROM (SELECT saldo_actual FROM dbase ORDER BY saldo_actual DESC LIMIT 5)),
      f AS (SELECT CAST(coalesce(sum(monto_total_ars), 0) AS DOUBLE) AS f90 FROM inv_s
            WHERE fecha >= (SELECT max(fecha) FROM inv_s) - INTERVAL 89 DAY)
 SELECT CASE WHEN f90 / 90.0 > 0 THEN deuda / (f90 / 90.0) ELSE 0.0 END AS dso,
@@ -713,7 +811,7 @@ SELECT CASE WHEN f90 / 90.0 > 0 THEN deuda / (f90 / 90.0) ELSE 0.0 END AS dso,
 FROM b, t5, f
 """)
 
-oracle("briefing", ["inv_s", "bal"], """
+oracle("briefing", ["inv_s", "dbase"], """
 SELECT 'facturacion' AS seccion, 'total' AS metrica, '' AS clave, CAST(sum(monto_total_ars) AS DOUBLE) AS valor FROM inv_s
 UNION ALL SELECT 'facturacion', 'total_neto', '', CAST(sum(monto_neto_ars) AS DOUBLE) FROM inv_s
 UNION ALL SELECT 'facturacion', 'cantidad_facturas', '', CAST(count(*) AS DOUBLE) FROM inv_s
@@ -723,13 +821,13 @@ UNION ALL (SELECT 'facturacion', 'top_clientes', cliente, CAST(sum(monto_total_a
 UNION ALL (SELECT 'facturacion', 'evolucion_mensual', CAST(anio AS VARCHAR) || '-' || lpad(CAST(mes AS VARCHAR), 2, '0'),
                   CAST(sum(monto_total_ars) AS DOUBLE) FROM inv_s WHERE anio IS NOT NULL
            GROUP BY anio, mes ORDER BY anio DESC, mes DESC LIMIT 12)
-UNION ALL SELECT 'cuentas_corrientes', 'deuda_total', '', CAST(sum(saldo_actual) AS DOUBLE) FROM bal
-UNION ALL SELECT 'cuentas_corrientes', 'al_dia', '', CAST(coalesce(sum(saldo_actual) FILTER (WHERE aging = 'Al día'), 0) AS DOUBLE) FROM bal
-UNION ALL SELECT 'cuentas_corrientes', 'vencido', '', CAST(sum(saldo_actual) - coalesce(sum(saldo_actual) FILTER (WHERE aging = 'Al día'), 0) AS DOUBLE) FROM bal
-UNION ALL SELECT 'cuentas_corrientes', 'aging', aging, CAST(sum(saldo_actual) AS DOUBLE) FROM bal GROUP BY aging
-UNION ALL (SELECT 'cuentas_corrientes', 'top_deudores', cliente, CAST(sum(saldo_actual) AS DOUBLE) FROM bal
+UNION ALL SELECT 'cuentas_corrientes', 'deuda_total', '', CAST(sum(saldo_actual) AS DOUBLE) FROM dbase
+UNION ALL SELECT 'cuentas_corrientes', 'al_dia', '', CAST(coalesce(sum(saldo_actual) FILTER (WHERE aging = 'Al día'), 0) AS DOUBLE) FROM dbase
+UNION ALL SELECT 'cuentas_corrientes', 'vencido', '', CAST(sum(saldo_actual) - coalesce(sum(saldo_actual) FILTER (WHERE aging = 'Al día'), 0) AS DOUBLE) FROM dbase
+UNION ALL SELECT 'cuentas_corrientes', 'aging', aging, CAST(sum(saldo_actual) AS DOUBLE) FROM dbase GROUP BY aging
+UNION ALL (SELECT 'cuentas_corrientes', 'top_deudores', cliente, CAST(sum(saldo_actual) AS DOUBLE) FROM dbase
            GROUP BY cliente ORDER BY sum(saldo_actual) DESC, cliente LIMIT 5)
-UNION ALL (SELECT 'cuentas_corrientes', 'criticos', cliente, CAST(sum(saldo_actual) AS DOUBLE) FROM bal WHERE dias_vencido > 60
+UNION ALL (SELECT 'cuentas_corrientes', 'criticos', cliente, CAST(sum(saldo_actual) AS DOUBLE) FROM dbase WHERE dias_vencido > 60
            GROUP BY cliente ORDER BY sum(saldo_actual) DESC, cliente LIMIT 10)
 """)
 

@@ -18,7 +18,6 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    # Checkpoint files of sliced windows are removed once their frame is gone.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -63,8 +62,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="arlens-ckpt-", dir=os.environ.get("ARLENS_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local
-
-
-def default_slices(spark: SparkSession) -> int:
-    """Number of range slices used by the skew-safe window helpers."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from arlens.functions.amounts import MONEY
-from arlens.operators.windows import row_number, running_sum
+from arlens.operators.windows import month_slice, row_number, running_sum
 from arlens.sources.tables import read_table
 
 # --- fixed values of the fixture definition (FIXTURES.md) -------------------
 AS_OF = _dt.date(2001, 9, 1)
 LATE_CUTOFF = _dt.datetime(2001, 3, 1)
+SHEETS = 3
 COMPANY_MAP_FIXTURE = {"Empresa Local": "Local", "Empresa Internacional": "Internacional"}
 PERMISSIONS_DOC = (
     '{"superusers":["admin"],'
@@ -34,10 +35,11 @@ PERMISSIONS_DOC = (
 COMPOSITION_FILE = "composicion_saldos"
 COMPOSITION_HEADER_ROWS = [
     ("Hoja1", 0, ["Reporte al 01/09/2001", None, None, None, None]),
-    ("Hoja1", 1, ["Razón Social", "Centro de Costo", "Saldo Abierto", "Fecha Vencimiento", "Comprobante"]),
+    ("Hoja1", 1, ["Razo\u0301n Social", "Centro de Costo", "Saldo Abierto", "Fecha Vencimiento", "Comprobante"]),
     ("Hoja2", 0, ["Empresa Local", None, None, None, None]),
     ("Hoja2", 1, ["Cliente final", "Dim. valor", "Deuda al cierre", "Fecha Vto.", "Factura nro"]),
     ("Hoja3", 1, ["CLIENTE", "Línea negocio", "Importe Pendiente", "Vencimiento", "Documento"]),
+    ("Hoja4", 1, ["Código", "Centro de Costo", "Saldo Abierto", "Fecha Vencimiento", "Comprobante"]),
 ]
 # --- end of fixed values ----------------------------------------------------
 
@@ -53,16 +55,16 @@ def _dmy(c) -> F.Column:
 def invoices_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice export, one row per line item, every column text."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-                                                 "l_extendedprice", "l_returnflag", "l_linestatus"])
-    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
-    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey"])
+                                                 "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"])
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"])
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
     # nation is a fixed 25-row dimension at every scale factor: bounded broadcast.
     nation = F.broadcast(read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"]))
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_type"])
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_type", "p_brand", "p_name"])
 
     head = (orders.join(cust, orders.o_custkey == cust.c_custkey)
                   .join(nation, cust.c_nationkey == nation.n_nationkey)
-                  .select("o_orderkey", "o_orderdate", "c_name", "n_regionkey"))
+                  .select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "c_name", "c_mktsegment", "n_regionkey"))
     rows = (li.join(head, li.l_orderkey == head.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
 
@@ -90,6 +92,12 @@ def invoices_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("_"), F.col("p_type")))
          .alias("nivel_1_dimension"),
         F.when(F.col("l_linestatus") == "O", price.cast("string")).otherwise(F.lit("")).alias("importe_pendiente"),
+        F.col("l_tax").cast(MONEY).cast("string").alias("iva"),
+        F.col("o_orderpriority").alias("condicion_pago"), F.col("p_brand").alias("producto"),
+        F.col("p_name").alias("descripcion_item"),
+        F.concat(F.lit("Pedido "), F.col("l_orderkey").cast("string")).alias("descripcion"),
+        F.col("o_orderstatus").alias("situacion"), F.col("c_mktsegment").alias("dim_valor"),
+        qty.cast("string").alias("cantidad"),
     )
 
 
@@ -127,7 +135,7 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mv = opening.unionByName(charges).unionByName(collections).withColumn(
         "_delta", F.col("ini") + F.col("debe") - F.col("haber"))
-    mv = running_sum(mv, ["c_name"], [F.col("fecha").asc_nulls_first(), F.col("orden")], "_delta", "saldo")
+    mv = running_sum(mv, ["c_name"], [F.col("fecha").asc_nulls_first(), F.col("orden")], "_delta", "saldo", month_slice("fecha"))
     return mv.select(
         F.col("orden").alias("orden_origen"),
         F.concat(F.lit(" "), F.upper("c_name"), F.lit(" S.A.U.")).alias("cliente"),
@@ -136,17 +144,21 @@ def ledger_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composition_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open-balance composition workbook as a cell grid, three sheets, title
-    rows before the header, merged-cell blanks, local amount formats."""
+    """Open-balance composition workbook as a cell grid of all orders and
+    customers: title rows before the header, merged-cell blanks, local amount
+    formats, headers with decomposed accents, short rows, and a sheet without a
+    customer column, whose customers (a tenth) have no composition."""
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority",
                                                   "o_totalprice", "o_orderdate"])
-    d = (orders.filter(F.col("o_orderdate") >= F.lit(LATE_CUTOFF))
-               .join(cust.filter(F.col("c_custkey") % 2 == 0), orders.o_custkey == cust.c_custkey)
-               .select((F.col("c_custkey") % 3).alias("s"), "c_name", "o_orderkey", "o_orderpriority",
+    d = (orders.join(cust, orders.o_custkey == cust.c_custkey)
+               .select((F.col("c_custkey") % SHEETS).alias("s"), "c_custkey", "c_name", "o_orderkey", "o_orderpriority",
                        "o_orderdate", F.col("o_totalprice").cast(MONEY).cast("string").alias("amt")))
-    d = row_number(d, ["s"], [F.col("c_name"), F.col("o_orderkey")], "rn")
-    d = row_number(d, ["c_name"], [F.col("o_orderkey")], "rc")
+    # Every tenth customer's rows are on sheets whose header has no customer column.
+    d = d.withColumn("s", F.when(F.col("c_custkey") % 10 == 3, F.lit(SHEETS)).otherwise(F.col("s")))
+    # c_name sorts like c_custkey, so blocks of keys are slices of a sheet.
+    d = row_number(d, ["s"], [F.col("c_name"), F.col("o_orderkey")], "rn", F.floor(F.col("c_custkey") / 1000).cast("long"))
+    d = row_number(d, ["c_name"], [F.col("o_orderkey")], "rc", F.floor(F.col("o_orderkey") / 1_000_000).cast("long"))
 
     k = F.col("o_orderkey")
     amt = F.col("amt")
@@ -165,7 +177,7 @@ def composition_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(COMPOSITION_FILE).alias("file"),
         F.concat(F.lit("Hoja"), (F.col("s") + 1).cast("string")).alias("sheet"),
         (F.col("rn") + 1).cast("int").alias("row_idx"),
-        F.array(c0, c1, c2, c3, c4).alias("cells"))
+        F.when(k % 7 == 0, F.array(c0, c1, c2, c3)).otherwise(F.array(c0, c1, c2, c3, c4)).alias("cells"))
     header = spark.createDataFrame(
         [(COMPOSITION_FILE, sheet, idx, cells) for sheet, idx, cells in COMPOSITION_HEADER_ROWS],
         "file string, sheet string, row_idx int, cells array<string>")
