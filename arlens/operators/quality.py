@@ -21,16 +21,29 @@ def _check(df: DataFrame, check_id: str, passed, detail) -> DataFrame:
                      detail.cast("string").alias("detail"))
 
 
-def _columns_check(df: DataFrame, base: DataFrame, check_id: str, required: list[str]) -> DataFrame:
-    missing = [c for c in required if c not in base.columns]
+def _columns_check(df: DataFrame, have: list[str], check_id: str, required: list[str]) -> DataFrame:
+    missing = [c for c in required if c not in have]
     return _check(df, check_id, F.lit(not missing), F.lit(",".join(missing)))
 
 
-def quality_report(inv: DataFrame, bal: DataFrame, items: DataFrame | None) -> DataFrame:
+def _with_columns(df: DataFrame | None, spark: SparkSession, columns: list[str]) -> DataFrame:
+    """``df`` with nulls for the columns it lacks; an empty frame if it is missing."""
+    if df is None:
+        return spark.createDataFrame([], ", ".join(f"{c} double" for c in columns))
+    return df.withColumns({c: F.lit(None).cast("double") for c in columns if c not in df.columns})
+
+
+def quality_report(inv: DataFrame | None, bal: DataFrame | None, items: DataFrame | None,
+                   spark: SparkSession | None = None) -> DataFrame:
     """Invoices present, required columns, positive billing; balances present,
     overdue <= balance, no negative days, reconciliation within tolerance;
     composition items with positive open balance (missing items are only a
-    warning); overall status."""
+    warning); overall status. A missing dataset or column fails its checks
+    instead of stopping the report; ``spark`` is needed if all are missing."""
+    spark = spark or next(df.sparkSession for df in (inv, bal, items) if df is not None)
+    own = {"inv": inv.columns if inv is not None else [], "bal": bal.columns if bal is not None else []}
+    inv = _with_columns(inv, spark, QUALITY_INVOICE_COLUMNS)
+    bal = _with_columns(bal, spark, [*QUALITY_BALANCE_COLUMNS, "dif_conciliacion"])
     fi = inv.agg(F.count(F.lit(1)).alias("n"), F.sum("monto_total_ars").cast(WIDE_MONEY).alias("total"))
     fb = bal.agg(
         F.count(F.lit(1)).alias("n"),
@@ -40,19 +53,21 @@ def quality_report(inv: DataFrame, bal: DataFrame, items: DataFrame | None) -> D
         F.max(F.abs(F.coalesce(F.col("dif_conciliacion"), F.lit(0)))).cast(WIDE_MONEY).alias("maxdif"))
     checks = [
         _check(fi, "Q1_facturas_presentes", F.col("n") > 0, F.col("n")),
-        _columns_check(fi, inv, "Q2_facturas_columnas", QUALITY_INVOICE_COLUMNS),
+        _columns_check(fi, own["inv"], "Q2_facturas_columnas", QUALITY_INVOICE_COLUMNS),
         _check(fi, "Q3_facturacion_positiva", F.coalesce(F.col("total") > 0, F.lit(False)), F.col("total")),
         _check(fb, "Q1_saldos_presentes", F.col("n") > 0, F.col("n")),
-        _columns_check(fb, bal, "Q2_saldos_columnas", QUALITY_BALANCE_COLUMNS),
+        _columns_check(fb, own["bal"], "Q2_saldos_columnas", QUALITY_BALANCE_COLUMNS),
         _check(fb, "Q4_vencido_menor_saldo", F.col("over") == 0, F.col("over")),
         _check(fb, "Q5_dias_no_negativos", F.col("neg") == 0, F.col("neg")),
         _check(fb, "Q6_conciliacion_tolerancia",
                F.coalesce(F.col("maxdif") <= F.lit(RECONCILE_TOLERANCE), F.lit(True)), F.col("maxdif")),
     ]
     if items is not None:
+        have = items.columns
+        items = _with_columns(items, spark, QUALITY_ITEM_COLUMNS)
         fc = items.agg(F.count(F.lit(1)).alias("n"), F.sum("saldo_abierto").cast(WIDE_MONEY).alias("total"))
         checks += [
-            _columns_check(fc, items, "Q2_composicion_columnas", QUALITY_ITEM_COLUMNS),
+            _columns_check(fc, have, "Q2_composicion_columnas", QUALITY_ITEM_COLUMNS),
             _check(fc, "Q7_composicion_positiva", F.coalesce(F.col("total") > 0, F.lit(False)), F.col("total")),
         ]
     report = checks[0]

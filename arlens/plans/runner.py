@@ -3,8 +3,10 @@ going when one fails, report a status row per product.
 
 Products are written to ``out_dir`` (a shared folder on a cluster). Each is
 staged next to its final folder and swapped in only after the write
-succeeded, so a failing source leaves the previous product untouched. Later
-products read the written tables back, which cuts the lineage between steps.
+succeeded, so a failing source leaves the previous product untouched: the old
+folder is set aside, the new one renamed into its place, and the old one put
+back if that fails. Later products read the tables this run wrote, which cuts
+the lineage between steps; a step never reads what an earlier run left.
 """
 
 from __future__ import annotations
@@ -37,9 +39,22 @@ def save_swap(df: DataFrame, out_dir: str, name: str) -> int:
     n = io.save(df, out_dir, staging, observe_rows=True)
     fs, final = _fs(spark, f"{out_dir.rstrip('/')}/{name}")
     _, staged = _fs(spark, f"{out_dir.rstrip('/')}/{staging}")
-    if fs.exists(final):
-        fs.delete(final, True)
-    fs.rename(staged, final)
+    _, aside = _fs(spark, f"{out_dir.rstrip('/')}/{name}__previous")
+    if fs.exists(aside):
+        # A run ended between its two renames: the set-aside product is the good one.
+        if fs.exists(final):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, final)
+    had = fs.exists(final)
+    if had and not fs.rename(final, aside):
+        raise OSError(f"{name}: the previous product could not be set aside")
+    if not fs.rename(staged, final):
+        if had:
+            fs.rename(aside, final)
+        raise OSError(f"{name}: the new product could not be moved into place")
+    if had:
+        fs.delete(aside, True)
     return int(n or 0)
 
 
@@ -47,16 +62,19 @@ def run_products(spark: SparkSession, out_dir: str, as_of: _dt.date,
                  invoices_raw: DataFrame | None = None, ledger_raw: DataFrame | None = None,
                  composition_grid: DataFrame | None = None, company_map: dict | None = None) -> DataFrame:
     """Build ``facturas``, ``resumen_clientes``, ``meta``, ``cc_composicion``,
-    ``cc_movimientos`` and ``cc_saldos``. Returns the status report."""
+    ``cc_movimientos`` and ``cc_saldos``; without composition also
+    ``cc_items_derivados``, the items the ledger gives. Returns the status report."""
     status: list[tuple] = []
 
-    def step(product: str, fn) -> None:
+    def step(product: str, fn) -> bool:
         try:
             n = fn()
             status.append((product, "ok", n, ""))
+            return True
         except Exception as e:  # noqa: BLE001 - a failing product must not stop the others
-            status.append((product, "error", None, f"{type(e).__name__}: {e}"[:500]))
+            status.append((product, "error", None, f"{type(e).__name__}: {e}"))
             traceback.print_exc()
+            return False
 
     def skipped(product: str) -> None:
         status.append((product, "sin_fuente", None, ""))
@@ -65,7 +83,7 @@ def run_products(spark: SparkSession, out_dir: str, as_of: _dt.date,
         skipped("facturas")
     else:
         def invoices_step():
-            n = save_swap(clean_invoices(invoices_raw, company_map), out_dir, "facturas")
+            n = save_swap(clean_invoices(invoices_raw, company_map or {}), out_dir, "facturas")
             inv = io.load(spark, out_dir, "facturas")
             save_swap(customer_summary(inv), out_dir, "resumen_clientes")
             io.save_meta(spark, out_dir, {"ultima_actualizacion": _dt.datetime.now().isoformat(), "filas": n})
@@ -78,10 +96,10 @@ def run_products(spark: SparkSession, out_dir: str, as_of: _dt.date,
     else:
         def composition_step():
             return save_swap(composition_items(composition_grid, as_of), out_dir, "cc_composicion")
-        step("cc_composicion", composition_step)
-        items = io.load(spark, out_dir, "cc_composicion")
-        if items is not None and not items.isEmpty():
-            comp_summary = composition_summary(items)
+        if step("cc_composicion", composition_step):
+            items = io.load(spark, out_dir, "cc_composicion")
+            if not items.isEmpty():
+                comp_summary = composition_summary(items)
 
     if ledger_raw is None:
         skipped("cc_saldos")
@@ -96,7 +114,7 @@ def run_products(spark: SparkSession, out_dir: str, as_of: _dt.date,
             bal = io.load(spark, out_dir, "cc_saldos")
             # Without a composition workbook the open items come from the ledger.
             derived = open_items(lifo_slices(led, bal.select("cliente", "saldo_actual")), as_of)
-            save_swap(derived, out_dir, "cc_composicion")
+            save_swap(derived, out_dir, "cc_items_derivados")
             return n
         step("cc_saldos", ledger_step)
 

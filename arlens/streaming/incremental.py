@@ -4,13 +4,20 @@ The source system reprocesses everything when a raw file is newer than the
 outputs. Here new ledger files land in a folder partitioned by customer
 bucket; a Structured Streaming file source picks up only files it has not
 seen (tracked in the stream checkpoint), and ``foreachBatch`` recomputes the
-balances of the customer buckets those files touch, overwriting just those
-output partitions. Re-running after a failure replays the same batch and
-rewrites the same partitions, so the result is the same as one batch run.
+balances of the customer buckets those files touch, replacing just those
+output partitions; a touched bucket without debtors is emptied. Re-running
+after a failure replays the same batch and rewrites the same partitions, so the
+result is the same as one batch run.
+
+Corrections arrive as re-exports: a movement is identified by customer, document
+and source order, and its latest landed row counts. The number of buckets is
+stored with the landing; another number is refused.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
@@ -21,6 +28,8 @@ from arlens.operators.balances import client_balances
 from arlens.operators.ledger import clean_ledger
 
 BUCKET = "bucket"
+LANDED = "landed_at"
+DEFAULT_BUCKETS = 1024
 LEDGER_LANDING_SCHEMA = StructType([
     StructField("orden_origen", LongType()),
     StructField("cliente", StringType()),
@@ -30,6 +39,7 @@ LEDGER_LANDING_SCHEMA = StructType([
     StructField("debe", MONEY),
     StructField("haber", MONEY),
     StructField("saldo", MONEY),
+    StructField(LANDED, LongType()),
 ])
 
 
@@ -38,13 +48,39 @@ def bucket_of(cliente: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(title_case(cliente)), F.lit(buckets)).cast("int")
 
 
-def land_ledger(df: DataFrame, landing_dir: str, buckets: int) -> None:
-    """Append ledger movements to the landing folder, partitioned by bucket."""
-    (df.select(*[f.name for f in LEDGER_LANDING_SCHEMA.fields])
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def stored_buckets(spark: SparkSession, landing_dir: str) -> int | None:
+    """Number of buckets the landing folder was made with, None if it is new."""
+    fs, p = _fs(spark, f"{landing_dir.rstrip('/')}/_buckets")
+    return int(fs.listStatus(p)[0].getPath().getName()) if fs.exists(p) else None
+
+
+def land_ledger(df: DataFrame, landing_dir: str, buckets: int = DEFAULT_BUCKETS) -> None:
+    """Append one export's movements to the landing folder, partitioned by bucket."""
+    spark = df.sparkSession
+    have = stored_buckets(spark, landing_dir)
+    if have is None:
+        fs, p = _fs(spark, f"{landing_dir.rstrip('/')}/_buckets/{buckets}")
+        fs.create(p, True).close()
+    elif have != buckets:
+        raise ValueError(f"the landing has {have} buckets, not {buckets}")
+    (df.select(*[f.name for f in LEDGER_LANDING_SCHEMA.fields if f.name != LANDED])
+       .withColumn(LANDED, F.lit(time.time_ns()).cast("long"))
        .withColumn(BUCKET, bucket_of(F.col("cliente"), buckets))
        .write.mode("append").partitionBy(BUCKET).parquet(landing_dir))
 
 
+def latest(landed: DataFrame) -> DataFrame:
+    """The latest landed row of each movement."""
+    keys = ["cliente", "documento", "orden_origen"]
+    rest = [f.name for f in LEDGER_LANDING_SCHEMA.fields if f.name not in (*keys, LANDED)]
+    return landed.groupBy(*keys).agg(F.max(F.struct(LANDED, *rest)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def _landing_schema() -> StructType:
     return StructType(LEDGER_LANDING_SCHEMA.fields + [StructField(BUCKET, IntegerType())])
 
@@ -59,20 +95,19 @@ def recompute_buckets(spark: SparkSession, landing_dir: str, out_dir: str, touch
         return
     full = (spark.read.schema(_landing_schema()).option("basePath", landing_dir).parquet(landing_dir)
                  .filter(F.col(BUCKET).isin(keys)))              # partition pruning on the landing folder
-    bal = client_balances(clean_ledger(full.drop(BUCKET)), as_of)
-    out = bal.withColumn(BUCKET, bucket_of(F.col("cliente"), _buckets(spark)))
+    bal = client_balances(clean_ledger(latest(full.drop(BUCKET))), as_of)
+    out = bal.withColumn(BUCKET, bucket_of(F.col("cliente"), stored_buckets(spark, landing_dir)))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET).parquet(out_dir))
+    # A dynamic overwrite leaves partitions it has no rows for: those debtors have all paid.
+    written = {r[BUCKET] for r in out.select(BUCKET).distinct().collect()}
+    for k in set(keys) - written:
+        fs, p = _fs(spark, f"{out_dir.rstrip('/')}/{BUCKET}={k}")
+        fs.delete(p, True)
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("arlens.ledger.buckets", "16"))
-
-
-def run_incremental(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str, as_of,
-                    buckets: int = 16) -> None:
+def run_incremental(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str, as_of) -> None:
     """Process every landed file not yet seen, then stop (``availableNow``)."""
-    spark.conf.set("arlens.ledger.buckets", str(buckets))
     stream = spark.readStream.schema(_landing_schema()).option("basePath", landing_dir).parquet(landing_dir)
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:

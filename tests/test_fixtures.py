@@ -36,6 +36,6 @@ def test_ledger_landing(spark, con):
 
 def test_composition_landing(spark, con):
     df = fixtures.composition_raw(spark, SF_SMALL)
-    got = [(r["file"], r["sheet"], r["row_idx"], *r["cells"]) for r in df.collect()]
+    got = [(r["file"], r["sheet"], r["row_idx"], *r["cells"], *[None] * (5 - len(r["cells"]))) for r in df.collect()]
     sql = build("SELECT file, sheet, row_idx, c0, c1, c2, c3, c4 FROM comp_raw", ["comp_raw"])
     assert _rows(got) == _rows(con.execute(sql).fetchall())

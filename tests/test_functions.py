@@ -87,10 +87,10 @@ def test_half_even_division(spark):
 def test_optional_invoice_columns_default(spark):
     """Absent optional amount columns count as 0 (P19)."""
     from arlens.operators.invoices import clean_invoices
-    raw = spark.createDataFrame([("Factura", "05/01/2024", "1-1", " acme ", "10.00", "Pesos", "TIARG S.A.", "03_SOPORTE")],
+    raw = spark.createDataFrame([("Factura", "05/01/2024", "1-1", " acme ", "10.00", "Pesos", "Empresa Local", "03_SOPORTE")],
                                 "documento string, fecha string, comprobante string, cliente string, "
                                 "importe_principal string, moneda string, empresa string, nivel_1_dimension string")
-    r = clean_invoices(raw).collect()[0]
+    r = clean_invoices(raw, {"Empresa Local": "Local"}).collect()[0]
     assert r["monto_neto_ars"] == 0 and r["monto_usd"] == 0 and r["importe_pendiente"] == 0
     assert r["moneda_iso"] == "ARS" and r["razon_social"] == "Local" and r["linea_negocio"] == "SOPORTE"
     assert r["cliente"] == "Acme" and r["mes_nombre"] == "Jan 2024"
@@ -101,3 +101,39 @@ def test_strip_like_python(spark):
     from arlens.functions.text import strip
     assert col_values(spark, vals, strip) == ["a b", "x", "", None]
     assert col_values(spark, ["\tpayway s.a.u.\n"], title_case) == ["Payway S.A.U."]
+
+
+def test_amounts_beyond_18_digits_and_rates_survive(spark):
+    from arlens.functions.amounts import to_money, to_rate, unread_amount
+    df = spark.createDataFrame([("12345678901234567.00", "0.00093"), ("x", None), (" ", "n/d"), ("9" * 40, "1")], "a string, r string")
+    rows = df.select(to_money("a"), to_rate("r"), unread_amount("a")).collect()
+    assert [r[0] for r in rows] == [Decimal("12345678901234567.00"), 0, 0, 0]
+    assert rows[0][1] == Decimal("0.00093") and rows[1][1] == 0
+    assert [r[2] for r in rows] == [False, True, False, True]
+
+
+def test_more_date_layouts(spark):
+    import datetime as dt
+    from arlens.functions.dates import parse_dayfirst
+    texts = ["01/02/03", "1.2.2003", "2003-02-01T10:20:30", "01/02/2003 7:05", "sin fecha", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(parse_dayfirst("t")).collect()]
+    assert got == [dt.date(2003, 2, 1)] * 4 + [None, None]
+
+
+def test_decomposed_accents(spark):
+    from arlens.functions.text import client_key, header_key
+    r = spark.createDataFrame([("Lo\u0301pez", "Razo\u0301n Social")], "a string, b string").select(client_key("a"), header_key("b")).first()
+    assert tuple(r) == ("LOPEZ", "razon_social")
+
+
+def test_export_headers_are_accepted(spark):
+    from arlens.operators.invoices import clean_invoices
+    raw = spark.createDataFrame([("05/01/2024", "acme", "Pesos", "7.5", "x")], "`Fecha` string, `Cliente` string, `Moneda` string, `Cantidadesagro` string, `Comprobante` string")
+    r = clean_invoices(raw, {}).first()
+    assert (r["cliente"], r["cantidad"], r["numero_comprobante"], r["producto"]) == ("Acme", Decimal("7.50"), "x", None)
+
+
+def test_blank_documents_of_any_white_space_are_openings(spark):
+    from arlens.operators.ledger import movement_type
+    df = spark.createDataFrame([("\t",), ("\u00a0",), ("FACVTA - 1",)], "d string")
+    assert [r[0] for r in df.select(movement_type("d")).collect()] == ["Saldo Inicial", "Saldo Inicial", "Factura/Cargo"]

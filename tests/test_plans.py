@@ -1,18 +1,60 @@
-"""Plan lint: no query pairs rows (cartesian / nested-loop joins) and none
-leaves the JVM (Python evaluation nodes)."""
+"""Plan lint: no query pairs rows (cartesian / nested-loop joins), none leaves
+the JVM, none reads a checkpoint, and views read products with pruned columns
+and pushed filters. The plans that build the products are linted as well."""
 
-from arlens.plans.catalog import QUERIES
+import re
+
+from arlens.operators import aging, balances, composition, ledger
+from arlens.plans import catalog
+from arlens.sources import fixtures
 from conftest import SF_SMALL
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _checkpoints(plan):
+    # Small lists given by the caller are the only scans of driver rows.
+    return [x for x in re.findall(r"Scan ExistingRDD\[([^\]]*)\]", plan) if not re.search(r"_v#|valor#|cells#|clave#", x)]
+
+
 def test_no_pairing_joins_or_python(spark):
     bad = {}
-    for name, fn in QUERIES.items():
-        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-        hits = [f for f in FORBIDDEN if f in plan]
+    for name, fn in catalog.QUERIES.items():
+        plan = _plan(fn(spark, SF_SMALL))
+        hits = [f for f in FORBIDDEN if f in plan] + _checkpoints(plan)
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+def test_product_builds(spark):
+    led = ledger.clean_ledger(fixtures.ledger_raw(spark, SF_SMALL))
+    grid = fixtures.composition_raw(spark, SF_SMALL)
+    builds = {"invoices": catalog.clean_invoices_fresh(spark, SF_SMALL), "ledger": led, "grid": grid,
+              "items": composition.composition_items(grid, fixtures.AS_OF), "running": ledger.running_balance(led),
+              "lifo": aging.lifo_slices(led, ledger.current_balance(led)), "balances": balances.client_balances(led, fixtures.AS_OF)}
+    for name, df in builds.items():
+        plan = _plan(df)
+        assert not [f for f in FORBIDDEN if f in plan] and not _checkpoints(plan), name
+        assert "rangepartitioning" not in plan, name
+
+
+def test_charges_are_shuffled_once_for_lifo(spark):
+    led = catalog.ledger(spark, SF_SMALL)
+    plan = _plan(aging.lifo_slices(led, catalog.balances(spark, SF_SMALL).select("cliente", "saldo_actual")))
+    # The rows of the charges (with their document) cross one exchange.
+    scans = [x for x in plan.splitlines() if "Exchange hashpartitioning(cliente" in x and "_slice" in x]
+    assert len(scans) >= 1
+    assert plan.count("FileScan parquet") <= 3
+
+
+def test_views_prune_and_push(spark):
+    plan = _plan(catalog.QUERIES["monthly_local"](spark, SF_SMALL))
+    assert "PushedFilters: [" in plan and "EqualTo(razon_social,Local)" in plan
+    schemas = re.findall(r"ReadSchema: struct<([^>\n]*)", plan)
+    assert schemas and all(s.count(":") <= 6 for s in schemas)

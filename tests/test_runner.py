@@ -35,5 +35,27 @@ def test_full_and_degraded_runs(spark, scratch):
 def test_ledger_only_derives_items(spark, scratch):
     led = fixtures.ledger_raw(spark, SF_SMALL)
     run_products(spark, scratch, dt.date(2001, 9, 1), ledger_raw=led)
-    items = io.load(spark, scratch, "cc_composicion")
+    items = io.load(spark, scratch, "cc_items_derivados")
     assert items.count() > 0 and set(r[0] for r in items.select("centro_costo").distinct().collect()) == {"Sin centro"}
+
+
+def test_failed_composition_does_not_read_last_runs_table(spark, scratch):
+    led = fixtures.ledger_raw(spark, SF_SMALL)
+    grid = fixtures.composition_raw(spark, SF_SMALL)
+    run_products(spark, scratch, fixtures.AS_OF, ledger_raw=led, composition_grid=grid)
+    bad = grid.withColumnRenamed("cells", "other")
+    st = {r["producto"]: r for r in run_products(spark, scratch, fixtures.AS_OF, ledger_raw=led, composition_grid=bad).collect()}
+    assert st["cc_composicion"]["estado"] == "error" and len(st["cc_composicion"]["detalle"]) > 0
+    assert st["cc_saldos"]["estado"] == "ok"
+    assert "saldo_composicion" not in io.load(spark, scratch, "cc_saldos").columns
+    assert "esta_vencido" in io.load(spark, scratch, "cc_composicion").columns
+
+
+def test_a_product_set_aside_is_put_back(spark, scratch):
+    import os
+
+    inv = fixtures.invoices_raw(spark, SF_SMALL)
+    run_products(spark, scratch, fixtures.AS_OF, invoices_raw=inv, company_map=fixtures.COMPANY_MAP_FIXTURE)
+    os.rename(f"{scratch}/facturas", f"{scratch}/facturas__previous")  # a run that died between its renames
+    st = run_products(spark, scratch, fixtures.AS_OF, invoices_raw=inv, company_map=fixtures.COMPANY_MAP_FIXTURE).collect()
+    assert all(r["estado"] != "error" for r in st) and not os.path.exists(f"{scratch}/facturas__previous")

@@ -11,9 +11,9 @@ from conftest import SF_SMALL
 def test_include_exclude_partition(spark):
     inv = catalog.invoices(spark, SF_SMALL)
     sel = ["Customer#000000002 S.A.U.", "customer#000000004 s.a.u."]
-    a = scope.apply_scope(inv, scope.ScopeSpec(clientes=sel, clientes_modo=scope.INCLUDE))
-    b = scope.apply_scope(inv, scope.ScopeSpec(clientes=sel, clientes_modo=scope.EXCLUDE))
-    allrows = scope.apply_scope(inv, scope.ScopeSpec())
+    a = scope.apply_scope(inv, scope.ScopeSpec(clientes=sel, clientes_modo=scope.INCLUDE, all_dates=True))
+    b = scope.apply_scope(inv, scope.ScopeSpec(clientes=sel, clientes_modo=scope.EXCLUDE, all_dates=True))
+    allrows = scope.apply_scope(inv, scope.ScopeSpec(all_dates=True))
     assert a.count() + b.count() == allrows.count()
     assert a.join(b, ["numero_comprobante"], "inner").count() == 0
     assert a.select("cliente").distinct().count() == 2
@@ -22,7 +22,7 @@ def test_include_exclude_partition(spark):
 def test_long_list_uses_join(spark):
     inv = catalog.invoices(spark, SF_SMALL)
     names = [r[0] for r in inv.select("cliente").distinct().collect()]
-    many = names + [f"X{i}" for i in range(scope.INLINE_LIST_MAX)]
+    many = names + [f"X{i}" for i in range(1500)]
     got = scope.in_list(inv, "cliente", many, scope.INCLUDE).count()
     assert got == inv.count()
     assert scope.in_list(inv, "cliente", many, scope.EXCLUDE).count() == 0
@@ -34,7 +34,7 @@ def test_permission_rows_and_fail_closed(spark):
     assert ("admin", "superuser", None, None) in rows
     assert ("u_incl", "clientes", "Incluir", "Customer#000000004 S.A.U.") in rows
     assert ("u_excl", "centros", "Incluir", "ECONOMY") in rows
-    inv = scope.apply_scope(catalog.invoices(spark, SF_SMALL), scope.ScopeSpec())
+    inv = scope.apply_scope(catalog.invoices(spark, SF_SMALL), scope.ScopeSpec(all_dates=True))
     per = {r["usuario"]: r["filas"] for r in scope.rows_per_user(inv, grants).collect()}
     total = inv.count()
     assert per["admin"] == total

@@ -1,7 +1,11 @@
 """Incremental re-ingestion: two landing batches processed by the file
 stream give the same balances as one batch run over everything."""
 
+import datetime as dt
 import os
+from decimal import Decimal as D
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -22,11 +26,46 @@ def test_batch_equals_stream(spark, scratch):
     landing, out, ckpt = (os.path.join(scratch, d) for d in ("landing", "out", "ckpt"))
     early = F.coalesce(F.col("fecha"), F.lit("1900-01-01").cast("date")) < F.lit("1999-01-01").cast("date")
     land_ledger(raw.filter(early), landing, 8)
-    run_incremental(spark, landing, out, ckpt, AS_OF, buckets=8)
+    run_incremental(spark, landing, out, ckpt, AS_OF)
     first = spark.read.parquet(out).count()
     land_ledger(raw.filter(~early), landing, 8)
-    run_incremental(spark, landing, out, ckpt, AS_OF, buckets=8)
+    run_incremental(spark, landing, out, ckpt, AS_OF)
     streamed = spark.read.parquet(out)
     batch = client_balances(clean_ledger(raw), AS_OF)
     assert first > 0
     assert _canon(streamed) == _canon(batch)
+
+
+SCHEMA = "orden_origen long, cliente string, documento string, fecha date, fecha_vencimiento date, debe decimal(28,2), haber decimal(28,2), saldo decimal(28,2)"
+
+
+def _run(spark, scratch, *exports, buckets=8):
+    landing, out, ckpt = (os.path.join(scratch, d) for d in ("landing", "out", "ckpt"))
+    for rows in exports:
+        land_ledger(spark.createDataFrame(rows, SCHEMA), landing, buckets)
+        run_incremental(spark, landing, out, ckpt, AS_OF)
+    return {r["cliente"]: r for r in spark.read.parquet(out).collect()}
+
+
+def _charge(order, who, amount, balance):
+    return (order, who, f"FACVTA - {order}", dt.date(2001, 5, 1), dt.date(2001, 6, 1), amount, D(0), balance)
+
+
+def test_a_bucket_whose_debtors_paid_is_emptied(spark, scratch):
+    paid = (2, "ana", "COBRANZA - 2", dt.date(2001, 7, 1), None, D(0), D(100), D(0))
+    other = _charge(9, "zoe", D(5), D(5))
+    got = _run(spark, scratch, [_charge(1, "ana", D(100), D(100)), other], [paid], buckets=64)
+    assert set(got) == {"Zoe"}
+
+
+def test_a_reexport_counts_once(spark, scratch):
+    rows = [_charge(1, "ana", D(100), D(100))]
+    fixed = [_charge(1, "ana", D(80), D(80))]
+    assert _run(spark, scratch, rows, rows)["Ana"]["debe_total"] == D(100)
+    assert _run(spark, os.path.join(scratch, "b"), rows, fixed)["Ana"]["debe_total"] == D(80)
+
+
+def test_another_bucket_count_is_refused(spark, scratch):
+    land_ledger(spark.createDataFrame([_charge(1, "ana", D(1), D(1))], SCHEMA), scratch, 8)
+    with pytest.raises(ValueError):
+        land_ledger(spark.createDataFrame([_charge(2, "ana", D(1), D(1))], SCHEMA), scratch, 12)
