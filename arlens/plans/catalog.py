@@ -249,6 +249,10 @@ def q_comp_flexible_check(spark, sf):
     return comp_ops.flexible_check(comp_grid(spark, sf))
 
 
+PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
+                                "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
+
+
 # --- M5: scope, permissions, options ------------------------------------------------
 from arlens.functions.text import client_key, strip, title_case  # noqa: E402
 from arlens.operators import briefing as brief_ops  # noqa: E402
