@@ -175,12 +175,3 @@ class Words:
 
     def words(self, salt: int = 0) -> np.ndarray:
         return self.hash(self.start, self.end, salt)
-
-
-def grams(word: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of ``n`` words that begin at each place (the last n-1 are partial)."""
-    out = np.zeros(len(word), np.uint64)
-    for k in range(n):
-        out *= np.uint64(0x9FB21C651E98DF25)
-        out[:len(word) - k] += word[k:]
-    return mix64(out)

@@ -186,9 +186,6 @@ def render(kind: str, found: str, core: str) -> str:
     return core.upper() if found.isupper() and any(c.isalpha() for c in found) else core
 
 
-_TRIGGER = re.compile("|".join(ADDRESS))
-
-
 def _suspects(col: pa.Array) -> np.ndarray:
     """Rows that may hold an entity: an @, four digits, or a form of address."""
     data, off = text_buffer(col)
