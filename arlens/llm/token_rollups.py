@@ -42,6 +42,17 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECE = 1 << 16
 
 
+_ENCODERS: dict[str, object] = {}
+
+
+def _shared_encoder(name: str):
+    """The encoder of a file Spark sent to this executor, built once per worker."""
+    if name not in _ENCODERS:
+        with open(SparkFiles.get(name), "rb") as f:
+            _ENCODERS[name] = _encoder(f.read())
+    return _ENCODERS[name]
+
+
 def _encoder(ranks: bytes):
     import tiktoken
 
@@ -62,10 +73,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text: str = "text"
 
     @F.arrow_udf("map<string,bigint>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoders = {}
-        for version, name in names.items():
-            with open(SparkFiles.get(name), "rb") as f:
-                encoders[version] = _encoder(f.read())
+        encoders = {version: _shared_encoder(name) for version, name in names.items()}
         for col in parts:
             texts = col.to_pylist()
             rows = [[(v, sum(len(e.encode_ordinary(x)) for x in pieces(t or ""))) for v, e in encoders.items()] for t in texts]
