@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arlens.llm.common import stored, text_buffer
+from arlens.llm.common import slices, stored, text_buffer
 
 # Forms of address and the gender they tell (fixed values).
 ADDRESS = {"Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Herr": "m", "Frau": "f",
@@ -189,11 +189,15 @@ def render(kind: str, found: str, core: str) -> str:
 def _suspects(col: pa.Array) -> np.ndarray:
     """Rows that may hold an entity: an @, four digits, or a form of address."""
     data, off = text_buffer(col)
-    digits = np.append(0, np.cumsum((data >= 48) & (data <= 57)))
-    ats = np.append(0, np.cumsum(data == 64))
-    hot = (digits[off[1:]] - digits[off[:-1]] >= 4) | (ats[off[1:]] > ats[off[:-1]])
-    named = np.asarray(pc.fill_null(pc.match_substring_regex(col, "|".join(ADDRESS)), False)) if len(col) else np.zeros(0, bool)
-    return np.flatnonzero(hot | named)
+    hot = np.zeros(len(col), bool)
+    for i, j in slices(off):
+        part, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
+        digits = np.append(0, np.cumsum((part >= 48) & (part <= 57)))
+        ats = np.append(0, np.cumsum(part == 64))
+        hot[i:j] = (digits[o[1:]] - digits[o[:-1]] >= 4) | (ats[o[1:]] > ats[o[:-1]])
+    if len(col):
+        hot |= np.asarray(pc.fill_null(pc.match_substring_regex(col, "|".join(ADDRESS)), False))
+    return np.flatnonzero(hot)
 
 
 _FOUND = "array<struct<type:string,what:string>>"
