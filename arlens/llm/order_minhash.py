@@ -16,7 +16,7 @@
 4. A pair is verified by banded alignment of its words: similarity is
    1 - edit distance / longer length, at least SIMILARITY. Pairs that cannot
    reach it by their lengths or by the words they have in common are dropped
-   before; the band is as wide as the threshold allows, so the test is exact.
+   before; the band widens until it settles the pair, so the test is exact.
 5. Verified links are closed to classes by star contraction.
 
 Result: one row per document with class_id (smallest doc_id of the class) and
@@ -174,38 +174,51 @@ def candidates(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def edit_distances(left: list[np.ndarray], right: list[np.ndarray], band: int) -> np.ndarray:
-    """Edit distances of pairs of sequences by alignment in a band of +-``band``;
-    a result above ``band`` means more than ``band``. left[i] must not be empty."""
+    """Cost of the best alignment of each pair that stays in a band of +-``band``
+    around the diagonal. It is the edit distance if it is at most ``band``, and
+    never less than that. left[i] must not be empty."""
     n = np.array([len(x) for x in left])
     m = np.array([len(x) for x in right])
     wide = 2 * band + 1
     far = np.int32(1 << 28)
-    a = np.zeros((len(n), n.max()), np.uint64)
-    b = np.ones((len(n), max(n.max(), m.max()) + wide + 1), np.uint64)
+    # Pairs are the inner axis: every step works on whole rows of the band at once.
+    a = np.full((n.max(), len(n)), -1, np.int64)
+    b = np.full((max(n.max(), m.max()) + wide + 1, len(n)), -2, np.int64)
     for i, (x, y) in enumerate(zip(left, right, strict=True)):
-        a[i, :len(x)] = x
-        b[i, band:band + len(y)] = y
-    steps = np.arange(wide, dtype=np.int32)
-    row = np.where(steps >= band, steps - band, far)[None, :].repeat(len(n), 0).astype(np.int32)
+        a[:len(x), i] = x.view(np.int64)
+        b[band:band + len(y), i] = y.view(np.int64)
+    steps = np.arange(wide, dtype=np.int32)[:, None]
+    row = np.where(steps >= band, steps - band, far).repeat(len(n), 1).astype(np.int32)
     out = np.full(len(n), far, np.int32)
     end = m - n + band
     inside = (end >= 0) & (end < wide)
+    last = np.argsort(n, kind="stable")
+    done = np.searchsorted(n[last], np.arange(n.max() + 2))
     for i in range(int(n.max())):
-        # Column o of row i+1 stands for the first i+1 words left and i+1+o-band words right.
-        new = row + (a[:, i:i + 1] != b[:, i:i + wide])
+        # Row o of step i+1 stands for the first i+1 words left and i+1+o-band words right.
+        new = row + (b[i:i + wide] != a[i])
         if i < band:
-            new[:, :band - i] = far
-            new[:, band - i - 1] = i + 1
-        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
-        new = np.minimum.accumulate(new - steps, axis=1) + steps
-        done = np.flatnonzero((n == i + 1) & inside)
-        out[done] = new[done, end[done]]
+            new[:band - i] = far
+            new[band - i - 1] = i + 1
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new -= steps
+        np.minimum.accumulate(new, axis=0, out=new)
+        new += steps
+        if done[i + 1] < done[i + 2]:
+            ready = last[done[i + 1]:done[i + 2]]
+            ready = ready[inside[ready]]
+            out[ready] = new[end[ready], ready]
         row = new
     return out
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
-    """Which pairs have 1 - edit distance / longer length >= ``similarity``."""
+    """Which pairs have 1 - edit distance / longer length >= ``similarity``.
+
+    A narrow band comes first: its cost is never below the distance, so a pair
+    it accepts is similar. Only pairs it does not accept are aligned again in
+    wider bands, up to one that holds every alignment of the allowed cost.
+    """
     size = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)], int)
     limit = np.floor((1 - similarity) * size + 1e-9).astype(int)
     verdict = np.zeros(len(size), bool)
@@ -218,24 +231,25 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float =
         p, q = np.bincount(c[:len(x)], minlength=len(u)), np.bincount(c[len(x):], minlength=len(u))
         if size[i] - np.minimum(p, q).sum() <= limit[i]:
             todo.append(i)
-    band = {i: max(2, abs(len(left[i]) - len(right[i])), int(limit[i]) // 6) for i in todo}
+    band = {i: min(int(limit[i]), abs(len(left[i]) - len(right[i])) + 3) for i in todo}
     while todo:
-        todo.sort(key=lambda i: (band[i], size[i]))
+        # Pairs of like length and band are aligned together.
+        todo.sort(key=lambda i: (band[i].bit_length(), size[i]))
         later, k = [], 0
         while k < len(todo):
-            j, cells = k, 0
-            while j < len(todo) and (j == k or (j - k + 1) * (2 * band[todo[j]] + 1) <= 1 << 15):
+            j = k + 1
+            while j < len(todo) and size[todo[j]] <= 1.25 * size[todo[k]] + 8 and band[todo[j]] <= 2 * band[todo[k]] + 2 \
+                    and (j - k + 1) * (4 * band[todo[k]] + 5) <= 1 << 15:
                 j += 1
-            group = todo[k:j]
-            wide = band[group[-1]]
+            group, k = todo[k:j], j
+            wide = max(band[i] for i in group)
             d = edit_distances([left[i] for i in group], [right[i] for i in group], wide)
             for i, x in zip(group, d, strict=True):
-                if x <= wide or wide >= limit[i]:
+                if x <= limit[i] or wide >= limit[i]:
                     verdict[i] = x <= limit[i]
                 else:
-                    band[i] = min(int(limit[i]), 3 * wide)
+                    band[i] = min(int(limit[i]), 4 * wide)
                     later.append(i)
-            k = j
         todo = later
     return verdict
 
@@ -245,16 +259,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def words(col: pa.Array) -> list[np.ndarray]:
         data, off = text_buffer(col)
-        w = Words(data, off, space)
-        h = w.words()
-        return [h[w.first[i]:w.first[i + 1]] for i in range(len(off) - 1)]
+        out = []
+        for i, j in slices(off):
+            w = Words(data[off[i]:off[j]], off[i:j + 1] - off[i], space)
+            h = w.words()
+            out += [h[w.first[k]:w.first[k + 1]] for k in range(j - i)]
+        return out
 
     for batch in batches:
-        _, off = text_buffer(batch.column(2))
-        for i, j in slices(off):
-            part = batch.slice(i, j - i)
-            ok = similar(words(part.column(2)), words(part.column(3)))
-            yield part.select([0, 1]).filter(pa.array(ok))
+        ok = similar(words(batch.column(2)), words(batch.column(3)))
+        yield batch.select([0, 1]).filter(pa.array(ok))
 
 
 def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
