@@ -297,7 +297,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     member = components(found, "a", "b").join(degree, "node")
     named = stored(reps.select("fp1", "fp2", "node", "rep_id").join(member, "node", "left").select(
         "fp1", "fp2", F.coalesce("component", "node").alias("class"), F.struct("rep_id", "node").alias("r"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
-    heads = named.groupBy("class").agg(F.min("r").alias("head"), F.min("r.rep_id").alias("class_id"))
+    # Stored, so that the join below deals both sides anew and a large class can be split.
+    heads = stored(named.groupBy("class").agg(F.min("r").alias("head"), F.min("r.rep_id").alias("class_id")), "heads")
     classes = stored(named.join(heads, "class").select("fp1", "fp2", "class_id", "head", "links"), "classes")
     some = F.col("n_words") > 0
     is_first = (F.col("head.rep_id").eqNullSafe(F.col("doc_id"))) & (F.col("head.node") == F.col("text_hash"))
