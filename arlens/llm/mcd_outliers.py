@@ -105,6 +105,13 @@ def base_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                        ((n < MIN_WORDS) | (100 * r > 20 * n)).alias("base_failed"))
 
 
+def per_group(df: DataFrame, name: str) -> DataFrame:
+    """A table of one row per group, stored as one file: its size, which decides
+    whether joins broadcast it, is then that of its rows and not of many file
+    footers, and the rows it is joined with stay where they are."""
+    return stored(df.repartition(1), name)
+
+
 def _median(rows: DataFrame, value: Callable[[str], Column], into: str) -> DataFrame:
     """Median of each statistic per group, to within MEDIAN_BIN, from bin counts."""
     long = rows.select("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.round(value(n) / MEDIAN_BIN).cast("long").alias("b"))
@@ -133,7 +140,7 @@ def _estimate(rows: DataFrame, cov: Callable[[int, int], Column], name: str) ->
     cols = [f"_l{i}{j}" for i in range(P) for j in range(i + 1)]
     for n, c in _cholesky(cov):
         rows = rows.withColumn(n, c)
-    return stored(rows.select("_g", *[f"_m{i}" for i in range(P)], *cols), name)
+    return per_group(rows.select("_g", *[f"_m{i}" for i in range(P)], *cols), name)
 
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -174,7 +181,7 @@ def judged(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     good = counts.filter(~F.col("base_failed"))
     sizes = good.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
     pooled = F.when(F.col("n") >= MIN_GROUP, F.col("_g")).otherwise(F.lit("pooled"))
-    names = stored(sizes.withColumn("_to", pooled).withColumn("_all", F.sum("n").over(Window.partitionBy("_to"))).select(
+    names = per_group(sizes.withColumn("_to", pooled).withColumn("_all", F.sum("n").over(Window.partitionBy("_to"))).select(
         F.col("_g").alias("_from"), "_to", (F.col("_all") >= MIN_GROUP).alias("_enough")), "groups")
 
     def grouped(rows: DataFrame) -> DataFrame:
@@ -184,7 +191,7 @@ def judged(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     values = [F.when(ok, make()).alias(n) for n, make, _ in STATISTICS]
     rows = stored(grouped(good).filter("_enough").select("_g", *values), "statistics")
 
-    centre = stored(_median(rows, F.col, "_m"), "medians")
+    centre = per_group(_median(rows, F.col, "_m"), "medians")
     spread = _median(rows.join(centre, "_g"), lambda n: F.abs(F.col(n) - F.col(f"_m{NAMES.index(n)}")), "_a")
 
     def start(i: int, j: int) -> Column:
