@@ -3,14 +3,17 @@
 1. Every test item gives the runs of SEED_WORDS words it holds (lower-cased
    letters and digits). One pass over all documents counts in how many documents
    each of these runs occurs.
-2. The seeds of an item are its rarest runs: the rarer half, and at least
-   MIN_SEEDS. Rarity is a rank inside the item, never an absolute cut, so an item
-   that leaked into very many documents keeps its seeds.
-3. A second pass finds the places where seeds occur. Places closer together than
-   the longest item form a passage, widened by the longest item on both sides.
-   Passages meet items through their seeds; a pair needs MIN_HITS different seeds
-   (or as many as the item has). A passage of mostly repeated seeds still counts
-   each seed once.
+2. An alignment of score S has at least S - 1 pairs of neighbouring matches (every
+   edit parts at most one more), so a leak of an item of n words shares
+   ceil(MIN_SCORE * n) - 1 of the item's n - 1 run places. Any choice that leaves out
+   fewer than that, less h, is met in h places: the seeds are the rarest runs that
+   make up such a choice for h = MIN_HITS (or as many as a leak must share). Rarity
+   only decides which places are chosen, so no leak is lost by it, whichever runs an
+   edit broke and however often an item leaked.
+3. A second pass finds the places where seeds occur. An alignment that scores
+   MIN_SCORE spans at most 2 - MIN_SCORE times the item; places closer together than
+   that for the longest item form a passage, widened by as much on both sides.
+   Passages meet items through their seeds; a pair needs h of the item's seed places.
 4. Smith-Waterman aligns item and passage word by word (match 1, mismatch and gap
    -1). The score over the item's length says how much of the item the passage
    holds, net of edits; from MIN_SCORE on the pair is a leak.
@@ -24,7 +27,7 @@ Result of ``leaks``: one row per (document, item) that leaks: doc_id, text_hash,
 item_id, score, start and end (word places in the document, of its best passage).
 
 Defined results: null or wordless texts and items never match; an item shorter
-than SEED_WORDS words has one seed, its whole word list, and meets only texts of
+than SHORT_WORDS words has one seed, its whole word list, and meets only texts of
 exactly those words; items of equal words
 each get their own rows; documents that repeat get equal rows each; empty tables
 give no rows; other columns are ignored. Memory follows the longest text.
@@ -39,11 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arlens.llm.common import Words, byte_set, fold_case, slices, stored, text_buffer
+from arlens.llm.common import Words, byte_set, fold_case, mix64, slices, stored, text_buffer
 from arlens.llm.order_minhash import grams_of
 
-SEED_WORDS = 3
-MIN_SEEDS = 8
+SEED_WORDS = 2
+SHORT_WORDS = 3
 MIN_HITS = 2
 MIN_SCORE = 0.5
 FILTER_BITS = 24
@@ -54,25 +57,35 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
     return w, w.words()
 
 
-def _runs(word: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the run at each word, and which words start a run: all but the
-    last of a text, or the first of a text with fewer words."""
-    n = np.diff(w.first)
-    place = np.arange(len(word)) - w.first[w.doc] if len(word) else np.zeros(0, int)
-    return grams_of(word, w.doc, SEED_WORDS), (place + SEED_WORDS <= n[w.doc]) | (place == 0)
+def _runs(word: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word it starts at, whether it stands for a whole short text) of every
+    run, by place: a text under SHORT_WORDS words has itself as a run besides."""
+    n = np.diff(w.first)[w.doc]
+    place = np.arange(len(word)) - w.first[w.doc]
+    run = grams_of(word, w.doc, SEED_WORDS)
+    inner = np.flatnonzero(place + SEED_WORDS <= n)
+    whole = np.flatnonzero((place == 0) & (n < SHORT_WORDS))
+    at = np.concatenate((inner, whole))
+    order = np.argsort(at, kind="stable")
+    key = np.concatenate((run[inner], mix64(run[whole] + np.uint64(0xA24BAED4963EE407))))
+    return key[order], at[order], (np.arange(len(at)) >= len(inner))[order]
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_buffer(batch.column(1))
         w, word = _tokens(data, off)
-        run, starts = _runs(word, w)
+        run, at, whole = _runs(word, w)
+        own = whole == (np.diff(w.first)[w.doc[at]] < SHORT_WORDS)
+        run, cut = run[own], np.searchsorted(at[own], w.first)
         pick = [i for i in range(len(off) - 1) if w.first[i + 1] > w.first[i]]
+        count = [np.unique(run[cut[i]:cut[i + 1]], return_counts=True) for i in pick]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(pick, pa.int64())),
              pa.array([word[w.first[i]:w.first[i + 1]].view(np.int64) for i in pick], pa.list_(pa.int64())),
-             pa.array([np.unique(run[w.first[i]:w.first[i + 1]][starts[w.first[i]:w.first[i + 1]]]).view(np.int64) for i in pick], pa.list_(pa.int64()))],
-            ["item_id", "words", "runs"])
+             pa.array([key.view(np.int64) for key, _ in count], pa.list_(pa.int64())),
+             pa.array([n.astype(np.int64) for _, n in count], pa.list_(pa.int64()))],
+            ["item_id", "words", "runs", "places"])
 
 
 def bit_table(runs: DataFrame) -> np.ndarray:
@@ -100,34 +113,34 @@ def _seen(shared):
             data, off = text_buffer(batch.column(0))
             for i, j in slices(off):
                 w, word = _tokens(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                run, starts = _runs(word, w)
-                hit = np.flatnonzero(starts & _set(table, run)) if len(run) else np.zeros(0, int)
-                pair = np.unique(np.stack((run[hit], w.doc[hit].astype(np.uint64))), axis=1)[0] if len(hit) else run[hit]
+                run, at, _ = _runs(word, w)
+                hit = _set(table, run)
+                run, doc = run[hit], w.doc[at[hit]].astype(np.uint64)
+                pair = np.unique(np.stack((run, doc)), axis=1)[0] if len(run) else run
                 key, n = np.unique(pair, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["run", "docs"])
     return run_
 
 
-def _passages(shared, longest: int):
-    """Passages around the seeds of each text."""
+def _passages(shared, reach: int):
+    """Passages around the seeds of each text; no alignment spans over ``reach`` words."""
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
             data, off = text_buffer(batch.column(2))
             for i, j in slices(off):
                 w, word = _tokens(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                run, starts = _runs(word, w)
-                if not len(run):
-                    continue
-                hit = np.flatnonzero(starts & _set(table, run))
+                run, at, _ = _runs(word, w)
+                seed = _set(table, run)
+                run, hit = run[seed], at[seed]
                 if not len(hit):
                     continue
-                cut = np.flatnonzero((np.diff(hit) > longest) | (np.diff(w.doc[hit]) > 0)) + 1
+                cut = np.flatnonzero((np.diff(hit) > reach) | (np.diff(w.doc[hit]) > 0)) + 1
                 lo, hi = hit[np.append(0, cut)], hit[np.append(cut, len(hit)) - 1]
                 doc = w.doc[lo]
-                a = np.maximum(lo - longest, w.first[doc])
-                b = np.minimum(hi + longest + SEED_WORDS, w.first[doc + 1])
-                seeds = np.split(run[hit], cut)
+                a = np.maximum(lo - reach, w.first[doc])
+                b = np.minimum(hi + reach + SEED_WORDS, w.first[doc + 1])
+                seeds = np.split(run, cut)
                 who = pa.array(doc + i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(who), batch.column(1).take(who), pa.array(a - w.first[doc], pa.int64()),
@@ -205,25 +218,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     spark = docs.sparkSession
     sc = spark.sparkContext
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(item_text).alias("text"))
-                   .mapInArrow(_items, "item_id long, words array<long>, runs array<long>")
+                   .mapInArrow(_items, "item_id long, words array<long>, runs array<long>, places array<long>")
                    .withColumn("item", F.xxhash64("item_id", "words")), "items")
-    runs = items.select("item", "item_id", F.explode("runs").alias("run"))
+    runs = (items.select("item", F.size("words").alias("n"), F.explode(F.arrays_zip("runs", "places")).alias("r"))
+            .select("item", "n", F.col("r.runs").alias("run"), F.col("r.places").alias("places")))
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     every = sc.broadcast(bit_table(runs.select("run")))
     seen = texts.select("text").mapInArrow(_seen(every), "run long, docs long").groupBy("run").agg(F.sum("docs").alias("docs"))
+    shared = F.greatest(F.lit(1), F.ceil(F.lit(MIN_SCORE) * F.col("n")) - 1)
     rank = Window.partitionBy("item").orderBy(F.coalesce("docs", F.lit(0)), "run")
-    size = F.count(F.lit(1)).over(Window.partitionBy("item"))
-    seeds = stored(runs.join(seen, "run", "left").withColumn("of", size).withColumn("place", F.row_number().over(rank))
-                   .filter(F.col("place") <= F.greatest(F.lit(MIN_SEEDS), F.ceil(F.col("of") / 2)))
-                   .select("item", "run", F.least("of", F.lit(MIN_HITS)).alias("need")), "seeds")
+    before = F.sum("places").over(rank.rowsBetween(Window.unboundedPreceding, -1))
+    size = F.sum("places").over(Window.partitionBy("item"))
+    seeds = stored(runs.join(seen, "run", "left").withColumn("need", F.least(shared, F.lit(MIN_HITS)))
+                   .withColumn("before", F.coalesce(before, F.lit(0))).withColumn("of", size)
+                   .filter(F.col("before") < F.col("of") - shared + F.col("need"))
+                   .select("item", "run", "places", "need"), "seeds")
 
     rare = sc.broadcast(bit_table(seeds.select("run")))
-    passages = stored(texts.mapInArrow(_passages(rare, longest), "doc_id long, text_hash long, start long, words array<long>, seeds array<long>")
+    passages = stored(texts.mapInArrow(_passages(rare, int((2 - MIN_SCORE) * longest)), "doc_id long, text_hash long, start long, words array<long>, seeds array<long>")
                       .withColumn("passage", F.xxhash64("doc_id", "text_hash", "start")), "passages")
     pairs = (passages.select("passage", F.explode("seeds").alias("run")).distinct().join(seeds, "run")
-             .groupBy("passage", "item").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).filter("hits >= need"))
+             .groupBy("passage", "item").agg(F.sum("places").alias("hits"), F.max("need").alias("need")).filter("hits >= need"))
     both = (pairs.select("passage", "item").join(passages.drop("seeds"), "passage")
             .join(items.select("item", "item_id", F.col("words").alias("item_words")), "item"))
     found = both.drop("passage", "item").mapInArrow(

@@ -56,6 +56,29 @@ def test_edited_leaks(spark, prose):
     assert kept == {doc for doc, _ in docs} - {doc for doc, _ in want}
 
 
+def test_dense_edits_and_partial_copies(spark, prose):
+    items = [(i, prose(3000 + i, (30, 31, 40, 23, 9, 4)[i % 6])) for i in range(12)] + [(20, "ab cd ab cd ab cd ab cd")]
+    docs = [(i, prose(3100 + i, 120)) for i in range(10)]
+    for i, t in items:
+        words = t.split()
+        copies = [words[:-(-len(words) * 55 // 100)], words[len(words) // 2:], words]
+        for step in (4, 5, 6, 7):  # one word in ``step`` changed, and a word put in after each ``step``
+            copies.append(["changed" if k % step == step - 1 else v for k, v in enumerate(words)])
+            copies.append([v for k, u in enumerate(words) for v in ([u, "added"] if k % step == step - 1 else [u])])
+        copies.append([v for k, u in enumerate(words) for v in ([u, "added"] if k % 2 else [u])])
+        docs += [(1000 * (i + 1) + c, prose(4000 + 20 * i + c, 50) + " " + " ".join(x) + " " + prose(5000 + 20 * i + c, 50)) for c, x in enumerate(copies)]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for doc, t in docs:
+        for item, s in items:
+            x, y = ([w.lower() for w in TOKEN.findall(z)] for z in (s, t))
+            if (score := smith_waterman(x, y) / len(x)) >= dc.MIN_SCORE:
+                want[doc, item] = score
+    assert len(want) > 100 and set(got) == set(want)
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_a_leak_in_most_documents_is_found(spark, prose):
     item = prose(42, 25)
     docs = spark.createDataFrame([(i, prose(i, 30) + " " + item) for i in range(60)] + [(100 + i, prose(100 + i, 60)) for i in range(20)], "doc_id long, text string")
