@@ -10,17 +10,22 @@
    probability that falls with their edit distance, and unlike set MinHash it
    also falls if the same k-mers come in another order.
 3. Texts that share a sketch form a bucket. Each bucket has one centre, drawn by
-   a hash of bucket and text, and its members are compared with the centre: as
-   many pairs as members, never all pairs. Copies meet in many buckets with
-   different centres.
+   a hash of bucket and text, and its members are compared with the centre first:
+   as many pairs as members. Similarity is not transitive, so members that are
+   unlike the centre may still be like each other: all pairs of a bucket whose
+   texts these links have not brought into one class are compared after that. So
+   every similar pair of a bucket ends in one class; copies of each other cost
+   one pair each, unlike texts of a bucket all their pairs.
 4. A pair is verified by banded alignment of its words: similarity is
    1 - edit distance / longer length, at least SIMILARITY. Pairs that cannot
    reach it by their lengths or by the words they have in common are dropped
    before; the band widens until it settles the pair, so the test is exact.
-5. Verified links are closed to classes by star contraction.
+5. Verified links are closed to classes by star contraction, after the pairs with
+   the centres and again after the others.
 
 Result: one row per document with class_id (smallest doc_id of the class) and
-links, the number of verified links of its text.
+links, the number of verified links of its text (pairs that were in one class
+before their turn are not compared).
 
 Defined results: a text without words (null, empty, white space) is a class of
 its own, named by its doc_id, with no links. A text of fewer than K words has
@@ -40,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arlens.llm.common import Words, byte_set, mix64, slices, stored, text_buffer
@@ -162,17 +167,48 @@ def representatives(signed: DataFrame) -> DataFrame:
     ).select("fp1", "fp2", F.col("r.doc_id").alias("rep_id"), F.col("r.text_hash").alias("node"), "n_words", "sketches")
 
 
-def candidates(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes: the members of each bucket with its centre."""
+def members(reps: DataFrame) -> DataFrame:
+    """(bucket, node, n_words) of the buckets with more than one member, stored."""
     rows = reps.select("node", "n_words", F.explode("sketches").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    return stored(rows.join(shared, "bucket").select("bucket", "node", "n_words"), "members")
+
+
+def _near(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
+
+
+def candidates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes: the members of each bucket with its centre."""
     choice = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("node"), F.col("n_words").alias("n_words"))
-    centres = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(choice).alias("c")).filter("n > 1")
+    centres = stored(rows.groupBy("bucket").agg(F.min(choice).alias("c"))
                      .select("bucket", F.col("c.node").alias("centre"), F.col("c.n_words").alias("c_words")), "centres")
-    near = F.least("n_words", "c_words") >= F.greatest("n_words", "c_words") * F.lit(similarity)
-    return (rows.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & near)
+    return (rows.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & _near("n_words", "c_words", similarity))
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
+def unlinked(rows: DataFrame, member: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but neither a class nor a row of ``done``.
+
+    Classes of a bucket meet before their members do, so a class's own pairs,
+    however many, are never formed.
+    """
+    rows = (rows.join(member, "node", "left")
+            .select("bucket", "node", "n_words", F.coalesce("component", "node").alias("class")))
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("bucket")
+    rows = stored(rows.join(mixed, "bucket"), "mixed-buckets")
+    size = (F.min("n_words").alias("lo"), F.max("n_words").alias("hi"))
+    left = rows.groupBy("bucket", F.col("class").alias("ca")).agg(*size)
+    right = rows.groupBy("bucket", F.col("class").alias("cb")).agg(*size).withColumnsRenamed({"lo": "lo_b", "hi": "hi_b"})
+    reach = (F.col("hi") >= F.col("lo_b") * F.lit(similarity)) & (F.col("hi_b") >= F.col("lo") * F.lit(similarity))
+    met = left.join(right, "bucket").filter((F.col("ca") < F.col("cb")) & reach).select("bucket", "ca", "cb")
+    one = rows.select("bucket", F.col("class").alias("ca"), F.col("node").alias("x"), F.col("n_words").alias("nx"))
+    two = rows.select("bucket", F.col("class").alias("cb"), F.col("node").alias("y"), F.col("n_words").alias("ny"))
+    pairs = (met.join(one, ["bucket", "ca"]).join(two, ["bucket", "cb"]).filter(_near("nx", "ny", similarity))
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def edit_distances(left: list[np.ndarray], right: list[np.ndarray], band: int) -> np.ndarray:
     """Cost of the best alignment of each pair that stays in a band of +-``band``
     around the diagonal. It is the edit distance if it is at most ``band``, and
@@ -290,8 +326,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     and first, whether this row is the class's first by doc_id and text_hash."""
     signed = signatures(docs, text)
     reps = stored(representatives(signed), "representatives")
-    pairs = stored(candidates(reps), "candidates")
+    rows = members(reps)
+    pairs = stored(candidates(rows), "candidates")
     found = stored(links(docs, reps, pairs, text), "links")
+    more = stored(unlinked(rows, components(found, "a", "b"), pairs), "candidates")
+    if more.limit(1).count():
+        found = found.unionByName(stored(links(docs, reps, more, text), "links"))
     ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     member = components(found, "a", "b").join(degree, "node")
