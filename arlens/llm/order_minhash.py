@@ -8,7 +8,9 @@
    takes the PICKED smallest labelled k-mers and keeps them in text order: one
    sketch is the hash of that ordered list. Two texts agree on a sketch with a
    probability that falls with their edit distance, and unlike set MinHash it
-   also falls if the same k-mers come in another order.
+   also falls if the same k-mers come in another order. Short texts have too few
+   k-mers for that: up to SHORT words they take sketches of SHORT_PICKED k-mers
+   instead, and texts that a short one can be similar to take both kinds.
 3. Texts that share a sketch form a bucket. Each bucket has one centre, drawn by
    a hash of bucket and text, and its members are compared with the centre first:
    as many pairs as members. Similarity is not transitive, so members that are
@@ -51,9 +53,11 @@ from pyspark.sql import functions as F
 from arlens.llm.common import Words, byte_set, mix64, slices, stored, text_buffer
 from arlens.llm.components import components
 
-K = 5
-SKETCHES = 24
-PICKED = 2
+K = 2
+SKETCHES = 96
+PICKED = 3
+SHORT = 40
+SHORT_PICKED = 2
 SIMILARITY = 0.8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -123,6 +127,19 @@ def grams_of(words: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def buckets_of(word: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The sketches of each text: of PICKED k-mers, of SHORT_PICKED, or of both by its length."""
+    n = np.diff(first)
+    kinds = []
+    for picked, some in ((PICKED, n > SHORT), (SHORT_PICKED, (n > 0) & (n <= SHORT / SIMILARITY + 1e-9))):
+        at = np.flatnonzero(some)
+        part = word[np.repeat(some, n)]
+        got = sketch(part, np.append(0, np.cumsum(n[at])), picked=picked)
+        kinds.append(dict(zip(at.tolist(), mix64(got + np.uint64(picked)), strict=True)))
+    none = np.zeros(0, np.uint64)
+    return [np.concatenate([kind.get(i, none) for kind in kinds]) for i in range(len(n))]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     space = byte_set("space")
     for batch in batches:
@@ -141,11 +158,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(v, out=run[1:])
                 prints.append(run[w.first[1:]] - run[w.first[:-1]])
-            got = sketch(word, w.first)
+            got = buckets_of(word, w.first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n.astype(np.int64)),
                  pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
-                 pa.FixedSizeListArray.from_arrays(pa.array(got.view(np.int64).ravel()), SKETCHES).cast(pa.list_(pa.int64()))],
+                 pa.array([x.view(np.int64) for x in got], pa.list_(pa.int64()))],
                 ["doc_id", "text_hash", "n_words", "fp1", "fp2", "sketches"])
 
 
