@@ -4,7 +4,7 @@ Entities: e-mail and IPv4 addresses, phone numbers, payment cards (issuer prefix
 and check digit must hold), IBANs (check digits must hold), US social security
 numbers, labelled secrets and personal names after a form of address.
 
-* An entity has a canonical form (case, separators and address form removed), so
+* An entity has a canonical form (case, separators, address form and script of digits removed), so
   all its spellings, in all documents, get one surrogate: coreference stays.
 * A surrogate is drawn from HMAC-SHA256(key, type, canonical form, attempt). It
   keeps the format: separators, letter case, length and country prefixes; cards
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,9 @@ ADDRESS = {"Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss":
            "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 _NAME = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_LABEL = r"token|secret|password|passwd|api[_-]?key|access[_-]?key"
 FIND = re.compile("|".join((
-    r"(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,}))",
+    rf"(?P<secret>(?i:\b(?:{_LABEL})\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{{16,}}))",
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
     r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
@@ -84,6 +86,11 @@ def _iban_rest(compact: str) -> int:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97
 
 
+def ascii_digits(text: str) -> str:
+    """``text`` with the decimal digits of every script as ASCII digits."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def find(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(type, start, end, canonical form) of the entities of ``text``, in order."""
     for m in FIND.finditer(text):
@@ -100,9 +107,9 @@ def find(text: str) -> Iterator[tuple[str, int, int, str]]:
             start, end = m.span("who")
             what = f"{ADDRESS[m['address']]}:{m['who'].casefold()}"
         elif kind == "ip":
-            what = m[kind]
+            what = ascii_digits(m[kind])
         else:
-            what = re.sub(r"[^0-9A-Za-z+]", "", m[kind])
+            what = re.sub(r"[^0-9A-Za-z+]", "", ascii_digits(m[kind]))
             if kind == "card" and not is_card(what) or kind == "iban" and (not 15 <= len(what) <= 34 or _iban_rest(what) != 1) \
                     or kind == "phone" and not 9 <= len(what.strip("+")) <= 15:
                 continue
@@ -182,12 +189,20 @@ def render(kind: str, found: str, core: str) -> str:
         return "".join(w.upper() if found.isupper() else w.capitalize() for w in words)
     if kind in ("card", "iban", "ssn", "phone"):
         rest = iter(core)
-        return "".join(next(rest) if c.isalnum() or c == "+" else c for c in found)
+        new = (next(rest) if c.isalnum() or c == "+" else c for c in found)
+        # A digit of another script gives way to one of the same script.
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + int(x)) if c.isdecimal() and not c.isascii() else x for c, x in zip(found, new, strict=True))
     return core.upper() if found.isupper() and any(c.isalpha() for c in found) else core
 
 
+# What a text without an @ and with under four digits may still hold: a form of address or a
+# secret's label before its sign. Letters that Python's re folds into ASCII ones are spelled out.
+_HINT = "|".join((*ADDRESS, "(?i:" + _LABEL.replace("s", "[s\u017f]").replace("k", "[k\u212a]").replace("i", "[i\u0130\u0131]") + ")"))
+
+
 def _suspects(col: pa.Array) -> np.ndarray:
-    """Rows that may hold an entity: an @, four digits, or a form of address."""
+    """Rows that may hold an entity: an @, four digits of any script, a form of
+    address or a secret's label. No row that ``find`` finds something in is left out."""
     data, off = text_buffer(col)
     hot = np.zeros(len(col), bool)
     for i, j in slices(off):
@@ -196,7 +211,8 @@ def _suspects(col: pa.Array) -> np.ndarray:
         ats = np.append(0, np.cumsum(part == 64))
         hot[i:j] = (digits[o[1:]] - digits[o[:-1]] >= 4) | (ats[o[1:]] > ats[o[:-1]])
     if len(col):
-        hot |= np.asarray(pc.fill_null(pc.match_substring_regex(col, "|".join(ADDRESS)), False))
+        hot |= np.asarray(pc.fill_null(pc.match_substring_regex(col, _HINT), False))
+        hot |= np.asarray(pc.fill_null(pc.match_substring_regex(col, r"[^\P{Nd}0-9]"), False))
     return np.flatnonzero(hot)
 
 

@@ -111,6 +111,20 @@ def test_surrogates_keep_format(spark):
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1] and got[5]["n_entities"] == 0
 
 
+def test_no_text_with_an_entity_is_passed_over(spark):
+    texts = [None, "", "plain words", "password = Abcdefghijklmnop1", "API-Key: 'Qwertyuiopasdfghj7'", "ACCESS_KEY=abcdefghijklmnopq2 end",
+             "to\u212aen = Abcdefghijklmnop3", "pa\u017fswd: Abcdefghijklmnop4", "ap\u0131key: Abcdefghijklmnop5", "AP\u0130_KEY: Abcdefghijklmnop6",
+             "call \u0664\u0669\u0669 \u0665\u0665\u0665 \u0666\u0665\u0660\u0663 now", "\U0001d7d0\U0001d7d1\U0001d7d2-\U0001d7d0\U0001d7d1-\U0001d7d0\U0001d7d1\U0001d7d0\U0001d7d1",
+             "Dr Brown", "a@b.example.org", "token of thanks 12"]
+    found = {i for i, t in enumerate(texts) if t and next(pii.find(t), None)}
+    assert {3, 4, 5, 10, 11} <= found and found <= set(pii._suspects(pii.pa.array(texts)).tolist())
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows, "k").collect()}
+    assert {i for i, r in got.items() if r["n_entities"]} == found
+    assert all((r["text"] != texts[i]) == (i in found) for i, r in got.items())
+    assert re.fullmatch(r"call [\u0660-\u0669]{3} [\u0660-\u0669]{3} [\u0660-\u0669]{4} now", got[10]["text"])
+
+
 def test_collisions_are_redrawn(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, what, attempt=0: str(sum(map(int, what)) % 3 + 5 * attempt))
     found = spark.createDataFrame([("ssn", str(100 + i)) for i in range(12)] + [("ssn", "2")], "type string, what string")
