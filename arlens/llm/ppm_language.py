@@ -12,8 +12,10 @@ With frozen statistics the bits of a byte depend only on the window of
 ``order + 1`` bytes that ends with it, so the tree is kept as sorted tables of
 windows with their bits per language, and scoring looks up windows.
 
-Training reads a bounded sample: of each language, documents chosen by a hash
-of their id up to about ``sample_bytes`` bytes. Window counts are summed by
+Training reads a bounded sample: of each language, pieces of its texts chosen by a
+hash of id and piece number up to about ``sample_bytes`` bytes; a piece is so short
+(PIECE characters, a 64th of the sample) that long documents change neither that
+bound nor that every language is sampled. Window counts are summed by
 Spark; the model has at most ``languages * sample_bytes`` windows per order and
 is what gets broadcast. Scoring reads every byte of every text.
 
@@ -113,6 +115,9 @@ def _count(order: int):
     return run
 
 
+PIECE = 4096
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 3,
           sample_bytes: int = 1 << 20) -> PpmModel:
     """Learn the trees from rows whose text and language are not null.
@@ -121,14 +126,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     text read per language.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
-                       F.pmod(F.xxhash64(id_text()), F.lit(1 << 20)).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
+                       id_text().alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["b"] or 0 for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
     langs = sorted(sizes)
     if not langs:
         return PpmModel([], order, [])
     pairs = [F.lit(x) for i, la in enumerate(langs) for x in (la, i)]
     limit = [F.lit(x) for la in langs for x in (la, int(min(1.0, sample_bytes / max(sizes[la], 1)) * (1 << 20)) + 1)]
-    sample = rows.filter(F.col("h") < F.create_map(*limit)[F.col("lang")]).select(
+    size = max(1, min(PIECE, sample_bytes // 64))
+    every = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / size).cast("int") - 1))
+    drawn = rows.withColumn("pieces", F.filter(every, lambda i: F.pmod(F.xxhash64("id", i), F.lit(1 << 20)) < F.create_map(*limit)[F.col("lang")]))
+    sample = drawn.select("lang", F.explode(F.transform("pieces", lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))).alias("text")).select(
         F.create_map(*pairs)[F.col("lang")].cast("int").alias("lang"), padded(F.col("text"), order).alias("text"))
     counts = (sample.mapInArrow(_count(order), "lang int, win long, n long").groupBy("lang", "win")
               .agg(F.sum("n").alias("n")).toArrow())

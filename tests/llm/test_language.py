@@ -73,3 +73,13 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op2_ppm_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right, n = got.filter("held_out").agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert right / n > 0.98
+
+
+def test_a_language_of_few_long_documents_is_learned(spark, prose):
+    long = [(i, prose(i, 30_000, "de"), "de") for i in range(3)]
+    rows = long + [(100 + i, prose(100 + i, 400), "en") for i in range(200)]
+    model = ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=8192)
+    asked = spark.createDataFrame([(1, prose(900, 80, "de")), (2, prose(901, 80))], "doc_id long, text string")
+    got = {r["doc_id"]: r["_r"] for r in ppm.predict(asked, model, into="_r").collect()}
+    assert got[1]["lang"] == "de" and got[2]["lang"] == "en"
+    assert max(r["bits_per_byte"] for r in got.values()) < 4, "a language without a sample costs 8"
