@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from arlens.plans.catalog import QUERIES
+from arlens.plans.oracle import ORACLE
 from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -31,10 +32,10 @@ def _canon(rows, cols):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    res = con.execute(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_SMALL)
+    res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     srows = [tuple(r) for r in df.collect()]
