@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arlens.llm import crf_toxicity, decontaminate, mcd_outliers, order_minhash, pii_surrogates, ppm_language, rendezvous, rff_quality, source_mix, token_rollups
+from arlens.llm import collocations, crf_toxicity, decontaminate, digest_merge, filter_audit, mcd_outliers, order_minhash, pii_surrogates, ppm_language, rendezvous, rff_quality, source_mix, token_rollups
 from arlens.llm.common import crc_fold, read_table, shared_path, ship_package, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,81 @@ def op9_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     return mcd_outliers.judged(docs)
+
+
+@query
+def op11_digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return digest_merge.exact_groups(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLE["op11_digest_merge"] = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    return filter_audit.filter_audit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+       coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+       (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+       + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text))::INT
+       + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * e::INT AS bits FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, bits),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+p AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bs
+      FROM f v, f w, f x, f y, f z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND (v.b | w.b | x.b | y.b | z.b) = 31),
+s AS (SELECT filter_order, step, bs[step] AS b, CAST(coalesce(list_sum(bs[1:step - 1]), 0) AS INTEGER) AS prev FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+k AS (SELECT DISTINCT part FROM c),
+r AS (SELECT k.part, s.filter_order, s.step, s.b,
+       coalesce(sum(n) FILTER ((bits & (prev | b)) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER ((bits & prev) = 0 AND (bits & b) <> 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER ((bits & prev) <> 0 AND (bits & b) <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (bits = b), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER ((bits & prev) = 0 AND (bits & b) <> 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER ((bits & prev) = 0 AND (bits & b) <> 0), 0)::BIGINT AS toxic_lost
+      FROM k JOIN c USING (part), s GROUP BY k.part, s.filter_order, s.step, s.b)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents", ["text", "lang"]))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH x AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+y AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda z: z <> '') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM x)),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM y),
+c1 AS (SELECT lang, w[i] AS p, count(*) AS n FROM o GROUP BY ALL),
+c2 AS (SELECT lang, w[i] AS u, w[i + 1] AS v, count(*) AS n FROM o WHERE i + 1 <= len(w) GROUP BY ALL),
+c3 AS (SELECT lang, w[i] AS u, w[i + 1] AS v, w[i + 2] AS z, count(*) AS n FROM o WHERE i + 2 <= len(w) GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM c1 GROUP BY lang),
+s2 AS (SELECT c2.lang, c2.u || ' ' || c2.v AS phrase, c2.u, c2.v, c2.n AS a, l.n AS l, r.n AS r,
+       (1000000::HUGEINT * c2.n * c2.n // (l.n::HUGEINT * r.n))::BIGINT AS score
+       FROM c2 JOIN c1 l ON l.lang = c2.lang AND l.p = c2.u JOIN c1 r ON r.lang = c2.lang AND r.p = c2.v WHERE c2.n >= 10),
+s3 AS (SELECT c3.lang, c3.u, c3.v, c3.z, c3.n AS a, l1.n AS l1, r1.n AS r1, l2.n AS l2, r2.n AS r2,
+       (1000000::HUGEINT * c3.n * c3.n // (l1.n::HUGEINT * r1.n))::BIGINT AS k1,
+       (1000000::HUGEINT * c3.n * c3.n // (l2.n::HUGEINT * r2.n))::BIGINT AS k2
+       FROM c3 JOIN c1 l1 ON l1.lang = c3.lang AND l1.p = c3.u JOIN c2 r1 ON r1.lang = c3.lang AND r1.u = c3.v AND r1.v = c3.z
+       JOIN c2 l2 ON l2.lang = c3.lang AND l2.u = c3.u AND l2.v = c3.v JOIN c1 r2 ON r2.lang = c3.lang AND r2.p = c3.z WHERE c3.n >= 10),
+h AS (SELECT lang, u, v, max(a) AS cover FROM (SELECT lang, u, v, a FROM s3 UNION ALL SELECT lang, v, z, a FROM s3) GROUP BY ALL),
+b AS (SELECT s2.lang, phrase, a, l, r, score FROM s2 LEFT JOIN h USING (lang, u, v) WHERE cover IS NULL OR 100 * cover < 50 * a
+      UNION ALL SELECT lang, u || ' ' || v || ' ' || z, a, CASE WHEN k1 <= k2 THEN l1 ELSE l2 END, CASE WHEN k1 <= k2 THEN r1 ELSE r2 END, least(k1, k2) FROM s3),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT q.lang, rank, phrase, a, l, r, t.n, score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
