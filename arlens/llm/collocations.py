@@ -57,7 +57,7 @@ MIN_COUNT = 10
 TOP = 2000
 SCALE = 1_000_000
 COVER = 50              # per cent of a phrase's count at which a longer one drops it
-SLICE = 16 << 20
+SLICE = 2 << 20
 MOST_BITS = 28
 PARTS = 64
 COUNTED = "lang string, phrase string, n long"
