@@ -186,8 +186,15 @@ def _counter(length: int, words: Bitmap | None = None, prefix: Bitmap | None = N
 
 
 def _count(texts: DataFrame, name: str, length: int, least: int, **sets: Bitmap) -> DataFrame:
-    """(lang, phrase, n) of the phrases that occur ``least`` times, stored."""
-    counted = texts.mapInArrow(_counter(length, **sets), COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    """(lang, phrase, n) of the phrases that occur ``least`` times, stored.
+
+    Slices have added up what repeats. Of longer phrases another partial sum before the
+    shuffle would save little and fill the memory, so their rows are dealt as they are:
+    a frequent phrase is one row per slice at most."""
+    counted = texts.mapInArrow(_counter(length, **sets), COUNTED)
+    if length > 1:
+        counted = counted.repartition("lang", "phrase")
+    counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return stored(counted.filter(F.col("n") >= least), name)
 
 
