@@ -12,12 +12,16 @@
    k-mers for that: up to SHORT words they take sketches of SHORT_PICKED k-mers
    instead, and texts that a short one can be similar to take both kinds.
 3. Texts that share a sketch form a bucket. Each bucket has one centre, drawn by
-   a hash of bucket and text, and its members are compared with the centre first:
+   a hash of its text, and its members are compared with the centre first:
    as many pairs as members. Similarity is not transitive, so members that are
-   unlike the centre may still be like each other: all pairs of a bucket whose
-   texts these links have not brought into one class are compared after that. So
-   every similar pair of a bucket ends in one class; copies of each other cost
-   one pair each, unlike texts of a bucket all their pairs.
+   unlike the centre may still be like each other. For the texts of buckets that
+   still hold several classes the rarest words come in: an edit changes one word at
+   most, so of two similar texts each has at most 1 - SIMILARITY of its words
+   (labelled, as above) that the other lacks, and the two share one of that many and
+   one more of their rarest words (rarest among these texts). Texts of different
+   classes that share such a word are compared; no similar pair of a bucket is left
+   out. A line or passage that many unlike texts hold is frequent and so
+   not among their rarest words, and copies are in one class before.
 4. A pair is verified by banded alignment of its words: similarity is
    1 - edit distance / longer length, at least SIMILARITY. Pairs that cannot
    reach it by their lengths or by the words they have in common are dropped
@@ -47,10 +51,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arlens.llm.common import Words, byte_set, mix64, slices, stored, text_buffer
+from arlens.llm.common import SLICE_BYTES, Words, byte_set, mix64, slices, stored, text_buffer
 from arlens.llm.components import components
 
 K = 2
@@ -197,23 +202,53 @@ def _near(a: str, b: str, similarity: float) -> Column:
 
 def candidates(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of nodes: the members of each bucket with its centre."""
-    choice = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("node"), F.col("n_words").alias("n_words"))
+    # One order of all nodes: the buckets of a group of copies tend to have one centre.
+    choice = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n_words").alias("n_words"))
     centres = stored(rows.groupBy("bucket").agg(F.min(choice).alias("c"))
                      .select("bucket", F.col("c.node").alias("centre"), F.col("c.n_words").alias("c_words")), "centres")
     return (rows.join(centres, "bucket").filter((F.col("node") != F.col("centre")) & _near("n_words", "c_words", similarity))
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
-def unlinked(rows: DataFrame, member: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket but neither a class nor a row of ``done``.
+def crowded(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """(node, n_words, class) of the texts of buckets that hold several classes, stored."""
+    rows = (rows.join(member, "node", "left")
+            .select("bucket", "node", "n_words", F.coalesce("component", "node").alias("class")))
+    mixed = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("bucket")
+    return stored(rows.join(mixed, "bucket").select("node", "n_words", "class").distinct(), "crowded")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    space = byte_set("space")
+    for batch in batches:
+        data, off = text_buffer(batch.column(1))
+        for i, j in slices(off):
+            w = Words(data[off[i]:off[j]], off[i:j + 1] - off[i], space)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc)),
+                                              pa.array(_labelled(w.words(), w.doc).view(np.int64))], ["node", "word"])
+
+
+def rare_words(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(bucket, node, n_words, class): ``bucket`` is one of the words of a node of which a
+    similar text must hold one; words that no other text holds are left out. Stored."""
+    words = stored(texts.mapInArrow(_words, "node long, word long"), "words")
+    common = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "common-words")
+    met = words.join(common, "word").join(nodes, "node")
+    # A text's own words come first in its order of rarity: they are what is left of all its words.
+    mine = Window.partitionBy("node")
+    own = F.col("n_words") - F.count(F.lit(1)).over(mine)
+    wanted = F.floor(F.lit(1 - similarity) * F.col("n_words") + 1e-9) + 1 - own
+    met = met.withColumn("_wanted", wanted).withColumn("_rank", F.row_number().over(mine.orderBy("texts", "word")))
+    return stored(met.filter(F.col("_rank") <= F.col("_wanted")).select(F.col("word").alias("bucket"), "node", "n_words", "class"), "rare-words")
+
+
+def unlinked(rows: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes of ``rows`` (bucket, node, n_words, class) that share a
+    bucket but neither a class nor a row of ``done``.
 
     Classes of a bucket meet before their members do, so a class's own pairs,
     however many, are never formed.
     """
-    rows = (rows.join(member, "node", "left")
-            .select("bucket", "node", "n_words", F.coalesce("component", "node").alias("class")))
-    mixed = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("bucket")
-    rows = stored(rows.join(mixed, "bucket"), "mixed-buckets")
     size = (F.min("n_words").alias("lo"), F.max("n_words").alias("hi"))
     left = rows.groupBy("bucket", F.col("class").alias("ca")).agg(*size)
     right = rows.groupBy("bucket", F.col("class").alias("cb")).agg(*size).withColumnsRenamed({"lo": "lo_b", "hi": "hi_b"})
@@ -292,7 +327,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float =
         while k < len(todo):
             j = k + 1
             while j < len(todo) and size[todo[j]] <= 1.25 * size[todo[k]] + 8 and band[todo[j]] <= 2 * band[todo[k]] + 2 \
-                    and (j - k + 1) * (4 * band[todo[k]] + 5) <= 1 << 15:
+                    and (j - k + 1) * (4 * band[todo[k]] + 5) <= 1 << 15 and (j - k + 1) * size[todo[j]] <= 1 << 20:
                 j += 1
             group, k = todo[k:j], j
             wide = max(band[i] for i in group)
@@ -320,19 +355,27 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        ok = similar(words(batch.column(2)), words(batch.column(3)))
-        yield batch.select([0, 1]).filter(pa.array(ok))
+        # The pairs of a few MiB of text at a time, or one pair.
+        length = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)]
+        for i, j in slices(np.append(0, np.cumsum(length[0] + length[1])), 4 * SLICE_BYTES):
+            part = batch.slice(i, j - i)
+            ok = similar(words(part.column(2)), words(part.column(3)))
+            yield part.select([0, 1]).filter(pa.array(ok))
 
 
-def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(node, text) of the nodes of ``wanted``, stored."""
     wanted = reps.select("node", "rep_id").join(wanted, "node", "left_semi")
     rows = keyed(docs, text)
     texts = stored(rows.join(wanted, (rows["text_hash"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["rep_id"]), "left_semi")
-                   .select(F.col("text_hash").alias("node"), "text"), "pair-texts")
+                   .select(F.col("text_hash").alias("node"), "text"), "texts")
     if texts.groupBy("node").count().filter("count > 1").limit(1).count():  # rows that repeat whole
         texts = texts.dropDuplicates(["node"])
+    return texts
+
+
+def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
@@ -345,10 +388,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     reps = stored(representatives(signed), "representatives")
     rows = members(reps)
     pairs = stored(candidates(rows), "candidates")
-    found = stored(links(docs, reps, pairs, text), "links")
-    more = stored(unlinked(rows, components(found, "a", "b"), pairs), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = texts_of(docs, reps, ends, text)
+    found = stored(links(texts, pairs), "links")
+    left = crowded(rows, components(found, "a", "b"))
+    texts = texts_of(docs, reps, left.select("node"), text)
+    more = stored(unlinked(rare_words(texts, left), pairs), "candidates")
     if more.limit(1).count():
-        found = found.unionByName(stored(links(docs, reps, more, text), "links"))
+        found = found.unionByName(stored(links(texts, more), "links"))
     ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     member = components(found, "a", "b").join(degree, "node")
