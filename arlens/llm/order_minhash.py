@@ -15,13 +15,13 @@
    a hash of its text, and its members are compared with the centre first:
    as many pairs as members. Similarity is not transitive, so members that are
    unlike the centre may still be like each other. For the texts of buckets that
-   still hold several classes the rarest words come in: an edit changes one word at
-   most, so of two similar texts each has at most 1 - SIMILARITY of its words
-   (labelled, as above) that the other lacks, and the two share one of that many and
-   one more of their rarest words (rarest among these texts). Texts of different
-   classes that share such a word are compared; no similar pair of a bucket is left
-   out. A line or passage that many unlike texts hold is frequent and so
-   not among their rarest words, and copies are in one class before.
+   still hold several classes the rarest runs come in: an edit changes at most RUN of
+   a text's runs of RUN words (labelled, as above), so of two similar texts each has at
+   most RUN * (1 - SIMILARITY) of its words as runs that the other lacks, and the two
+   share one of that many and one more of their rarest runs (rarest among these texts).
+   Texts of different classes that share such a run are compared; no similar pair of a
+   bucket is left out. A line or passage that many unlike texts hold is frequent and so
+   not among their rarest runs, unless it is more than half of them.
 4. A pair is verified by banded alignment of its words: similarity is
    1 - edit distance / longer length, at least SIMILARITY. Pairs that cannot
    reach it by their lengths or by the words they have in common are dropped
@@ -64,6 +64,9 @@ PICKED = 3
 SHORT = 40
 SHORT_PICKED = 2
 SIMILARITY = 0.8
+RUN = 2
+#: Texts of fewer words may share no run of RUN words with a similar one: they meet by single words.
+FEW = 4
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -218,28 +221,34 @@ def crowded(rows: DataFrame, member: DataFrame) -> DataFrame:
     return stored(rows.join(mixed, "bucket").select("node", "n_words", "class").distinct(), "crowded")
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, run, k) of (node, text) rows: the labelled runs of RUN words, single words of short texts."""
     space = byte_set("space")
     for batch in batches:
         data, off = text_buffer(batch.column(1))
         for i, j in slices(off):
             w = Words(data[off[i]:off[j]], off[i:j + 1] - off[i], space)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(w.doc)),
-                                              pa.array(_labelled(w.words(), w.doc).view(np.int64))], ["node", "word"])
-
-
-def rare_words(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(bucket, node, n_words, class): ``bucket`` is one of the words of a node of which a
-    similar text must hold one; words that no other text holds are left out. Stored."""
-    words = stored(texts.mapInArrow(_words, "node long, word long"), "words")
-    common = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "common-words")
-    met = words.join(common, "word").join(nodes, "node")
-    # A text's own words come first in its order of rarity: they are what is left of all its words.
-    mine = Window.partitionBy("node")
-    own = F.col("n_words") - F.count(F.lit(1)).over(mine)
-    wanted = F.floor(F.lit(1 - similarity) * F.col("n_words") + 1e-9) + 1 - own
-    met = met.withColumn("_wanted", wanted).withColumn("_rank", F.row_number().over(mine.orderBy("texts", "word")))
-    return stored(met.filter(F.col("_rank") <= F.col("_wanted")).select(F.col("word").alias("bucket"), "node", "n_words", "class"), "rare-words")
+            word, n = w.words(), np.diff(w.first)
+            place = np.arange(len(word)) - w.first[w.doc]
+            for k, some in ((RUN, n >= FEW), (1, n * SIMILARITY < FEW)):
+                keep = some[w.doc] & (place + k <= n[w.doc])
+                gram = _labelled(grams_of(word, w.doc, k)[keep] + np.uint64(k), w.doc[keep])
+                node = batch.column(0).slice(i, j - i).take(pa.array(w.doc[keep]))
+                yield pa.RecordBatch.from_arrays([node, pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), k, np.int32))], ["node", "run", "k"])
+
+
+def rare_runs(texts: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(bucket, node, n_words, class): ``bucket`` is one of the runs of a node's text of
+    which a similar text must hold one; runs no other text holds are left out. Stored."""
+    runs = texts.mapInArrow(_runs, "node long, run long, k int")
+    common = stored(runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "common-runs")
+    met = runs.join(common, "run").join(nodes, "node")
+    # A text's own runs come first in its order of rarity: they are what is left of all its runs.
+    mine = Window.partitionBy("node", "k")
+    own = F.col("n_words") - F.col("k") + 1 - F.count(F.lit(1)).over(mine)
+    wanted = F.floor(F.col("k") * F.lit(1 - similarity) * F.col("n_words") + 1e-9) + 1 - own
+    met = met.withColumn("_wanted", wanted).withColumn("_rank", F.row_number().over(mine.orderBy("texts", "run")))
+    return stored(met.filter(F.col("_rank") <= F.col("_wanted")).select(F.col("run").alias("bucket"), "node", "n_words", "class"), "rare-runs")
 
 
 def unlinked(rows: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,6 +259,8 @@ def unlinked(rows: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -
     however many, are never formed.
     """
     size = (F.min("n_words").alias("lo"), F.max("n_words").alias("hi"))
+    several = rows.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("bucket")
+    rows = stored(rows.join(several, "bucket"), "shared-runs")
     left = rows.groupBy("bucket", F.col("class").alias("ca")).agg(*size)
     right = rows.groupBy("bucket", F.col("class").alias("cb")).agg(*size).withColumnsRenamed({"lo": "lo_b", "hi": "hi_b"})
     reach = (F.col("hi") >= F.col("lo_b") * F.lit(similarity)) & (F.col("hi_b") >= F.col("lo") * F.lit(similarity))
@@ -393,7 +404,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     found = stored(links(texts, pairs), "links")
     left = crowded(rows, components(found, "a", "b"))
     texts = texts_of(docs, reps, left.select("node"), text)
-    more = stored(unlinked(rare_words(texts, left), pairs), "candidates")
+    more = stored(unlinked(rare_runs(texts, left), pairs), "candidates")
     if more.limit(1).count():
         found = found.unionByName(stored(links(texts, more), "links"))
     ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node")))
