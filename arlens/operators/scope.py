@@ -81,12 +81,22 @@ def in_list(df: DataFrame, col: str, values: list[str], mode: str = INCLUDE, key
     return keyed.join(lst, keyed["_k"] == lst["_v"], how).drop("_k")
 
 
-def apply_scope(inv: DataFrame, spec: ScopeSpec) -> DataFrame:
-    """Invoices inside a user's selection (dated rows only, like the window)."""
+def window_bounds(dates: DataFrame, desde=None, hasta=None) -> tuple[Column, Column]:
+    """(desde, hasta) of ``date_bounds`` as scalar subqueries."""
+    bounds = date_bounds(dates, desde, hasta).select(F.struct("desde", "hasta")).scalar()
+    return bounds["desde"], bounds["hasta"]
+
+
+def apply_scope(inv: DataFrame, spec: ScopeSpec, dates: DataFrame | None = None) -> DataFrame:
+    """Invoices inside a user's selection (dated rows only, like the window).
+
+    ``dates`` is a small table with the dates of ``inv`` (the daily rollup), which then
+    need not be scanned for its bounds. The window's years are a predicate of their own:
+    where the invoices are partitioned by year, only those are read."""
     out = inv.filter(F.col("fecha").isNotNull())
     if not spec.all_dates:
-        bounds = date_bounds(inv, spec.desde, spec.hasta).select(F.struct("desde", "hasta")).scalar()
-        out = out.filter(F.col("fecha").between(bounds["desde"], bounds["hasta"]))
+        lo, hi = window_bounds(inv if dates is None else dates, spec.desde, spec.hasta)
+        out = out.filter(F.col("anio").between(F.year(lo), F.year(hi)) & F.col("fecha").between(lo, hi))
     if spec.empresa:
         out = out.filter(F.col("razon_social") == spec.empresa)
     if spec.clientes:
@@ -106,7 +116,8 @@ class Scoped:
     items: DataFrame
 
 
-def scope_frames(inv: DataFrame, bal: DataFrame, led: DataFrame, items: DataFrame, spec: ScopeSpec, as_of) -> Scoped:
+def scope_frames(inv: DataFrame, bal: DataFrame, led: DataFrame, items: DataFrame, spec: ScopeSpec, as_of,
+                 dates: DataFrame | None = None) -> Scoped:
     """A selection applied to invoices, balances, movements and items: customers
     by name everywhere; centres on invoices and items, and through the customers
     these leave also on balances and movements. If the centres leave no item,
@@ -116,7 +127,7 @@ def scope_frames(inv: DataFrame, bal: DataFrame, led: DataFrame, items: DataFram
     def by_name(df: DataFrame) -> DataFrame:
         return in_list(df, "cliente", names, spec.clientes_modo) if names else df
 
-    invoices, bal, led, items = apply_scope(inv, spec), by_name(bal), by_name(led), by_name(items)
+    invoices, bal, led, items = apply_scope(inv, spec, dates), by_name(bal), by_name(led), by_name(items)
     if spec.centros:
         centres = [c.strip() for c in spec.centros]
         items = in_list(items, "centro_costo", centres, spec.centros_modo, key=strip("centro_costo"))

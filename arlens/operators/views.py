@@ -192,10 +192,9 @@ def client_statement_totals(led: DataFrame, cliente: Column | str) -> DataFrame:
         F.max_by("saldo", ledger_order()).alias("saldo_final"))
 
 
-def largest_debtor(led: DataFrame) -> Column:
-    """Customer with the largest current balance, as a scalar subquery."""
-    from arlens.operators.ledger import current_balance
-    return (current_balance(led).orderBy(F.col("saldo_actual").desc(), F.col("cliente"))
+def largest_debtor(bal: DataFrame) -> Column:
+    """Customer with the largest current balance of the balances, as a scalar subquery."""
+    return (bal.select("cliente", "saldo_actual").orderBy(F.col("saldo_actual").desc(), F.col("cliente"))
             .limit(1).select("cliente").scalar())
 
 

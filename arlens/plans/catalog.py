@@ -249,7 +249,11 @@ def q_comp_flexible_check(spark, sf):
     return comp_ops.flexible_check(comp_grid(spark, sf))
 
 
-PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
+def rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "rollup", lambda: roll_ops.daily_rollup(invoices(spark, sf)))
+
+
+PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "rollup": rollup, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
                                 "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
 
 
@@ -257,6 +261,7 @@ PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "ledger": ledger, "balance
 from arlens.functions.text import client_key, strip, title_case  # noqa: E402
 from arlens.operators import briefing as brief_ops  # noqa: E402
 from arlens.operators import quality as q_ops  # noqa: E402
+from arlens.operators import rollup as roll_ops  # noqa: E402
 from arlens.operators import scope as scope_ops  # noqa: E402
 from arlens.operators import views as view_ops  # noqa: E402
 
@@ -269,30 +274,36 @@ SEMI_CENTERS = ["ECONOMY", "1-URGENT"]
 
 def scoped_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices inside the default selection: the default date window."""
-    return scope_ops.apply_scope(invoices(spark, sf), scope_ops.ScopeSpec())
+    return scope_ops.apply_scope(invoices(spark, sf), scope_ops.ScopeSpec(), rollup(spark, sf))
 
 
 @query("date_window")
 def q_date_window(spark, sf):
-    return to_edge(scope_ops.date_window(invoices(spark, sf)))
+    days = rollup(spark, sf)
+    return to_edge(roll_ops.date_window(days, *scope_ops.window_bounds(days)))
+
+
+@query("year_to_date")
+def q_year_to_date(spark, sf):
+    return to_edge(roll_ops.year_to_date(rollup(spark, sf)))
 
 
 @query("filter_clients_in")
 def q_filter_clients_in(spark, sf):
     spec = scope_ops.ScopeSpec(clientes=FILTER_CLIENTS, clientes_modo=scope_ops.INCLUDE)
-    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec), "cliente"))
+    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec, rollup(spark, sf)), "cliente"))
 
 
 @query("filter_clients_out")
 def q_filter_clients_out(spark, sf):
     spec = scope_ops.ScopeSpec(clientes=FILTER_CLIENTS, clientes_modo=scope_ops.EXCLUDE)
-    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec), "cliente"))
+    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec, rollup(spark, sf)), "cliente"))
 
 
 @query("filter_centers")
 def q_filter_centers(spark, sf):
     spec = scope_ops.ScopeSpec(centros=FILTER_CENTERS, centros_modo=scope_ops.INCLUDE)
-    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec), "linea_negocio", "linea"))
+    return to_edge(scope_ops.billing_by(scope_ops.apply_scope(invoices(spark, sf), spec, rollup(spark, sf)), "linea_negocio", "linea"))
 
 
 @query("row_permissions")
@@ -309,7 +320,7 @@ def q_center_semi_filter(spark, sf):
 
 def scoped(spark: SparkSession, sf: str) -> "scope_ops.Scoped":
     spec = scope_ops.ScopeSpec(clientes=FILTER_CLIENTS, clientes_modo=scope_ops.EXCLUDE, centros=SEMI_CENTERS)
-    return scope_ops.scope_frames(invoices(spark, sf), balances_comp(spark, sf), ledger(spark, sf), comp_items(spark, sf), spec, AS_OF)
+    return scope_ops.scope_frames(invoices(spark, sf), balances_comp(spark, sf), ledger(spark, sf), comp_items(spark, sf), spec, AS_OF, rollup(spark, sf))
 
 
 @query("scope_balances")
@@ -356,22 +367,27 @@ def q_center_options(spark, sf):
 # --- M1 / M6: views -------------------------------------------------------------------
 @query("billing_totals")
 def q_billing_totals(spark, sf):
-    return to_edge(view_ops.billing_totals(scoped_invoices(spark, sf)))
+    days = rollup(spark, sf)
+    return to_edge(roll_ops.billing_totals(days, *scope_ops.window_bounds(days)))
 
 
 @query("monthly_local")
 def q_monthly_local(spark, sf):
-    return to_edge(view_ops.monthly_local(scoped_invoices(spark, sf)))
+    days = rollup(spark, sf)
+    local = (F.col("razon_social") == view_ops.LOCAL) & (F.col("moneda_iso") == "ARS")
+    return to_edge(roll_ops.monthly(days, *scope_ops.window_bounds(days), where=local))
 
 
 @query("monthly_intl")
 def q_monthly_intl(spark, sf):
-    return to_edge(view_ops.monthly_intl(scoped_invoices(spark, sf)))
+    days = rollup(spark, sf)
+    return to_edge(roll_ops.monthly(days, *scope_ops.window_bounds(days), where=F.col("razon_social") == view_ops.INTERNATIONAL))
 
 
 @query("monthly_usd")
 def q_monthly_usd(spark, sf):
-    return to_edge(view_ops.monthly_usd(scoped_invoices(spark, sf)))
+    days = rollup(spark, sf)
+    return to_edge(roll_ops.monthly(days, *scope_ops.window_bounds(days), "usd"))
 
 
 @query("period_line_share")
@@ -446,13 +462,13 @@ def q_selection_totals(spark, sf):
 @query("client_statement")
 def q_client_statement(spark, sf):
     led = ledger(spark, sf)
-    return to_edge(view_ops.client_statement(led, view_ops.largest_debtor(led)))
+    return to_edge(view_ops.client_statement(led, view_ops.largest_debtor(balances(spark, sf))))
 
 
 @query("client_statement_totals")
 def q_client_statement_totals(spark, sf):
     led = ledger(spark, sf)
-    return to_edge(view_ops.client_statement_totals(led, view_ops.largest_debtor(led)))
+    return to_edge(view_ops.client_statement_totals(led, view_ops.largest_debtor(balances(spark, sf))))
 
 
 @query("kpi_financial")

@@ -664,6 +664,14 @@ WHERE centro IS NOT NULL AND centro <> ''
 """)
 
 # --- M1 / M6: views ----------------------------------------------------------------------
+oracle("year_to_date", ["inv_d"], """
+WITH m AS (SELECT razon_social, moneda_iso, linea_negocio, year(fecha) AS anio, month(fecha) AS mes, count(*) AS filas, sum(monto_total_ars) AS monto
+           FROM inv_d GROUP BY ALL)
+SELECT razon_social, moneda_iso, linea_negocio, anio, mes, filas, CAST(monto AS DOUBLE) AS monto,
+       CAST(sum(filas) OVER y AS BIGINT) AS filas_anio, CAST(sum(monto) OVER y AS DOUBLE) AS monto_anio
+FROM m WINDOW y AS (PARTITION BY razon_social, moneda_iso, linea_negocio, anio ORDER BY mes)
+""")
+
 oracle("billing_totals", ["inv_s"], """
 SELECT CAST(coalesce(sum(monto_total_ars) FILTER (WHERE razon_social = 'Local'), 0) AS DOUBLE) AS total_local,
        CAST(coalesce(sum(monto_total_ars) FILTER (WHERE razon_social = 'Internacional'), 0) AS DOUBLE) AS total_intl,
