@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from arlens.functions.text import strip
+
 MONEY = DecimalType(28, 2)
 RATE = DecimalType(24, 10)
 # Free-text amounts keep up to 6 decimals (``"1.234"`` is 1.234, not 1.23).
@@ -23,36 +25,35 @@ def _col(c) -> Column:
 
 def to_money(c) -> Column:
     """Coerce to money; unparseable or null -> 0 (never raises under ANSI).
-    ``unread_amount`` tells the values this turns into 0."""
+    ``operators.rejects`` keeps the values this turns into 0."""
     return F.coalesce(_col(c).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
-def unread_amount(c) -> Column:
-    """True for a text that is not blank and not an amount money can hold."""
-    return (F.trim(_col(c).cast("string")) != "") & _col(c).try_cast(MONEY).isNull()
-
-
 def to_rate(c) -> Column:
     """Exchange rate with ten decimals; unparseable or null -> 0."""
     return F.coalesce(_col(c).try_cast(RATE), F.lit(0).cast(RATE))
 
 
-def parse_local_amount(c) -> Column:
-    """Parse amounts written with local separators.
+def local_amount_text(c) -> Column:
+    """The text of an amount with local separators as a plain number.
 
     Keep ``[0-9,.-]``; with both separators ``.`` is thousands and ``,``
     decimal; with only ``,`` it is the decimal mark; with only ``.`` it is the
-    decimal mark. Blank, ``nan``, ``None`` and anything unparseable -> 0.
+    decimal mark. Blank, ``nan`` and ``None`` are 0.
     """
-    txt = F.trim(_col(c).cast("string"))
+    txt = strip(_col(c).cast("string"))
     txt = F.when(txt.isNull() | txt.isin("", "nan", "None"), F.lit("0")).otherwise(txt)
     txt = F.regexp_replace(txt, r"[^0-9,.\-]", "")
     has_comma = F.instr(txt, ",") > 0
     has_dot = F.instr(txt, ".") > 0
-    norm = (F.when(has_comma & has_dot, F.replace(F.replace(txt, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+    return (F.when(has_comma & has_dot, F.replace(F.replace(txt, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
             .when(has_comma, F.replace(txt, F.lit(","), F.lit(".")))
             .otherwise(txt))
-    return F.coalesce(norm.try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
+
+
+def parse_local_amount(c) -> Column:
+    """Parse amounts written with local separators; anything unparseable -> 0."""
+    return F.coalesce(local_amount_text(c).try_cast(AMOUNT), F.lit(0).cast(AMOUNT))
 
 
 def clamp0(c) -> Column:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 
 from arlens.functions.constants import AGING_BUCKETS
+from arlens.functions.text import strip
 
 # Day-first text layouts accepted, tried in order.
 DAYFIRST_PATTERNS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy", "d.M.yy", "yyyy-MM-dd", "yyyy/M/d",
                      "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-                     "yyyy-MM-dd'T'HH:mm:ss.SSS"]
+                     "yyyy-MM-dd'T'HH:mm:ss.SSS", "d/M/yyyy h:mm a", "d/M/yyyy h:mm:ss a", "d-MMM-yyyy", "d MMM yyyy", "d/MMM/yyyy", "d-MMM-yy"]
 
 
 def _col(c) -> Column:
@@ -27,7 +28,7 @@ def parse_dayfirst(c, source_type: DataType | None = None) -> Column:
         return col
     if isinstance(source_type, (TimestampType, TimestampNTZType)):
         return F.to_date(col)
-    txt = F.trim(col.cast("string")) if source_type is not None and not isinstance(source_type, StringType) else F.trim(col)
+    txt = strip(col.cast("string") if source_type is not None and not isinstance(source_type, StringType) else col)
     return F.to_date(F.coalesce(*[F.try_to_timestamp(txt, F.lit(p)) for p in DAYFIRST_PATTERNS]))
 
 

@@ -53,14 +53,15 @@ def landing_from_export(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in INVOICE_EXPORT_COLUMNS.items() if k in df.columns})
 
 
-def clean_invoices(raw: DataFrame, company_map: dict[str, str]) -> DataFrame:
+def clean_invoices(raw: DataFrame, company_map: dict[str, str], keep: list[str] | None = None) -> DataFrame:
     """Typed invoice lines.
 
     Day-first dates (bad -> null), amounts coerced (bad -> 0), names trimmed and
     title-cased, currency/company mapped with pass-through, credit-note flag,
     derived amounts, year/month/label, business line without its ``NN_``
     prefix. Optional amount columns that are absent count as 0. ``company_map``
-    gives the scope of each company label; export headers are accepted.
+    gives the scope of each company label; export headers are accepted. Columns
+    named in ``keep`` pass through.
     """
     raw = landing_from_export(raw)
     cols = set(raw.columns)
@@ -93,6 +94,7 @@ def clean_invoices(raw: DataFrame, company_map: dict[str, str]) -> DataFrame:
         money("importe_pendiente").alias("importe_pendiente"),
         money("iva").alias("iva"), money("cantidad").alias("cantidad"),
         *[(F.col(c).cast("string") if c in cols else F.lit(None).cast("string")).alias(c) for c in PLAIN_COLUMNS],
+        *(keep or []),
     )
     return df.select(
         "fecha", "numero_comprobante", "cliente", "empresa", "tipo_documento",
@@ -105,7 +107,7 @@ def clean_invoices(raw: DataFrame, company_map: dict[str, str]) -> DataFrame:
         F.year("fecha").alias("anio"), F.month("fecha").alias("mes"),
         month_label("fecha").alias("mes_nombre"),
         F.regexp_replace(F.col("nivel_dimension"), r"^\d+_", "").alias("linea_negocio"),
-        "iva", *PLAIN_COLUMNS, "cantidad", "moneda", "nivel_dimension",
+        "iva", *PLAIN_COLUMNS, "cantidad", "moneda", "nivel_dimension", *(keep or []),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DecimalType
 
 from arlens.functions.constants import (QUALITY_BALANCE_COLUMNS, QUALITY_INVOICE_COLUMNS, QUALITY_ITEM_COLUMNS,
                                         RECONCILE_TOLERANCE)
+from arlens.operators.rejects import AMOUNT_TOO_LARGE
 
 WIDE_MONEY = DecimalType(38, 2)
 
@@ -34,12 +35,14 @@ def _with_columns(df: DataFrame | None, spark: SparkSession, columns: list[str])
 
 
 def quality_report(inv: DataFrame | None, bal: DataFrame | None, items: DataFrame | None,
-                   spark: SparkSession | None = None) -> DataFrame:
+                   spark: SparkSession | None = None, rejects: DataFrame | None = None) -> DataFrame:
     """Invoices present, required columns, positive billing; balances present,
     overdue <= balance, no negative days, reconciliation within tolerance;
     composition items with positive open balance (missing items are only a
     warning); overall status. A missing dataset or column fails its checks
-    instead of stopping the report; ``spark`` is needed if all are missing."""
+    instead of stopping the report; ``spark`` is needed if all are missing. With
+    ``rejects`` the values that could not be read are counted; an amount that money
+    cannot hold fails the check, unread texts are only a warning."""
     spark = spark or next(df.sparkSession for df in (inv, bal, items) if df is not None)
     own = {"inv": inv.columns if inv is not None else [], "bal": bal.columns if bal is not None else []}
     inv = _with_columns(inv, spark, QUALITY_INVOICE_COLUMNS)
@@ -70,6 +73,9 @@ def quality_report(inv: DataFrame | None, bal: DataFrame | None, items: DataFram
             _columns_check(fc, have, "Q2_composicion_columnas", QUALITY_ITEM_COLUMNS),
             _check(fc, "Q7_composicion_positiva", F.coalesce(F.col("total") > 0, F.lit(False)), F.col("total")),
         ]
+    if rejects is not None:
+        fr = rejects.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("motivo") == AMOUNT_TOO_LARGE).alias("lost"))
+        checks.append(_check(fr, "valores_no_leidos", F.col("lost") == 0, F.col("n")))
     report = checks[0]
     for c in checks[1:]:
         report = report.unionByName(c)

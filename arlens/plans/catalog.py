@@ -261,6 +261,7 @@ PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "rollup": rollup, "ledger"
 from arlens.functions.text import client_key, strip, title_case  # noqa: E402
 from arlens.operators import briefing as brief_ops  # noqa: E402
 from arlens.operators import quality as q_ops  # noqa: E402
+from arlens.operators import rejects as rej_ops  # noqa: E402
 from arlens.operators import rollup as roll_ops  # noqa: E402
 from arlens.operators import scope as scope_ops  # noqa: E402
 from arlens.operators import views as view_ops  # noqa: E402
@@ -483,7 +484,23 @@ def q_briefing(spark, sf):
 
 @query("quality_report")
 def q_quality_report(spark, sf):
-    return q_ops.quality_report(invoices(spark, sf), balances(spark, sf), comp_items(spark, sf))
+    return q_ops.quality_report(invoices(spark, sf), balances(spark, sf), comp_items(spark, sf), rejects=rejected(spark, sf))
+
+
+def rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of the invoice export that could not be read."""
+    raw = fixtures.invoices_raw(spark, sf)
+    return rej_ops.reject_rows(rej_ops.with_rejects(raw, rej_ops.invoice_rejects(raw)), "facturas", "comprobante")
+
+
+@query("rejects")
+def q_rejects(spark, sf):
+    return rejected(spark, sf)
+
+
+@query("reject_summary")
+def q_reject_summary(spark, sf):
+    return rej_ops.reject_summary(rejected(spark, sf))
 
 
 @query("run_meta")

@@ -839,7 +839,20 @@ UNION ALL (SELECT 'cuentas_corrientes', 'criticos', cliente, CAST(sum(saldo_actu
            GROUP BY cliente ORDER BY sum(saldo_actual) DESC, cliente LIMIT 10)
 """)
 
-oracle("quality_report", ["inv", "bal", "comp_items"], """
+cte("rej", ["inv_raw"], " UNION ALL ".join(
+    ["SELECT 'facturas' AS dataset, comprobante AS referencia, 'fecha' AS columna, fecha AS valor, 'fecha_no_leida' AS motivo "
+     f"FROM inv_raw WHERE trim(fecha) <> '' AND {sql_dmy('fecha')} IS NULL"]
+    + [f"SELECT 'facturas', comprobante, '{c}', {c}, CASE WHEN TRY_CAST({c} AS DOUBLE) IS NULL THEN 'importe_no_leido' ELSE 'importe_excede' END "
+       f"FROM inv_raw WHERE trim({c}) <> '' AND TRY_CAST({c} AS DECIMAL(28,2)) IS NULL"
+       for c in ("gravado", "no_gravado", "importe_principal", "imp_usd", "importe_pendiente", "iva", "cantidad")]))
+
+oracle("rejects", ["rej"], "SELECT * FROM rej")
+
+oracle("reject_summary", ["rej"], """
+SELECT dataset, columna, motivo, count(*) AS valores, min(valor) AS ejemplo FROM rej GROUP BY dataset, columna, motivo
+""")
+
+oracle("quality_report", ["inv", "bal", "comp_items", "rej"], """
 WITH fi AS (SELECT count(*) AS n, CAST(sum(monto_total_ars) AS DECIMAL(38,2)) AS total FROM inv),
      fb AS (SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(saldo_vencido, 0) > coalesce(saldo_actual, 0) + 1e-6) AS over,
                    count(*) FILTER (WHERE coalesce(dias_vencido, 0) < 0) AS neg,
@@ -855,6 +868,7 @@ WITH fi AS (SELECT count(*) AS n, CAST(sum(monto_total_ars) AS DECIMAL(38,2)) AS
        UNION ALL SELECT 'Q5_dias_no_negativos', neg = 0, CAST(neg AS VARCHAR) FROM fb
        UNION ALL SELECT 'Q6_conciliacion_tolerancia', coalesce(maxdif <= 1.0, true), CAST(maxdif AS VARCHAR) FROM fb
        UNION ALL SELECT 'Q2_composicion_columnas', true, '' FROM fc
+       UNION ALL SELECT 'valores_no_leidos', count(*) FILTER (WHERE motivo = 'importe_excede') = 0, CAST(count(*) AS VARCHAR) FROM rej
        UNION ALL SELECT 'Q7_composicion_positiva', coalesce(total > 0, false), CAST(total AS VARCHAR) FROM fc)
 SELECT * FROM r
 UNION ALL SELECT 'Q8_estado_general', bool_and(passed), CAST(count(*) FILTER (WHERE NOT passed) AS VARCHAR) FROM r
