@@ -253,13 +253,47 @@ def rollup(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "rollup", lambda: roll_ops.daily_rollup(invoices(spark, sf)))
 
 
-PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "rollup": rollup, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
+def client_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "client_numbers", lambda: dist_ops.client_numbers(invoices(spark, sf)))
+
+
+def client_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "client_bitmaps", lambda: dist_ops.client_bitmaps(invoices(spark, sf), client_numbers(spark, sf)), ("nivel",))
+
+
+PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
                                 "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
 
 
+# --- functions callable from SQL ------------------------------------------------------
+from arlens.functions import sql as sql_fns  # noqa: E402
+
+
+@query("sql_scalars")
+def q_sql_scalars(spark, sf):
+    """Every scalar function over the ledger export and the composition grid's amounts."""
+    sql_fns.register(spark)
+    fixtures.ledger_raw(spark, sf).createOrReplaceTempView("mayor")
+    parsed = spark.sql(f"""
+        SELECT clave_cliente(cliente) AS clave, tipo_movimiento(documento) AS tipo, tramo_antiguedad(dias_vencido(DATE '{AS_OF}', fecha_vencimiento)) AS tramo,
+               count(*) AS filas, CAST(sum(monto_local(CAST(debe AS STRING))) AS DECIMAL(28,2)) AS debe
+        FROM mayor GROUP BY ALL""")
+    return to_edge(parsed)
+
+
+@query("sql_open_items")
+def q_sql_open_items(spark, sf):
+    """The LIFO items of the current balances through the table function."""
+    led = ledger(spark, sf)
+    fn = sql_fns.register_views(led, led_ops.current_balance(led))
+    return to_edge(spark.sql(f"SELECT * FROM {fn}(DATE '{AS_OF}')"), aging_ops.ITEM_COLUMNS)
+
+
 # --- M5: scope, permissions, options ------------------------------------------------
 from arlens.functions.text import client_key, strip, title_case  # noqa: E402
 from arlens.operators import briefing as brief_ops  # noqa: E402
+from arlens.operators import distinct as dist_ops  # noqa: E402
+from arlens.operators import levels as level_ops  # noqa: E402
 from arlens.operators import quality as q_ops  # noqa: E402
 from arlens.operators import rejects as rej_ops  # noqa: E402
 from arlens.operators import rollup as roll_ops  # noqa: E402
@@ -349,7 +383,17 @@ def q_permission_rows_visible(spark, sf):
 
 @query("center_impact")
 def q_center_impact(spark, sf):
-    return to_edge(scope_ops.center_impact(invoices(spark, sf)))
+    return to_edge(dist_ops.center_impact(client_bitmaps(spark, sf)))
+
+
+@query("center_impact_window")
+def q_center_impact_window(spark, sf):
+    return to_edge(dist_ops.distinct_clients(client_bitmaps(spark, sf), *scope_ops.window_bounds(rollup(spark, sf))))
+
+
+@query("billing_levels")
+def q_billing_levels(spark, sf):
+    return to_edge(level_ops.with_share(level_ops.billing_levels(rollup(spark, sf))))
 
 
 @query("client_options")

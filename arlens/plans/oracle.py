@@ -361,6 +361,14 @@ SELECT cliente, {sql_key('cliente')} AS cliente_norm, documento AS documento_ref
 FROM lifo
 """)
 
+ORACLE["sql_open_items"] = ORACLE["open_items_lifo"]
+
+oracle("sql_scalars", ["led"], f"""
+SELECT {sql_key('cliente')} AS clave, tipo, {sql_aging(f"datediff('day', fecha_vencimiento, {AS_OF})")} AS tramo, count(*) AS filas,
+       CAST(sum(debe) AS DOUBLE) AS debe
+FROM led GROUP BY ALL
+""")
+
 oracle("aging_by_client", ["aging"], f"""
 SELECT cliente, CAST(saldo_pendiente_cc AS DOUBLE) AS saldo_pendiente_cc, CAST(saldo_vencido AS DOUBLE) AS saldo_vencido,
        CAST(saldo_por_vencer AS DOUBLE) AS saldo_por_vencer, venc, prox_vencimiento, dias_vencido,
@@ -652,6 +660,29 @@ oracle("center_impact", ["inv"], """
 SELECT trim(linea_negocio) AS centro, count(DISTINCT cliente) AS clientes FROM inv WHERE cliente IS NOT NULL GROUP BY 1
 """)
 
+oracle("center_impact_window", ["inv_s"], """
+SELECT CAST(grouping(centro) AS BIGINT) AS es_total, centro, count(DISTINCT cliente) AS clientes
+FROM (SELECT trim(linea_negocio) AS centro, cliente FROM inv_s WHERE cliente IS NOT NULL) GROUP BY GROUPING SETS ((centro), ())
+""")
+
+# The share comes from a join with the parent's row here.
+oracle("billing_levels", ["inv"], """
+WITH g AS (SELECT razon_social, linea_negocio, anio, mes, grouping(razon_social, linea_negocio, anio, mes) AS nivel,
+                  count(*) AS filas, coalesce(sum(monto_total_ars), 0) AS ars, coalesce(sum(monto_usd), 0) AS usd
+           FROM inv GROUP BY GROUPING SETS ((razon_social, linea_negocio, anio, mes), (razon_social, linea_negocio, anio),
+                (razon_social, linea_negocio), (razon_social), (anio, mes), (anio), ())),
+n(nivel, nombre_nivel, padre) AS (VALUES (0, 'MES', 1), (1, 'ANIO', 3), (3, 'LINEA', 7), (7, 'EMPRESA', 15),
+                (12, 'PERIODO', 13), (13, 'EJERCICIO', 15), (15, 'TOTAL', 15))
+SELECT g.razon_social, g.linea_negocio, CAST(g.anio AS BIGINT) AS anio, CAST(g.mes AS BIGINT) AS mes, CAST(g.nivel AS BIGINT) AS nivel, n.nombre_nivel,
+       g.filas, CAST(g.ars AS DOUBLE) AS ars, CAST(g.usd AS DOUBLE) AS usd,
+       CASE WHEN p.ars <> 0 THEN CAST(g.ars AS DOUBLE) / CAST(p.ars AS DOUBLE) END AS participacion
+FROM g JOIN n ON n.nivel = g.nivel JOIN g p ON p.nivel = n.padre
+     AND (p.nivel & 8 > 0 OR p.razon_social IS NOT DISTINCT FROM g.razon_social)
+     AND (p.nivel & 4 > 0 OR p.linea_negocio IS NOT DISTINCT FROM g.linea_negocio)
+     AND (p.nivel & 2 > 0 OR p.anio IS NOT DISTINCT FROM g.anio)
+     AND (p.nivel & 1 > 0 OR p.mes IS NOT DISTINCT FROM g.mes)
+""")
+
 oracle("client_options", ["inv", "bal"], f"""
 SELECT DISTINCT cliente FROM (SELECT {sql_title('cliente')} AS cliente FROM inv UNION ALL SELECT {sql_title('cliente')} FROM bal)
 WHERE cliente IS NOT NULL AND cliente <> ''
