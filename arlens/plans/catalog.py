@@ -294,6 +294,7 @@ from arlens.functions.text import client_key, strip, title_case  # noqa: E402
 from arlens.operators import briefing as brief_ops  # noqa: E402
 from arlens.operators import distinct as dist_ops  # noqa: E402
 from arlens.operators import levels as level_ops  # noqa: E402
+from arlens.operators import policies as pol_ops  # noqa: E402
 from arlens.operators import quality as q_ops  # noqa: E402
 from arlens.operators import rejects as rej_ops  # noqa: E402
 from arlens.operators import rollup as roll_ops  # noqa: E402
@@ -347,6 +348,15 @@ def q_row_permissions(spark, sf):
     return to_edge(scope_ops.rows_per_user(scoped_invoices(spark, sf), grants))
 
 
+@query("policy_totals")
+def q_policy_totals(spark, sf):
+    """What one user per order may see, through the users' policies."""
+    inv, clients = invoices(spark, sf), client_numbers(spark, sf)
+    centers = dist_ops.client_numbers(inv.select(strip("linea_negocio").alias("cliente"))).withColumnRenamed("cliente", "centro")
+    compiled = pol_ops.compile_policies(fixtures.many_grants(spark, sf), clients, centers)
+    return to_edge(pol_ops.policy_totals(inv, *compiled, clients, centers))
+
+
 @query("center_semi_filter")
 def q_center_semi_filter(spark, sf):
     keys = scope_ops.clients_of_centers(scoped_invoices(spark, sf), comp_items(spark, sf), SEMI_CENTERS)

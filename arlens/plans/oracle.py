@@ -620,6 +620,26 @@ FROM perm p LEFT JOIN inv_s i ON (
 GROUP BY p.usuario
 """)
 
+oracle("policy_totals", ["inv"], """
+WITH cube AS (SELECT cliente, trim(linea_negocio) AS linea, count(*) AS n, sum(monto_total_ars) AS m FROM inv GROUP BY ALL),
+u AS (SELECT o_orderkey AS k, upper(c_name[1]) || lower(c_name[2:]) || ' S.A.U.' AS cli FROM orders JOIN customer ON o_custkey = c_custkey),
+ct AS (SELECT DISTINCT l_orderkey AS k, p_type AS linea FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 3 <> 0),
+t AS (SELECT sum(n) AS n, sum(m) AS m FROM cube),
+mine AS (SELECT u.k, cube.linea, cube.n, cube.m, ct.k IS NOT NULL AS listed
+         FROM u JOIN cube ON cube.cliente = u.cli LEFT JOIN ct ON ct.k = u.k AND ct.linea = cube.linea),
+c AS (SELECT k, sum(n) AS c_n, sum(m) AS c_m, coalesce(sum(n) FILTER (listed), 0) AS cl_n, coalesce(sum(m) FILTER (listed), 0) AS cl_m FROM mine GROUP BY k),
+l AS (SELECT ct.k, sum(x.n) AS l_n, sum(x.m) AS l_m FROM ct JOIN (SELECT linea, sum(n) AS n, sum(m) AS m FROM cube GROUP BY linea) x USING (linea) GROUP BY ct.k),
+j AS (SELECT u.k, u.k % 2 = 0 AS c_in, u.k % 5 < 2 AS l_in, u.k IN (SELECT k FROM ct) AS has_l, t.n AS t_n, t.m AS t_m,
+             coalesce(c_n, 0) AS c_n, coalesce(c_m, 0) AS c_m, coalesce(cl_n, 0) AS cl_n, coalesce(cl_m, 0) AS cl_m, coalesce(l_n, 0) AS l_n, coalesce(l_m, 0) AS l_m
+      FROM u CROSS JOIN t LEFT JOIN c USING (k) LEFT JOIN l USING (k))
+SELECT 'u' || k AS usuario,
+       CAST(CASE WHEN NOT has_l THEN CASE WHEN c_in THEN c_n ELSE t_n - c_n END WHEN c_in AND l_in THEN cl_n WHEN c_in THEN c_n - cl_n
+            WHEN l_in THEN l_n - cl_n ELSE t_n - c_n - l_n + cl_n END AS BIGINT) AS filas,
+       CAST(CASE WHEN NOT has_l THEN CASE WHEN c_in THEN c_m ELSE t_m - c_m END WHEN c_in AND l_in THEN cl_m WHEN c_in THEN c_m - cl_m
+            WHEN l_in THEN l_m - cl_m ELSE t_m - c_m - l_m + cl_m END AS DOUBLE) AS monto
+FROM j
+""")
+
 oracle("center_semi_filter", ["inv_s", "comp_items", "bal"], """
 SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo_actual FROM bal
 WHERE cliente IN (SELECT cliente FROM inv_s WHERE trim(linea_negocio) IN ('ECONOMY', '1-URGENT')

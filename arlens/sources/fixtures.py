@@ -187,3 +187,20 @@ def composition_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permissions_doc(spark: SparkSession) -> DataFrame:
     """The permissions document as one JSON text row (``valor``)."""
     return spark.createDataFrame([("permisos", PERMISSIONS_DOC)], "clave string, valor string")
+
+
+def many_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants ``(usuario, ambito, modo, valor)`` of one user per order: a list with the order's
+    customer and, but for every third order, one with the kinds of its parts."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey"])
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
+    user = F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("usuario")
+    own = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
+        user, F.lit("clientes").alias("ambito"), F.when(F.col("o_orderkey") % 2 == 0, "Incluir").otherwise("Excluir").alias("modo"),
+        F.concat(F.initcap("c_name"), F.lit(" S.A.U.")).alias("valor"))
+    kinds = lines.filter(F.col("l_orderkey") % 3 != 0).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("o_orderkey"), "p_type").distinct().select(
+        user, F.lit("centros").alias("ambito"), F.when(F.col("o_orderkey") % 5 < 2, "Incluir").otherwise("Excluir").alias("modo"), F.col("p_type").alias("valor"))
+    return own.unionByName(kinds)
