@@ -1,11 +1,15 @@
 """Surrogates for personal data: keyed replacements that keep type and format.
 
-Entities: e-mail and IPv4 addresses, phone numbers, payment cards (issuer prefix
+Entities: e-mail, IPv4 and IPv6 addresses, phone numbers, payment cards (issuer prefix
 and check digit must hold), IBANs (check digits must hold), US social security
-numbers, labelled secrets and personal names after a form of address.
+numbers, labelled secrets, and personal names after a form of address with their bare
+mentions (whole name or surname) anywhere in the same text.
 
 * An entity has a canonical form (case, separators, address form and script of digits removed), so
-  all its spellings, in all documents, get one surrogate: coreference stays.
+  all its spellings, in all documents, get one surrogate: coreference stays. In a text
+  a surname alone stands for the only longer name that ends with it, and a name with an
+  address that tells no gender for the only one of that name that has a gender; if there
+  are several such names, it is a name of its own. A surname gets the surrogate's surname.
 * A surrogate is drawn from HMAC-SHA256(key, type, canonical form, attempt). It
   keeps the format: separators, letter case, length and country prefixes; cards
   and IBANs keep valid check digits; a name keeps its script (Latin, Greek or
@@ -23,13 +27,15 @@ on the key and the set of entities only.
 Defined results: null and empty texts stay as they are; overlapping finds go to
 the first by place, then by the order above; repeated rows are rewritten alike;
 a row without entities keeps its text byte for byte; other columns are left
-alone. A task holds one Arrow batch of texts.
+alone, and an input column with the count's name stays: the count's then gets a "_" more.
+A task holds one Arrow batch of texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -55,10 +61,12 @@ FIND = re.compile("|".join((
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
     r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+    r"(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]))",
     rf"(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d))",
-    r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w))",
+    r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)"
+    r"|(?<![\w+])\+(?:\d{9,15}|\d{1,3}(?:[ .-]\d{1,4}){3,6})(?!\w))",
     rf"(?P<name>\b(?P<address>{'|'.join(ADDRESS)})\b\.? (?P<who>{_NAME}(?:[ -]{_NAME}){{0,2}}))")))
-TYPES = ("secret", "email", "iban", "card", "ssn", "ip", "phone", "name")
+TYPES = ("secret", "email", "iban", "card", "ssn", "ip6", "ip", "phone", "name")
 _SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщьюя")
 _VOWELS = ("aeiou", "αεηιο", "аеиоу")
 _CONSONANTS = ("bdfghklmnprstv", "βγδκλμνπρστφ", "бвгдзклмнпрст")
@@ -91,8 +99,59 @@ def ascii_digits(text: str) -> str:
     return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
 
 
-def find(text: str) -> Iterator[tuple[str, int, int, str]]:
+def is_ip6(text: str) -> bool:
+    """An IPv6 address with four decimal digits or more (shorter ones are mostly code)."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(c.isdigit() for c in text) >= 4
+
+
+Find = tuple[str, int, int, str]
+
+
+def find(text: str) -> Iterator[Find]:
     """(type, start, end, canonical form) of the entities of ``text``, in order."""
+    found = list(_marked(text))
+    if any(k == "name" for k, *_ in found):
+        found = _names_resolved(text, found)
+    yield from found
+
+
+def _names_resolved(text: str, found: list[Find]) -> list[Find]:
+    """``found`` with each name as the identity it stands for, and the bare mentions."""
+    ids = {what for k, _, _, what in found if k == "name"}
+
+    def gendered(what: str) -> str:
+        same = {x for x in ids if x[1:] == what[1:] and x[0] != "n"}
+        return same.pop() if what[0] == "n" and len(same) == 1 else what
+
+    known = {gendered(x) for x in ids}
+
+    def identity(what: str) -> str:
+        what = gendered(what)
+        longer = {x for x in known if x[2:].endswith(" " + what[2:]) and ("n" in (x[0], what[0]) or x[0] == what[0])}
+        return longer.pop() if len(longer) == 1 else what
+
+    out = [(k, a, b, identity(what) if k == "name" else what) for k, a, b, what in found]
+    spelled: dict[str, set[str]] = {}
+    for k, a, b, what in out:
+        if k == "name":
+            for form in (text[a:b], text[a:b].split(" ")[-1]):
+                spelled.setdefault(form, set()).add(what)
+    bare = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(spelled, key=lambda x: (-len(x), x))) + r")(?!\w)")
+    at, more = 0, []
+    for m in bare.finditer(text):
+        while at < len(out) and out[at][2] <= m.start():
+            at += 1
+        if (at == len(out) or m.end() <= out[at][1]) and len(spelled[m[0]]) == 1:
+            more.append(("name", *m.span(), *spelled[m[0]]))
+    return sorted(out + more, key=lambda f: f[1])
+
+
+def _marked(text: str) -> Iterator[Find]:
+    """The entities that a form or a mark before them tells."""
     for m in FIND.finditer(text):
         kind = next(t for t in TYPES if m[t] is not None)
         start, end = m.span(kind)
@@ -108,6 +167,10 @@ def find(text: str) -> Iterator[tuple[str, int, int, str]]:
             what = f"{ADDRESS[m['address']]}:{m['who'].casefold()}"
         elif kind == "ip":
             what = ascii_digits(m[kind])
+        elif kind == "ip6":
+            if not is_ip6(m[kind]):
+                continue
+            what = ipaddress.IPv6Address(m[kind]).compressed
         else:
             what = re.sub(r"[^0-9A-Za-z+]", "", ascii_digits(m[kind]))
             if kind == "card" and not is_card(what) or kind == "iban" and (not 15 <= len(what) <= 34 or _iban_rest(what) != 1) \
@@ -159,6 +222,9 @@ def surrogate(key: bytes, kind: str, what: str, attempt: int = 0) -> str:
         return f"{draw.like(local)}@{label}.example.{top if top in ('com', 'net', 'org') else 'com'}"
     if kind == "ip":
         return ".".join(str(x) for x in (1 + draw.below(223), draw.below(256), draw.below(256), 1 + draw.below(254)))
+    if kind == "ip6":
+        groups = ("123456789abcdef"[draw.below(15)] + "".join("0123456789abcdef"[draw.below(16)] for _ in g[1:]) if g else "" for g in what.split(":"))
+        return ":".join(groups)
     if kind == "card":
         keep = 1 if what[0] == "4" else 4
         body = what[:keep] + draw.like(what[keep:-1])
@@ -185,7 +251,8 @@ def surrogate(key: bytes, kind: str, what: str, attempt: int = 0) -> str:
 def render(kind: str, found: str, core: str) -> str:
     """``core`` in the spelling of ``found``: its separators and its letter case."""
     if kind == "name":
-        words = re.split(r"([ -])", core.split(":", 1)[1])
+        # A mention of the last words of a name gets those of its surrogate.
+        words = re.split(r"([ -])", core.split(":", 1)[1])[-len(re.split(r"([ -])", found)):]
         return "".join(w.upper() if found.isupper() else w.capitalize() for w in words)
     if kind in ("card", "iban", "ssn", "phone"):
         rest = iter(core)
@@ -262,6 +329,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str | None
     """``docs`` with entities replaced in ``into`` (default: the text column) and
     ``count``, the number of places replaced."""
     secret = key.encode()
+    while count in docs.columns:
+        count += "_"
     found = entities(docs, text)
     redrawn = stored(settled(found, secret).filter("attempt > 0"), "redrawn")
     kind = pa.struct([("text", pa.string()), ("n", pa.int64())])

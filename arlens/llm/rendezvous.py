@@ -14,7 +14,8 @@ which is why it may be broadcast.
 Only DataFrame functions are used. Defined results: a null key hashes as the
 empty string; a null text has size 1 and the crc of the empty text; repeated
 rows share a shard and get slots of their own; an empty table gives an empty
-table; columns this operator adds replace input columns of the same name.
+table; columns an operator adds replace input columns of the same name, and
+``shard_documents`` adds shard and slot only.
 """
 
 from __future__ import annotations
@@ -62,13 +63,14 @@ def assign(docs: DataFrame, weights: Sequence[float], key: Column | None = None,
     return docs.withColumns({**new, "_slot_order": hash52(F.concat_ws("#", key, F.crc32(content)))})
 
 
-def with_slots(assigned: DataFrame, order: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, by hash and then ``order``."""
+def with_slots(assigned: DataFrame, order: Sequence[str] = ("doc_id",),
+               ties: Sequence[str] = ("size", "text_crc32")) -> DataFrame:
+    """Number the rows of each shard from 0 without gaps, by hash and then ``order`` and ``ties``."""
     rows = assigned.withColumn("_bucket", F.shiftright("_slot_order", HASH_BITS - (SLOT_BUCKETS.bit_length() - 1)).cast("int"))
     starts = (rows.groupBy(F.col("shard").alias("_shard"), F.col("_bucket").alias("_start_bucket")).agg(F.count(F.lit(1)).alias("_n"))
               .select("_shard", "_start_bucket", F.coalesce(F.sum("_n").over(
                   Window.partitionBy("_shard").orderBy("_start_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start")))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("_slot_order", *order, "size", "text_crc32")
+    inside = Window.partitionBy("shard", "_bucket").orderBy("_slot_order", *order, *ties)
     return (rows.withColumn("_place", F.row_number().over(inside) - 1)
             .join(F.broadcast(starts), (F.col("shard") == F.col("_shard")) & (F.col("_bucket") == F.col("_start_bucket")))
             .withColumn("slot", F.col("_start") + F.col("_place"))
@@ -76,5 +78,9 @@ def with_slots(assigned: DataFrame, order: Sequence[str] = ("doc_id",)) -> DataF
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """``docs`` with shard and slot over shards of equal weight, keyed by doc_id."""
-    return with_slots(assign(docs, [1.0] * shards)).drop("size", "text_crc32")
+    """``docs`` with shard and slot over shards of equal weight, keyed by doc_id; all
+    other columns stay, those named like ``assign``'s too."""
+    content = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumns({"shard": choose_shard(id_text(), [1.0] * shards), "_slot_order": hash52(F.concat_ws("#", id_text(), F.crc32(content))),
+                             "_shard_size": F.octet_length(content), "_shard_crc": F.crc32(content)})
+    return with_slots(rows, ties=("_shard_size", "_shard_crc")).drop("_shard_size", "_shard_crc")
