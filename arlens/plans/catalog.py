@@ -261,7 +261,12 @@ def client_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "client_bitmaps", lambda: dist_ops.client_bitmaps(invoices(spark, sf), client_numbers(spark, sf)), ("nivel",))
 
 
-PRODUCTS: dict[str, QueryFn] = {"invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
+def _landing(folder: str) -> QueryFn:
+    return lambda spark, sf: shared(spark, sf, f"landing_{folder}", lambda: fixtures.drifting_landings(spark, sf)[folder])
+
+
+LANDINGS: dict[str, QueryFn] = {folder: _landing(folder) for folder in ("par", "impar")}
+PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
                                 "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
 
 
@@ -557,6 +562,16 @@ def q_reject_summary(spark, sf):
     return rej_ops.reject_summary(rejected(spark, sf))
 
 
+@query("landing_merge")
+def q_landing_merge(spark, sf):
+    """Two landing folders with differing columns as one table, added up per folder and month."""
+    from arlens.sources.landing import merge_landings
+
+    rows = merge_landings({k: read(spark, sf) for k, read in LANDINGS.items()}, {"iva": 0, "Condición pago": "SIN DATO"}, "carpeta")
+    return to_edge(rows.groupBy("carpeta", F.right("fecha", F.lit(7)).alias("periodo"), "condicion_pago").agg(
+        F.count("comprobante").alias("filas"), F.sum("cantidad").cast("decimal(28,4)").alias("cantidad"), F.sum("iva").cast("decimal(28,2)").alias("iva")))
+
+
 @query("run_meta")
 def q_run_meta(spark, sf):
     from arlens.sources.io import run_meta

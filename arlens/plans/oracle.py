@@ -640,6 +640,14 @@ SELECT 'u' || k AS usuario,
 FROM j
 """)
 
+oracle("landing_merge", ["inv_raw"], """
+WITH r AS (SELECT *, right(fecha, 1) IN ('1', '3', '5', '7', '9') AS odd FROM inv_raw)
+SELECT CASE WHEN odd THEN 'impar' ELSE 'par' END AS carpeta, right(fecha, 7) AS periodo, CASE WHEN odd THEN condicion_pago ELSE 'SIN DATO' END AS condicion_pago,
+       count(comprobante) AS filas, CAST(sum(TRY_CAST(cantidad AS DECIMAL(14,4))) AS DOUBLE) AS cantidad,
+       CAST(sum(CASE WHEN odd THEN TRY_CAST(iva AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS iva
+FROM r GROUP BY ALL
+""")
+
 oracle("center_semi_filter", ["inv_s", "comp_items", "bal"], """
 SELECT cliente, CAST(saldo_actual AS DOUBLE) AS saldo_actual FROM bal
 WHERE cliente IN (SELECT cliente FROM inv_s WHERE trim(linea_negocio) IN ('ECONOMY', '1-URGENT')

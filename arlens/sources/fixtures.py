@@ -204,3 +204,15 @@ def many_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("o_orderkey"), "p_type").distinct().select(
         user, F.lit("centros").alias("ambito"), F.when(F.col("o_orderkey") % 5 < 2, "Incluir").otherwise("Excluir").alias("modo"), F.col("p_type").alias("valor"))
     return own.unionByName(kinds)
+
+
+def drifting_landings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The invoice export as two folders, even years (with undated rows) and odd ones, whose
+    columns drift: the even ones have no tax and a narrower quantity, the odd ones spell the
+    voucher's column in capitals and carry the payment terms as well."""
+    raw = invoices_raw(spark, sf_dir)
+    odd = F.coalesce(F.right("fecha", F.lit(1)).isin("1", "3", "5", "7", "9"), F.lit(False))
+    even = raw.filter(~odd).select("comprobante", "fecha", "cliente", F.col("cantidad").try_cast("decimal(10,2)").alias("cantidad"))
+    return {"par": even, "impar": raw.filter(odd).select(
+        "condicion_pago", F.col("comprobante").alias("COMPROBANTE"), "fecha", "cliente", F.col("cantidad").try_cast("decimal(14,4)").alias("cantidad"),
+        F.col("iva").try_cast("decimal(18,2)").alias("iva"))}
