@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arlens.operators import invoices as inv_ops
 from arlens.plans.edge import to_edge
 from arlens.sources import fixtures
+from arlens.sources.clustered import Clustered, read_clustered, write_clustered
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -52,18 +53,34 @@ def _fingerprint(spark: SparkSession, sf: str) -> str:
     return hashlib.sha256("\n".join([sf, *sorted(seen)]).encode()).hexdigest()[:16]
 
 
-def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+def _product(spark: SparkSession, sf: str, name: str, write: Callable[[str], None], done: str = "_SUCCESS") -> str:
+    """Path of a product, written by ``write(path)`` unless it is there. Below
+    ``spark.arlens.products`` a product outlives its session: one whose ``done`` mark
+    exists is read by later sessions as well. A build that was cut off has no mark; its
+    successor writes a folder of the next number."""
     from arlens.session import checkpoint_dir
 
-    sf = sf.rstrip("/")
-    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf), name)
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf.rstrip("/")), name)
     if key not in _READY:
-        base = spark.conf.get("spark.arlens.products", None) or f"{checkpoint_dir(spark).rstrip('/')}/arlens-products"
-        path = f"{base}/{'/'.join(key)}"
-        df = build()
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        base = spark.conf.get("spark.arlens.products", None)
+        root = f"{base.rstrip('/')}/{key[1]}" if base else f"{checkpoint_dir(spark).rstrip('/')}/arlens-products/{key[0]}/{key[1]}"
+        jvm, conf, attempt = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+        while True:
+            path = f"{root}/{name}-{attempt}"
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            fs = folder.getFileSystem(conf)
+            if not fs.exists(folder):
+                write(path)
+                break
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{done}")):
+                break
+            attempt += 1
         _READY[key] = path
-    return spark.read.parquet(_READY[key])
+    return _READY[key]
+
+
+def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+    return spark.read.parquet(_product(spark, sf, name, lambda path: build().write.partitionBy(*partition_by).parquet(path)))
 
 
 def clean_invoices_fresh(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,6 +116,12 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "ledger", lambda: led_ops.clean_ledger(fixtures.ledger_raw(spark, sf)))
 
 
+def ledger_clustered(spark: SparkSession, sf: str) -> Clustered:
+    """The ledger bucketed by customer, customers with very many movements apart."""
+    return read_clustered(spark, _product(spark, sf, "ledger_clustered", lambda path: write_clustered(
+        ledger(spark, sf), path, "cliente", ["fecha", "orden_origen"]), "layout/_SUCCESS"))
+
+
 def balances(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "balances", lambda: bal_ops.client_balances(ledger(spark, sf), AS_OF))
 
@@ -161,7 +184,8 @@ def comp_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def balances_comp_fresh(spark: SparkSession, sf: str) -> DataFrame:
-    return bal_ops.client_balances_with_composition(ledger(spark, sf), comp_summary(spark, sf), AS_OF)
+    comp = comp_summary(spark, sf)
+    return ledger_clustered(spark, sf).per_key(lambda led: bal_ops.client_balances_with_composition(led, comp, AS_OF))
 
 
 def balances_comp(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +290,7 @@ def _landing(folder: str) -> QueryFn:
 
 
 LANDINGS: dict[str, QueryFn] = {folder: _landing(folder) for folder in ("par", "impar")}
-PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "balances": balances, "comp_grid": comp_grid,
+PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "ledger_clustered": ledger_clustered, "balances": balances, "comp_grid": comp_grid,
                                 "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
 
 
@@ -521,13 +545,13 @@ def q_selection_totals(spark, sf):
 
 @query("client_statement")
 def q_client_statement(spark, sf):
-    led = ledger(spark, sf)
+    led = ledger_clustered(spark, sf).all()
     return to_edge(view_ops.client_statement(led, view_ops.largest_debtor(balances(spark, sf))))
 
 
 @query("client_statement_totals")
 def q_client_statement_totals(spark, sf):
-    led = ledger(spark, sf)
+    led = ledger_clustered(spark, sf).all()
     return to_edge(view_ops.client_statement_totals(led, view_ops.largest_debtor(balances(spark, sf))))
 
 
