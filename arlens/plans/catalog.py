@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arlens.operators import invoices as inv_ops
 from arlens.plans.edge import to_edge
-from arlens.sources import fixtures
+from arlens.sources import discovery, fixtures
+from arlens.sources import exports as exports_src
 from arlens.sources.clustered import Clustered, read_clustered, write_clustered
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +274,31 @@ def q_comp_flexible_check(spark, sf):
     return comp_ops.flexible_check(comp_grid(spark, sf))
 
 
+def exports(spark: SparkSession, sf: str) -> DataFrame:
+    """The composition workbook as a folder of delimited exports, read back."""
+    def write(path: str) -> None:
+        cells = comp_grid(spark, sf)
+        exports_src.write_exports(cells, path, cells.select("file", "sheet").distinct().withColumn(
+            "sheet_ordinal", F.right("sheet", F.lit(1)).cast("int") - 1), delimiter=";")
+
+    return exports_src.read_exports(spark, _product(spark, sf, "exports", write), delimiter=";")
+
+
+@query("export_grid")
+def q_export_grid(spark, sf):
+    """Every row with cells of the exports, at its ordinal in its sheet."""
+    cells = exports_src.grid(exports(spark, sf)).filter(F.size("cells") > 0)
+    return to_edge(cells.select("file", "sheet", "row_idx", *[F.try_element_at("cells", F.lit(i + 1)).alias(f"c{i}") for i in range(5)]))
+
+
+@query("export_items")
+def q_export_items(spark, sf):
+    """Open items of the sheet to use of each workbook: ``hoja1``, else the first."""
+    cells = discovery.pick_sheet(exports_src.grid(exports(spark, sf)))
+    return to_edge(comp_ops.composition_items(cells, AS_OF), ["sheet", "row_idx", "cliente", "cliente_norm", "centro_costo", "saldo_abierto", "venc_comp",
+                                                              "documento_ref", "dias_vencido_item", "esta_vencido"])
+
+
 def rollup(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "rollup", lambda: roll_ops.daily_rollup(invoices(spark, sf)))
 
@@ -290,7 +316,7 @@ def _landing(folder: str) -> QueryFn:
 
 
 LANDINGS: dict[str, QueryFn] = {folder: _landing(folder) for folder in ("par", "impar")}
-PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "ledger_clustered": ledger_clustered, "balances": balances, "comp_grid": comp_grid,
+PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "ledger_clustered": ledger_clustered, "balances": balances, "comp_grid": comp_grid, "exports": exports,
                                 "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
 
 

@@ -553,6 +553,14 @@ SELECT sheet, CAST(row_idx AS BIGINT) AS row_idx, cliente, cliente_norm, centro_
 FROM comp_items
 """)
 
+oracle("export_grid", ["comp_raw"], "SELECT file, sheet, CAST(row_idx AS BIGINT) AS row_idx, c0, c1, c2, c3, c4 FROM comp_raw")
+
+oracle("export_items", ["comp_items"], """
+SELECT sheet, CAST(row_idx AS BIGINT) AS row_idx, cliente, cliente_norm, centro_costo, CAST(saldo_abierto AS DOUBLE) AS saldo_abierto,
+       venc_comp, documento_ref, dias_vencido_item, esta_vencido
+FROM comp_items WHERE lower(sheet) = 'hoja1'
+""")
+
 oracle("comp_centers", ["comp_centers"], "SELECT cliente, centro_costo_principal, centros_costo FROM comp_centers")
 
 oracle("comp_by_center", ["comp_items"], """
