@@ -1,11 +1,15 @@
 """Exact distinct customers of any date window (A17) from mergeable bitmaps.
 
 Customers are numbered once; a centre's customers of a day or a month are the set bits of
-bitmaps of 32,768 numbers each (``bitmap_construct_agg``). A window is the union of the
+bitmaps kept in words of 64 numbers each, a BIGINT a word. A window is the union of the
 bitmaps of its whole months and of the days left over at its ends, so a count is exact,
 needs no invoice and reads, per centre, at most 62 days beside the months. Unlike sums,
 distinct counts cannot be differences of running totals; unions they can be.
 
+Few customers buy from a centre on one day, so a bitmap of many numbers is nearly empty:
+words without a customer are not kept, there are never more words than invoices, and
+unions are hash aggregates over 8 bytes.
+
 Both tables grow by append. New customers get numbers after the old ones, and bitmaps of
 new invoices are united with those there, in any order and however often a batch comes.
 
@@ -26,6 +30,16 @@ BUCKETS = 256
 LEVELS = {"mes": "m", "dia": "d", "sin fecha": "u"}
 
 
+def word(numero: str) -> Column:
+    """The word of 64 numbers that ``numero`` is in."""
+    return F.shiftright(numero, 6)
+
+
+def word_bit(numero: str) -> Column:
+    """A word with the bit of ``numero`` set."""
+    return F.expr(f"shiftleft(1L, CAST({numero} & 63 AS INT))")
+
+
 def client_numbers(clients: DataFrame, known: DataFrame | None = None, col: str = "cliente") -> DataFrame:
     """``(cliente, numero)`` of the distinct customers in ``clients``: numbers from 1 without
     gaps. Those in ``known`` keep theirs and come first; the rest follow them."""
@@ -44,20 +58,23 @@ def client_numbers(clients: DataFrame, known: DataFrame | None = None, col: str
 
 
 def client_bitmaps(inv: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``(nivel, fecha, centro, tramo, mapa)``: which customers of number range ``tramo`` a
+    """``(nivel, fecha, centro, tramo, mapa)``: which customers of word ``tramo`` a
     centre billed on a day (``d``), in a month (``m``, its first day) or undated (``u``)."""
     seen = inv.filter(F.col("cliente").isNotNull()).select(strip("linea_negocio").alias("centro"), "fecha", "cliente").distinct()
-    bits = seen.join(numbers, "cliente").select("centro", "fecha", F.bitmap_bucket_number("numero").alias("tramo"), F.bitmap_bit_position("numero").alias("_bit"))
-    days = bits.groupBy(F.when(F.col("fecha").isNull(), LEVELS["sin fecha"]).otherwise(LEVELS["dia"]).alias("nivel"), "fecha", "centro", "tramo").agg(
-        F.bitmap_construct_agg("_bit").alias("mapa"))
-    months = bits.filter(F.col("fecha").isNotNull()).groupBy(F.lit(LEVELS["mes"]).alias("nivel"), F.trunc("fecha", "month").alias("fecha"), "centro", "tramo").agg(
-        F.bitmap_construct_agg("_bit").alias("mapa"))
-    return days.unionByName(months)
+    bits = seen.join(numbers, "cliente").select("centro", "fecha", word("numero").alias("tramo"), word_bit("numero").alias("_bit"))
+
+    def at(level: str, day) -> Column:
+        return F.struct(F.lit(LEVELS[level]).alias("nivel"), day.cast("date").alias("fecha"))
+
+    levels = F.when(F.col("fecha").isNull(), F.array(at("sin fecha", F.lit(None)))).otherwise(
+        F.array(at("dia", F.col("fecha")), at("mes", F.trunc("fecha", "month"))))
+    return (bits.select(F.explode(levels).alias("_at"), "centro", "tramo", "_bit").select("_at.*", "centro", "tramo", "_bit")
+                .groupBy("nivel", "fecha", "centro", "tramo").agg(F.bit_or("_bit").alias("mapa")))
 
 
 def append_bitmaps(have: DataFrame, more: DataFrame) -> DataFrame:
     """Bitmaps of both: a union, so a batch that comes twice changes nothing."""
-    return have.unionByName(more).groupBy("nivel", "fecha", "centro", "tramo").agg(F.bitmap_or_agg("mapa").alias("mapa"))
+    return have.unionByName(more).groupBy("nivel", "fecha", "centro", "tramo").agg(F.bit_or("mapa").alias("mapa"))
 
 
 def in_window(lo: Column, hi: Column) -> Column:
@@ -74,7 +91,7 @@ def distinct_clients(maps: DataFrame, lo: Column | None = None, hi: Column | Non
     of all centres together, inside the window; without one, over all rows."""
     inside = F.col("nivel") != LEVELS["dia"] if lo is None or hi is None else in_window(lo, hi)
     united = maps.filter(inside).groupingSets([["centro", "tramo"], ["tramo"]], "centro", "tramo").agg(
-        F.grouping("centro").cast("int").alias("es_total"), F.bitmap_count(F.bitmap_or_agg("mapa")).alias("n"))
+        F.grouping("centro").cast("int").alias("es_total"), F.bit_count(F.bit_or("mapa")).alias("n"))
     return united.groupBy("es_total", "centro").agg(F.sum("n").alias("clientes"))
 
 

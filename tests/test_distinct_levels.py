@@ -114,3 +114,13 @@ def test_default_window(inv):
     lo, hi = scope.window_bounds(inv)
     inside = scope.apply_scope(inv, scope.ScopeSpec())
     assert counted(distinct.distinct_clients(maps, lo, hi)) == rescanned(inside)
+
+
+def test_bitmaps_are_no_larger_than_their_rows(spark):
+    """A customer a day: bitmaps of 32,768 numbers would hold 4 KB for each of these rows."""
+    rows = spark.range(3000).select(F.concat(F.lit("c"), (F.col("id") * 7 % 1500).cast("string")).alias("cliente"), F.concat(F.lit("A"), (F.col("id") % 30).cast("string")).alias("linea_negocio"),
+                                    F.date_add(F.lit("2000-01-01"), (F.col("id") % 700).cast("int")).alias("fecha"))
+    maps = distinct.client_bitmaps(rows, distinct.client_numbers(rows))
+    assert dict(maps.dtypes)["mapa"] == "bigint"
+    assert maps.filter("nivel = 'd'").count() <= 3000 and maps.filter("nivel = 'm'").count() <= 3000
+    assert maps.filter("mapa = 0").count() == 0
