@@ -9,8 +9,9 @@ joins them with the customers each policy lists, never with those it doesn't: an
 list is the total less what it names. ``visible`` keeps the invoice rows of one user by two
 joins with the names its policy lists.
 
-Bitmaps hold 32,768 numbers a range and are kept by range (``tramo``), so a list of a few
-customers is a few small rows however many customers there are.
+Bitmaps are kept in words of 64 numbers (``tramo``), a BIGINT a word, and words without a
+number are left out, so a list of a few customers is a few rows of 8 bytes however many
+customers there are.
 
 Defined results: a superuser, and a user without lists, see everything; an include list
 that names no known customer or centre shows nothing, an exclude list that names none hides
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from arlens.functions.amounts import MONEY
 from arlens.functions.text import strip
+from arlens.operators.distinct import word, word_bit
 from arlens.operators.scope import INCLUDE
 
 SCOPES = {"clientes": "c", "centros": "l"}
@@ -46,11 +48,12 @@ def compile_policies(grants: DataFrame, clients: DataFrame, centers: DataFrame)
 
     A policy is named by a SHA-256 of its modes and bitmaps, so equal policies meet in one."""
     numbers = listed_numbers(grants, clients, centers)
-    maps = numbers.groupBy("usuario", "ambito", F.bitmap_bucket_number("numero").alias("tramo")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("numero")).alias("mapa"))
-    # A range's digest stands for its bits: there are few ranges, whatever the list's length.
-    prints = maps.groupBy("usuario").agg(F.array_join(F.array_sort(F.collect_list(
-        F.concat_ws(":", "ambito", F.col("tramo").cast("string"), F.sha2("mapa", 256)))), "|").alias("_bits"))
+    maps = numbers.groupBy("usuario", "ambito", word("numero").alias("tramo")).agg(F.bit_or(word_bit("numero")).alias("mapa"))
+    # A digest stands for the words of 32,768 numbers: a user has few, whatever the list's length.
+    ranges = maps.groupBy("usuario", "ambito", F.shiftright("tramo", 9).alias("_range")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(
+        F.concat_ws(":", F.col("tramo").cast("string"), F.hex("mapa")))), "|"), 256).alias("_digest"))
+    prints = ranges.groupBy("usuario").agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat_ws(":", "ambito", F.col("_range").cast("string"), "_digest"))), "|").alias("_bits"))
     modes = grants.groupBy("usuario").agg(
         F.bool_or(F.col("ambito") == "superuser").alias("todo"),
         *[F.max(F.when((F.col("ambito") == scope) & F.col("valor").isNotNull(), F.col("modo"))).alias(f"{p}_modo") for scope, p in SCOPES.items()])
@@ -64,7 +67,7 @@ def compile_policies(grants: DataFrame, clients: DataFrame, centers: DataFrame)
 
 
 def bit_is_set(mapa: Column, numero: Column) -> Column:
-    """Whether a range's bitmap holds ``numero``."""
+    """Whether a bitmap of 32,768 numbers (``bitmap_construct_agg``) holds ``numero``."""
     at = F.bitmap_bit_position(numero)
     byte = F.conv(F.hex(F.substring(mapa, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     return F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("long"), F.lit(2)) == 1
@@ -90,9 +93,9 @@ def policy_totals(inv: DataFrame, users: DataFrame, masks: DataFrame, listed: Da
 
     by_client = cube.filter("c IS NOT NULL").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     by_center = cube.filter("l IS NOT NULL").groupBy("l").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    both = (of("clientes").join(cube.filter("l IS NOT NULL"), "c").withColumn("tramo", F.bitmap_bucket_number("l"))
+    both = (of("clientes").join(cube.filter("l IS NOT NULL"), "c").withColumn("tramo", word("l"))
             .join(masks.filter(F.col("ambito") == "centros").select("politica", "tramo", "mapa"), ["politica", "tramo"])
-            .filter(bit_is_set(F.col("mapa"), F.col("l"))))
+            .filter(F.col("mapa").bitwiseAND(word_bit("l")) != 0))
     policies = users.select("politica", "todo", "c_modo", "l_modo").distinct()
     for part in (sums(of("clientes").join(by_client, "c"), "c"), sums(of("centros").join(by_center, "l"), "l"), sums(both, "cl")):
         policies = policies.join(part, "politica", "left")

@@ -89,3 +89,16 @@ def test_fixture_has_a_user_per_order_and_no_pairs(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert df.count() == orders
+
+
+def test_masks_of_short_lists_are_a_few_bytes(spark):
+    """Lists of numbers far apart: a word of 8 bytes for each, not a bitmap of 4 KB."""
+    clients = spark.range(1, 100_001).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("cliente"), F.col("id").alias("numero"))
+    centers = spark.createDataFrame([("A", 1), ("B", 2)], "centro string, numero long")
+    rows = [(u, "clientes", "Incluir", f"c{n}") for u in ("x", "y") for n in (1, 63, 64, 65, 40_000, 99_999)] + [("z", "clientes", "Incluir", "c64"), ("z", "centros", "Excluir", "B")]
+    users, masks, listed = policies.compile_policies(spark.createDataFrame(rows, "usuario string, ambito string, modo string, valor string"), clients, centers)
+    assert dict(masks.dtypes)["mapa"] == "bigint"
+    politica = {r["usuario"]: r["politica"] for r in users.collect()}
+    assert politica["x"] == politica["y"] != politica["z"]
+    got = {(r["ambito"], r["tramo"]): r["mapa"] for r in masks.filter(F.col("politica") == politica["x"]).collect()}
+    assert got == {("clientes", 0): 2 - 2 ** 63, ("clientes", 1): 3, ("clientes", 625): 1, ("clientes", 1562): 2 ** 31}
