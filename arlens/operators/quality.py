@@ -6,7 +6,7 @@ Each dataset's checks are one aggregate pass; the report is one DataFrame
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -17,14 +17,13 @@ from arlens.operators.rejects import AMOUNT_TOO_LARGE
 WIDE_MONEY = DecimalType(38, 2)
 
 
-def _check(df: DataFrame, check_id: str, passed, detail) -> DataFrame:
-    return df.select(F.lit(check_id).alias("check_id"), passed.alias("passed"),
-                     detail.cast("string").alias("detail"))
+def _check(check_id: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(check_id).alias("check_id"), passed.alias("passed"), detail.cast("string").alias("detail"))
 
 
-def _columns_check(df: DataFrame, have: list[str], check_id: str, required: list[str]) -> DataFrame:
+def _columns_check(have: list[str], check_id: str, required: list[str]) -> Column:
     missing = [c for c in required if c not in have]
-    return _check(df, check_id, F.lit(not missing), F.lit(",".join(missing)))
+    return _check(check_id, F.lit(not missing), F.lit(",".join(missing)))
 
 
 def _with_columns(df: DataFrame | None, spark: SparkSession, columns: list[str]) -> DataFrame:
@@ -54,33 +53,36 @@ def quality_report(inv: DataFrame | None, bal: DataFrame | None, items: DataFram
          .alias("over"),
         F.count_if(F.coalesce(F.col("dias_vencido"), F.lit(0)) < 0).alias("neg"),
         F.max(F.abs(F.coalesce(F.col("dif_conciliacion"), F.lit(0)))).cast(WIDE_MONEY).alias("maxdif"))
+    facts = {"fi": fi, "fb": fb}
+    if items is not None:
+        have = items.columns
+        facts["fc"] = _with_columns(items, spark, QUALITY_ITEM_COLUMNS).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("saldo_abierto").cast(WIDE_MONEY).alias("total"))
+    if rejects is not None:
+        facts["fr"] = rejects.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("motivo") == AMOUNT_TOO_LARGE).alias("lost"))
     checks = [
-        _check(fi, "Q1_facturas_presentes", F.col("n") > 0, F.col("n")),
-        _columns_check(fi, own["inv"], "Q2_facturas_columnas", QUALITY_INVOICE_COLUMNS),
-        _check(fi, "Q3_facturacion_positiva", F.coalesce(F.col("total") > 0, F.lit(False)), F.col("total")),
-        _check(fb, "Q1_saldos_presentes", F.col("n") > 0, F.col("n")),
-        _columns_check(fb, own["bal"], "Q2_saldos_columnas", QUALITY_BALANCE_COLUMNS),
-        _check(fb, "Q4_vencido_menor_saldo", F.col("over") == 0, F.col("over")),
-        _check(fb, "Q5_dias_no_negativos", F.col("neg") == 0, F.col("neg")),
-        _check(fb, "Q6_conciliacion_tolerancia",
-               F.coalesce(F.col("maxdif") <= F.lit(RECONCILE_TOLERANCE), F.lit(True)), F.col("maxdif")),
+        _check("Q1_facturas_presentes", F.col("fi.n") > 0, F.col("fi.n")),
+        _columns_check(own["inv"], "Q2_facturas_columnas", QUALITY_INVOICE_COLUMNS),
+        _check("Q3_facturacion_positiva", F.coalesce(F.col("fi.total") > 0, F.lit(False)), F.col("fi.total")),
+        _check("Q1_saldos_presentes", F.col("fb.n") > 0, F.col("fb.n")),
+        _columns_check(own["bal"], "Q2_saldos_columnas", QUALITY_BALANCE_COLUMNS),
+        _check("Q4_vencido_menor_saldo", F.col("fb.over") == 0, F.col("fb.over")),
+        _check("Q5_dias_no_negativos", F.col("fb.neg") == 0, F.col("fb.neg")),
+        _check("Q6_conciliacion_tolerancia",
+               F.coalesce(F.col("fb.maxdif") <= F.lit(RECONCILE_TOLERANCE), F.lit(True)), F.col("fb.maxdif")),
     ]
     if items is not None:
-        have = items.columns
-        items = _with_columns(items, spark, QUALITY_ITEM_COLUMNS)
-        fc = items.agg(F.count(F.lit(1)).alias("n"), F.sum("saldo_abierto").cast(WIDE_MONEY).alias("total"))
         checks += [
-            _columns_check(fc, have, "Q2_composicion_columnas", QUALITY_ITEM_COLUMNS),
-            _check(fc, "Q7_composicion_positiva", F.coalesce(F.col("total") > 0, F.lit(False)), F.col("total")),
+            _columns_check(have, "Q2_composicion_columnas", QUALITY_ITEM_COLUMNS),
+            _check("Q7_composicion_positiva", F.coalesce(F.col("fc.total") > 0, F.lit(False)), F.col("fc.total")),
         ]
     if rejects is not None:
-        fr = rejects.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("motivo") == AMOUNT_TOO_LARGE).alias("lost"))
-        checks.append(_check(fr, "valores_no_leidos", F.col("lost") == 0, F.col("n")))
-    report = checks[0]
-    for c in checks[1:]:
-        report = report.unionByName(c)
-    overall = report.agg(F.bool_and("passed").alias("ok"), F.count_if(~F.col("passed")).alias("bad"))
-    return report.unionByName(_check(overall, "Q8_estado_general", F.col("ok"), F.col("bad")))
+        checks.append(_check("valores_no_leidos", F.col("fr.lost") == 0, F.col("fr.n")))
+    # One row of facts: each dataset is aggregated once for its checks and the overall status.
+    row = spark.range(1).select(*[df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in facts.items()])
+    done = row.select(F.array(*checks).alias("checks"))
+    overall = _check("Q8_estado_general", F.forall("checks", lambda x: x["passed"]), F.size(F.filter("checks", lambda x: ~x["passed"])))
+    return done.select(F.explode(F.concat("checks", F.array(overall))).alias("c")).select("c.*")
 
 
 def missing_columns(spark: SparkSession, required: dict[str, list[str]], actual: dict[str, list[str]]) -> DataFrame:

@@ -32,3 +32,19 @@ def test_missing_columns_and_datasets_are_reported(spark):
     assert not got["Q2_facturas_columnas"] and not got["Q1_saldos_presentes"] and not got["Q2_saldos_columnas"]
     assert not got["Q2_composicion_columnas"] and got["Q7_composicion_positiva"] and not got["Q8_estado_general"]
     assert not _report(None, None, None, spark=spark)["Q1_facturas_presentes"]
+
+
+def test_each_dataset_is_read_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return x
+
+    inv = spark.createDataFrame([(dt.date(2001, 1, 1), 5.0)], "fecha date, monto_total_ars double")
+    rejects = spark.range(7).select(F.udf(touch, "string")(F.col("id").cast("string")).alias("motivo"))
+    got = _report(inv, None, None, rejects=rejects)
+    assert got["valores_no_leidos"] and not got["Q8_estado_general"]
+    assert seen.value == 7
