@@ -284,6 +284,11 @@ def exports(spark: SparkSession, sf: str) -> DataFrame:
     return exports_src.read_exports(spark, _product(spark, sf, "exports", write), delimiter=";")
 
 
+def export_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid of the exports, parsed once: every later step would parse the files again."""
+    return shared(spark, sf, "export_cells", lambda: exports_src.grid(exports(spark, sf)))
+
+
 @query("export_grid")
 def q_export_grid(spark, sf):
     """Every row with cells of the exports, at its ordinal in its sheet."""
@@ -294,7 +299,7 @@ def q_export_grid(spark, sf):
 @query("export_items")
 def q_export_items(spark, sf):
     """Open items of the sheet to use of each workbook: ``hoja1``, else the first."""
-    cells = discovery.pick_sheet(exports_src.grid(exports(spark, sf)))
+    cells = discovery.pick_sheet(export_cells(spark, sf))
     return to_edge(comp_ops.composition_items(cells, AS_OF), ["sheet", "row_idx", "cliente", "cliente_norm", "centro_costo", "saldo_abierto", "venc_comp",
                                                               "documento_ref", "dias_vencido_item", "esta_vencido"])
 
@@ -316,7 +321,7 @@ def _landing(folder: str) -> QueryFn:
 
 
 LANDINGS: dict[str, QueryFn] = {folder: _landing(folder) for folder in ("par", "impar")}
-PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "ledger_clustered": ledger_clustered, "balances": balances, "comp_grid": comp_grid, "exports": exports,
+PRODUCTS: dict[str, QueryFn] = {**{f"landing_{k}": v for k, v in LANDINGS.items()}, "invoices": invoices, "rollup": rollup, "client_numbers": client_numbers, "client_bitmaps": client_bitmaps, "ledger": ledger, "ledger_clustered": ledger_clustered, "balances": balances, "comp_grid": comp_grid, "exports": exports, "export_cells": export_cells,
                                 "comp_items": comp_items, "comp_summary": comp_summary, "balances_comp": balances_comp}
 
 

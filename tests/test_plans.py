@@ -74,3 +74,8 @@ def test_views_prune_and_push(spark):
     assert "PushedFilters: [" in plan and "EqualTo(moneda_iso,ARS)" in plan
     schemas = re.findall(r"ReadSchema: struct<([^>\n]*)", plan)
     assert schemas and all(s.count(":") <= 6 for s in schemas)
+
+
+def test_export_items_parse_no_file_again(spark):
+    plan = catalog.QUERIES["export_items"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "delimited_exports" not in plan
