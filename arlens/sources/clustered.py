@@ -25,8 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a bucket holds on average, about 128 MB of movements.
-ROWS_PER_BUCKET = 2_000_000
+#: Rows a bucket holds on average, about 16 MB of movements: per-customer work sorts and
+#: aggregates a bucket several times in one task, so it needs many times that memory.
+ROWS_PER_BUCKET = 250_000
 
 
 @dataclass(frozen=True)
