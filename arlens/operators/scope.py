@@ -71,11 +71,13 @@ def date_window(inv: DataFrame, desde=None, hasta=None) -> DataFrame:
 def in_list(df: DataFrame, col: str, values: list[str], mode: str = INCLUDE, key: Column | None = None) -> DataFrame:
     """Keep (include) or drop (exclude) rows whose ``col`` is in ``values``.
 
-    The list becomes a one-column frame and a semi or anti join, whatever its
-    length; adaptive execution picks the join on measured bytes.
+    The list becomes a one-column frame and a semi or anti join. It is a list of the
+    caller's, so it fits the driver already and is sent to the tasks whole: without the
+    hint its size is unknown to the planner, and all rows are shuffled and sorted by
+    ``col`` to meet a few names.
     """
     k = key if key is not None else F.col(col)
-    lst = df.sparkSession.createDataFrame([(v,) for v in values], "_v string")
+    lst = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in values], "_v string"))
     keyed = df.withColumn("_k", k)
     how = "left_semi" if mode == INCLUDE else "left_anti"
     return keyed.join(lst, keyed["_k"] == lst["_v"], how).drop("_k")
