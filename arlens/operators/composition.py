@@ -91,14 +91,17 @@ def data_rows(grid: DataFrame, header: DataFrame) -> DataFrame:
                     F.col("pos_centro").isNotNull().alias("has_centro"), F.col("pos_doc").isNotNull().alias("has_doc"))
 
 
+def _sheet_slice() -> Column:
+    return F.floor(F.col("row_idx") / SLICE_ROWS).cast("long")
+
+
 def filled_rows(grid: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """Data rows with merged customer / centre cells forward-filled within the
     sheet (blank counts as missing)."""
     rows = data_rows(grid, header if header is not None else detect_header(grid))
     rows = (rows.withColumn("cliente_raw", F.when(F.col("cliente_raw") != "", F.col("cliente_raw")))
                 .withColumn("centro_raw", F.when(F.col("centro_raw") != "", F.col("centro_raw"))))
-    return forward_fill(rows, SHEET_KEYS, [F.col("row_idx")], ["cliente_raw", "centro_raw"],
-                        F.floor(F.col("row_idx") / SLICE_ROWS).cast("long"))
+    return forward_fill(rows, SHEET_KEYS, [F.col("row_idx")], ["cliente_raw", "centro_raw"], _sheet_slice())
 
 
 def composition_items(grid: DataFrame, as_of, header: DataFrame | None = None) -> DataFrame:
@@ -106,16 +109,22 @@ def composition_items(grid: DataFrame, as_of, header: DataFrame | None = None) -
     ``Sin centro`` when the sheet has none), open balance, due date, document,
     days overdue (null without due date) and overdue flag. Rows without a
     customer or with a non-positive balance are dropped."""
-    f = filled_rows(grid, header)
-    cliente = title_case("cliente_raw")
-    items = f.select(
-        *SHEET_KEYS, "row_idx",
-        cliente.alias("cliente"),
-        client_key(cliente).alias("cliente_norm"),
-        F.when(F.col("has_centro"), strip("centro_raw")).otherwise(F.lit(NO_CENTER)).alias("centro_costo"),
+    rows = data_rows(grid, header if header is not None else detect_header(grid))
+    # Cells are read before the fill: a name once, not on each row it is filled down to, and
+    # an amount once, not again in the filter below (which would be pushed to the text).
+    rows = rows.select(
+        *SHEET_KEYS, "row_idx", "has_centro",
+        F.when(F.col("cliente_raw") != "", title_case("cliente_raw")).alias("_name"),
+        F.when(F.col("centro_raw") != "", strip("centro_raw")).alias("_centro"),
         parse_local_amount("saldo_raw").alias("saldo_abierto"),
         parse_dayfirst("venc_raw").alias("venc_comp"),
-        F.when(F.col("has_doc"), strip("doc_raw")).otherwise(F.lit("")).alias("documento_ref"),
+        F.when(F.col("has_doc"), strip("doc_raw")).otherwise(F.lit("")).alias("documento_ref"))
+    who = F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("cliente"), client_key("_name").alias("cliente_norm")))
+    f = forward_fill(rows.withColumn("_who", who).drop("_name"), SHEET_KEYS, [F.col("row_idx")], ["_who", "_centro"], _sheet_slice())
+    items = f.select(
+        *SHEET_KEYS, "row_idx", "_who.cliente", "_who.cliente_norm",
+        F.when(F.col("has_centro"), F.col("_centro")).otherwise(F.lit(NO_CENTER)).alias("centro_costo"),
+        "saldo_abierto", "venc_comp", "documento_ref",
     ).filter((F.col("cliente_norm") != "") & (F.col("saldo_abierto") > 0))
     dias = days_overdue(as_of, "venc_comp")
     return (items.withColumn("dias_vencido_item", dias)

@@ -33,3 +33,24 @@ def _grid(spark):
             ("f", "s", 7, ["NaN", None, "8", "01/02/2001", "d6"]),
             ("f", "s", 8, ["ana", None, "$ 2,5", "2001-08-31"])]
     return spark.createDataFrame(rows, "file string, sheet string, row_idx int, cells array<string>")
+
+
+def test_cells_are_read_before_the_fill(spark):
+    items = comp.composition_items(_grid(spark), dt.date(2001, 9, 1))
+    got = [tuple(r) for r in items.orderBy("row_idx").select(
+        "row_idx", "cliente", "cliente_norm", "centro_costo", F.col("saldo_abierto").cast("double"), "documento_ref", "dias_vencido_item").collect()]
+    assert got == [(2, "Juan Pérez", "JUAN PEREZ", "c1", 1234.5, "d1", 212), (3, "Juan Pérez", "JUAN PEREZ", "c1", 10.0, "d2", None),
+                   (8, "Ana", "ANA", "c2", 2.5, None, 1)]
+    above = _plan(items, "optimizedPlan").split("Window")[0]
+    assert "regexp_replace" not in above and "gettimestamp" not in above.lower()
+
+
+def test_generated_methods_of_the_items_can_be_compiled(spark):
+    items = comp.composition_items(_grid(spark), dt.date(2001, 9, 1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        items = items.select("*")
+        stages = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(items._jdf.queryExecution().debug().codegenToSeq())
+        assert max(s._3().maxMethodCodeSize() for s in stages) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
