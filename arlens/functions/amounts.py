@@ -41,7 +41,7 @@ def local_amount_text(c) -> Column:
     decimal; with only ``,`` it is the decimal mark; with only ``.`` it is the
     decimal mark. Blank, ``nan`` and ``None`` are 0.
     """
-    txt = strip(_col(c).cast("string"))
+    txt = strip(c if isinstance(c, str) else c.cast("string"))
     txt = F.when(txt.isNull() | txt.isin("", "nan", "None"), F.lit("0")).otherwise(txt)
     txt = F.regexp_replace(txt, r"[^0-9,.\-]", "")
     has_comma = F.instr(txt, ",") > 0

@@ -21,14 +21,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_dayfirst(c, source_type: DataType | None = None) -> Column:
-    """Parse a day-first date; anything unparseable -> null (never raises)."""
+def parse_dayfirst(c, source_type: DataType | None = None, stripped: bool = False) -> Column:
+    """Parse a day-first date; anything unparseable -> null (never raises). ``stripped``
+    text has no blanks at its ends: the pattern list then holds no trim per pattern."""
     col = _col(c)
     if isinstance(source_type, (DateType,)):
         return col
     if isinstance(source_type, (TimestampType, TimestampNTZType)):
         return F.to_date(col)
-    txt = strip(col.cast("string") if source_type is not None and not isinstance(source_type, StringType) else col)
+    txt = col if stripped else strip(col.cast("string") if source_type is not None and not isinstance(source_type, StringType) else col)
     return F.to_date(F.coalesce(*[F.try_to_timestamp(txt, F.lit(p)) for p in DAYFIRST_PATTERNS]))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from arlens.functions.amounts import MONEY, to_money
 from arlens.functions.constants import CREDIT_NOTE_TYPES, CURRENCY_MAP
@@ -72,12 +73,16 @@ def clean_invoices(raw: DataFrame, company_map: dict[str, str], keep: list[str]
         return to_money(c)
 
     def text(c):
-        return strip(c) if c in cols else F.lit(None).cast("string")
+        return strip(F.col(c)) if c in cols else F.lit(None).cast("string")
 
-    fecha = parse_dayfirst("fecha", raw.schema["fecha"].dataType)
+    dated = raw.schema["fecha"].dataType
+    if isinstance(dated, StringType):
+        # Once, and not per pattern: a generated method over 8000 bytes is never compiled by the JIT.
+        raw = raw.withColumn("fecha", strip("fecha"))
+    fecha = parse_dayfirst("fecha", dated, stripped=isinstance(dated, StringType))
     moneda = text("moneda")
     empresa = text("empresa")
-    documento = text("documento")
+    documento = strip("documento") if "documento" in cols else F.lit(None).cast("string")
     nivel = text("nivel_1_dimension")
     df = raw.select(
         fecha.alias("fecha"),

@@ -3,8 +3,8 @@ first/last movement (W1 W2), reconciliation (A2 A3 J2)."""
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ def movement_type(doc) -> Column:
     text before ``" - "`` (upper-cased) starts with a collection prefix;
     otherwise a charge."""
     d = F.coalesce(strip(doc), F.lit(""))
-    prefix = F.upper(strip(F.split(d, " - ", 2).getItem(0)))
-    is_collection = reduce(lambda a, b: a | b, [prefix.startswith(p) for p in COLLECTION_PREFIXES])
+    # One look at the upper-cased text: it begins without blanks, and no prefix ends with one.
+    is_collection = F.upper(F.substring_index(d, " - ", 1)).rlike(f"^(?:{'|'.join(map(re.escape, COLLECTION_PREFIXES))})")
     return (F.when(d.isin("", MOV_OPENING), F.lit(MOV_OPENING))
              .when(is_collection, F.lit(MOV_COLLECTION))
              .otherwise(F.lit(MOV_CHARGE)))
@@ -62,7 +62,7 @@ def clean_ledger(raw: DataFrame) -> DataFrame:
     return raw.select(
         orden.alias("orden_origen"),
         title_case("cliente").alias("cliente"),
-        F.coalesce(strip(F.col("documento").cast("string")), F.lit("")).alias("documento"),
+        F.coalesce(strip("documento"), F.lit("")).alias("documento"),
         (F.coalesce(F.col("descripcion").cast("string"), F.lit("")) if "descripcion" in cols
          else F.lit("")).alias("descripcion"),
         parse_dayfirst("fecha", sch["fecha"]).alias("fecha"),

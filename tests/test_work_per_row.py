@@ -54,3 +54,22 @@ def test_generated_methods_of_the_items_can_be_compiled(spark):
         assert max(s._3().maxMethodCodeSize() for s in stages) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_type_of_a_movement_takes_no_pattern_per_row(spark):
+    docs = ["", "  ", None, "Saldo Inicial", " saldo inicial", "cobranza_fce - 7", "NCVEE", "ncvee  - 1", "xNCVEE - 1", "FACVTA - COBRANZA - 2",
+            " - COBRANZA", "FCEVCTA-3", " cobranza - 1 ", "FCENCVTAELEC\t- 1"]
+    kind = {d: t for d, t in spark.createDataFrame([(d,) for d in docs], "d string").select("d", movement_type("d")).collect()}
+    charges = {" saldo inicial", "xNCVEE - 1", "FACVTA - COBRANZA - 2", " - COBRANZA"}
+    openings = {"", "  ", None, "Saldo Inicial"}
+    assert {d for d, t in kind.items() if t == "Factura/Cargo"} == charges
+    assert {d for d, t in kind.items() if t == "Saldo Inicial"} == openings
+    assert "split(" not in str(movement_type("d"))
+
+
+def test_strip_of_a_named_column_equals_python(spark):
+    ends = ["", "a", "~", "!", "é", "\x7f", "　", " ", "\x1f", *whitespace_chars()[:9], "\U0001F600"]
+    texts = [None, *{a + m + b for a in ends for b in ends for m in ("", "x", " y ")}]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip("t"), strip(F.col("t"))).collect()
+    assert all(one == two == (None if t is None else t.strip()) for t, one, two in rows)
+    assert spark.range(3).select(strip("id").alias("s")).collect()[2].s == "2"
