@@ -18,7 +18,8 @@ mentions (whole name or surname) anywhere in the same text.
 * Distinctness: surrogates of all distinct entities of the corpus are compared
   by a join. Of entities that drew the same surrogate the first by (attempt,
   canonical form) keeps it, the others draw again, as does one that drew any
-  entity's real value, until no collision is left. The entities are a table; only
+  entity's real value, until no collision is left. Mails and names get longer with every
+  GROW draws, so a format that is used up is no end. The entities are a table; only
   those with a redrawn surrogate travel back to their documents.
 
 Two passes read the texts: one finds entities, one rewrites. The result depends
@@ -70,6 +71,9 @@ TYPES = ("secret", "email", "iban", "card", "ssn", "ip6", "ip", "phone", "name")
 _SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщьюя")
 _VOWELS = ("aeiou", "αεηιο", "аеиоу")
 _CONSONANTS = ("bdfghklmnprstv", "βγδκλμνπρστφ", "бвгдзклмнпрст")
+#: Draws after which a mail's local part and a name get longer, again and again: a corpus may hold as
+#: many mails or names of a short format as there are.
+GROW = 10
 # Endings that tell gender in surrogate given names (by script: m, f, n).
 _ENDINGS = ({"m": "o", "f": "a", "n": "i"}, {"m": "ος", "f": "α", "n": "ι"}, {"m": "", "f": "а", "n": "и"})
 
@@ -194,9 +198,10 @@ class _Draw:
         self.left //= n
         return out
 
-    def like(self, text: str) -> str:
-        """Letters for letters and digits for digits; hexadecimal stays so."""
-        hexa = re.fullmatch(r"[0-9a-f]+", text) is not None and len(text) >= 16
+    def like(self, text: str, number: bool = False) -> str:
+        """Letters for letters and digits for digits; hexadecimal stays so. The digits of a
+        ``number``, however many, are never taken for hexadecimal."""
+        hexa = not number and re.fullmatch(r"[0-9a-f]+", text) is not None and len(text) >= 16
         out = []
         for c in text:
             if hexa:
@@ -219,7 +224,8 @@ def surrogate(key: bytes, kind: str, what: str, attempt: int = 0) -> str:
         host = _Draw(key, "domain", domain)
         top = domain.rsplit(".", 1)[-1]
         label = "".join("abcdefghijklmnopqrstuvwxyz"[host.below(26)] for _ in range(10))
-        return f"{draw.like(local)}@{label}.example.{top if top in ('com', 'net', 'org') else 'com'}"
+        new = draw.like(local) + "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(attempt // GROW))
+        return f"{new}@{label}.example.{top if top in ('com', 'net', 'org') else 'com'}"
     if kind == "ip":
         return ".".join(str(x) for x in (1 + draw.below(223), draw.below(256), draw.below(256), 1 + draw.below(254)))
     if kind == "ip6":
@@ -227,10 +233,10 @@ def surrogate(key: bytes, kind: str, what: str, attempt: int = 0) -> str:
         return ":".join(groups)
     if kind == "card":
         keep = 1 if what[0] == "4" else 4
-        body = what[:keep] + draw.like(what[keep:-1])
+        body = what[:keep] + draw.like(what[keep:-1], number=True)
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "iban":
-        body = draw.like(what[4:])
+        body = draw.like(what[4:], number=True)
         return f"{what[:2]}{98 - _iban_rest(what[:2] + '00' + body):02d}{body}"
     if kind == "phone":
         # The digits before the last nine (country code) stay.
@@ -241,7 +247,7 @@ def surrogate(key: bytes, kind: str, what: str, attempt: int = 0) -> str:
         script = next((i for i, s in enumerate(_SCRIPTS) if any(c in s for c in name)), 0)
         words = re.split(r"([ -])", name)
         for i in range(0, len(words), 2):
-            size = max(2, (len(words[i]) + 1) // 2) + (attempt > 3)
+            size = max(2, (len(words[i]) + 1) // 2) + (attempt > 3) + attempt // GROW
             body = "".join(_CONSONANTS[script][draw.below(len(_CONSONANTS[script]))] + _VOWELS[script][draw.below(len(_VOWELS[script]))] for _ in range(size))
             words[i] = body[:-1] + _ENDINGS[script][gender] if i == 0 and len(words) > 1 else body
         return f"{gender}:{''.join(words)}"

@@ -125,6 +125,29 @@ def test_no_text_with_an_entity_is_passed_over(spark):
     assert re.fullmatch(r"call [\u0660-\u0669]{3} [\u0660-\u0669]{3} [\u0660-\u0669]{4} now", got[10]["text"])
 
 
+def test_long_numbers_keep_their_digits(spark):
+    """A card of 19 digits and an IBAN of 18 digits after its check digits: their digits are no hexadecimal."""
+    cards = [body + next(c for c in "0123456789" if pii.luhn(body + c)) for body in (f"4{i:017d}" for i in range(1, 41))]
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE\u0668\u0669370400440532013000"]
+    texts = [f"Card {c}." for c in cards] + [f"IBAN {i}" for i in ibans]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    new = [re.fullmatch(r"Card (4[0-9]{18})\.", got[i])[1] for i in range(len(cards))]
+    assert all(map(pii.luhn, new)) and len(set(new)) == len(cards) and not set(new) & set(cards)
+    a = re.fullmatch(r"IBAN (DE\d{2} \d{4} \d{4} \d{4} \d{4} \d{2})", got[len(cards)])[1]
+    b = re.fullmatch(r"IBAN (DE[\u0660-\u0669]{2}[0-9]{18})", got[len(cards) + 1])[1]
+    assert pii.ascii_digits(b) == a.replace(" ", "") != ibans[0].replace(" ", "") and pii._iban_rest(pii.ascii_digits(b)) == 1
+
+
+def test_mails_that_fill_their_format_settle(spark):
+    """All 100 local parts of two digits at one host: the last of them finds no such part free."""
+    found = spark.createDataFrame([("email", f"{i:02d}@mail.example.org") for i in range(100)], "type string, what string")
+    rows = pii.settled(found, b"k", rounds=25).collect()
+    assert len({r["core"] for r in rows}) == 100
+    assert all(re.fullmatch(r"\d\d[a-z]{0,2}@[a-z]{10}\.example\.org", r["core"]) for r in rows)
+    assert all(len(r["core"].split("@")[0]) == 2 + r["attempt"] // pii.GROW for r in rows)
+
+
 def test_collisions_are_redrawn(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, what, attempt=0: str(sum(map(int, what)) % 3 + 5 * attempt))
     found = spark.createDataFrame([("ssn", str(100 + i)) for i in range(12)] + [("ssn", "2")], "type string, what string")
