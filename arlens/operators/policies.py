@@ -28,42 +28,68 @@ from arlens.functions.amounts import MONEY
 from arlens.functions.text import strip
 from arlens.operators.distinct import word, word_bit
 from arlens.operators.scope import INCLUDE
+from arlens.scratch import dispose, stored
 
 SCOPES = {"clientes": "c", "centros": "l"}
 
 
-def listed_numbers(grants: DataFrame, clients: DataFrame, centers: DataFrame) -> DataFrame:
-    """``(usuario, ambito, numero)``: the numbers of the names that users list. ``clients`` and
-    ``centers`` are ``(cliente, numero)`` and ``(centro, numero)``; unknown names have none."""
-    named = grants.filter(F.col("ambito").isin(*SCOPES) & F.col("valor").isNotNull()).select("usuario", "ambito", "valor").distinct()
-    known = clients.select(F.lit("clientes").alias("ambito"), F.col("cliente").alias("valor"), "numero").unionByName(
-        centers.select(F.lit("centros").alias("ambito"), F.col("centro").alias("valor"), "numero"))
-    return named.join(known, ["ambito", "valor"]).select("usuario", "ambito", "numero")
+def numbered_grants(grants: DataFrame, clients: DataFrame, centers: DataFrame) -> DataFrame:
+    """``(usuario, ambito, modo, numero)``: every grant with the number of the name it lists, or
+    null for unknown names and grants without one, whose ``modo`` is null. ``clients`` and
+    ``centers`` are ``(cliente, numero)`` and ``(centro, numero)``."""
+    modo = F.when(F.col("valor").isNotNull(), F.col("modo")).alias("modo")
+    parts = [grants.filter(F.col("ambito") == scope).select("usuario", "ambito", modo, "valor").join(
+        names.select(F.col(col).alias("valor"), "numero"), "valor", "left").drop("valor")
+        for scope, names, col in (("clientes", clients, "cliente"), ("centros", centers, "centro"))]
+    rest = grants.filter(F.col("ambito").isNull() | ~F.col("ambito").isin(*SCOPES)).select(
+        "usuario", "ambito", F.lit(None).cast("string").alias("modo"), F.lit(None).cast("long").alias("numero"))
+    return parts[0].unionByName(parts[1]).unionByName(rest)
+
+
+def numbers_of(masks: DataFrame) -> DataFrame:
+    """``masks`` with a row for each number that is set, ``numero``, instead of ``tramo`` and ``mapa``."""
+    mapa = F.col("mapa")
+    many = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: mapa.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    lone = F.bit_count(mapa) == 1
+    bits = F.when(lone & (mapa < 0), F.array(F.lit(63))).when(lone, F.array(F.bit_count(mapa - 1))).otherwise(many)
+    return masks.withColumn("_bit", F.explode(bits)).withColumn("numero", F.shiftleft("tramo", 6) + F.col("_bit")).drop("tramo", "mapa", "_bit")
 
 
 def compile_policies(grants: DataFrame, clients: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(users, masks, listed): ``users`` is ``(usuario, politica, todo, c_modo, l_modo)``, one row
     a user; ``masks`` is ``(politica, ambito, tramo, mapa)``, the bitmaps of each policy; and
-    ``listed`` is ``(politica, ambito, numero)``, the same numbers one by one.
-
-    A policy is named by a SHA-256 of its modes and bitmaps, so equal policies meet in one."""
-    numbers = listed_numbers(grants, clients, centers)
-    maps = numbers.groupBy("usuario", "ambito", word("numero").alias("tramo")).agg(F.bit_or(word_bit("numero")).alias("mapa"))
+    ``listed`` is ``(politica, ambito, numero)``, the same numbers one by one. The first two are
+    stored tables.
+
+    Policies of one SHA-256 of their modes and bitmaps are equal and meet in one, named by the
+    first of its users."""
+    facts = stored(numbered_grants(grants, clients, centers), "policy-grants")
+    # Rows without a number keep their user and mode, in a word of their own that is null. Nobody is no user.
+    words = stored(facts.groupBy("usuario", "ambito", F.when(F.col("usuario").isNotNull(), word("numero")).alias("tramo")).agg(
+        F.bit_or(word_bit("numero")).alias("mapa"), F.max("modo").alias("modo")), "policy-words")
+    dispose(facts)
     # A digest stands for the words of 32,768 numbers: a user has few, whatever the list's length.
-    ranges = maps.groupBy("usuario", "ambito", F.shiftright("tramo", 9).alias("_range")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(
-        F.concat_ws(":", F.col("tramo").cast("string"), F.hex("mapa")))), "|"), 256).alias("_digest"))
-    prints = ranges.groupBy("usuario").agg(F.array_join(F.array_sort(F.collect_list(
-        F.concat_ws(":", "ambito", F.col("_range").cast("string"), "_digest"))), "|").alias("_bits"))
-    modes = grants.groupBy("usuario").agg(
+    # Rows are dealt by user once, for both of the sums that follow.
+    known = F.col("tramo").isNotNull()
+    ranges = words.repartition("usuario").groupBy("usuario", "ambito", F.shiftright("tramo", 9).alias("_range")).agg(
+        F.max("modo").alias("modo"), F.sha2(F.array_join(F.array_sort(F.collect_list(
+            F.when(known, F.concat_ws(":", F.col("tramo").cast("string"), F.hex("mapa"))))), "|"), 256).alias("_digest"))
+    users = ranges.groupBy("usuario").agg(
         F.bool_or(F.col("ambito") == "superuser").alias("todo"),
-        *[F.max(F.when((F.col("ambito") == scope) & F.col("valor").isNotNull(), F.col("modo"))).alias(f"{p}_modo") for scope, p in SCOPES.items()])
-    users = modes.join(prints, "usuario", "left").withColumn("politica", F.sha2(F.concat_ws(
-        "/", F.col("todo").cast("string"), F.coalesce("c_modo", F.lit("-")), F.coalesce("l_modo", F.lit("-")), F.coalesce("_bits", F.lit(""))), 256))
-    users = users.select("usuario", "politica", "todo", "c_modo", "l_modo")
-    # One user speaks for each policy, so its lists are kept once.
-    spoken = users.groupBy("politica").agg(F.min("usuario").alias("usuario"))
-    return (users, maps.join(spoken, "usuario").select("politica", "ambito", "tramo", "mapa"),
-            numbers.join(spoken, "usuario").select("politica", "ambito", "numero"))
+        *[F.max(F.when(F.col("ambito") == scope, F.col("modo"))).alias(f"{p}_modo") for scope, p in SCOPES.items()],
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_range").isNotNull(), F.concat_ws(
+            ":", "ambito", F.col("_range").cast("string"), "_digest")))), "|").alias("_bits"))
+    users = users.withColumn("_print", F.unhex(F.sha2(F.concat_ws(
+        "/", F.col("todo").cast("string"), F.coalesce("c_modo", F.lit("-")), F.coalesce("l_modo", F.lit("-")), "_bits"), 256)))
+    printed = stored(users.select("usuario", "_print", "todo", "c_modo", "l_modo"), "policy-prints")
+    # One user speaks for each policy, so its lists are kept once. Its name is shorter than a digest.
+    name = F.coalesce(F.concat(F.lit("="), F.min("usuario")), F.lit("-")).alias("politica")
+    users = stored(printed.join(printed.groupBy("_print").agg(name), "_print").select("usuario", "politica", "todo", "c_modo", "l_modo"), "policy-users")
+    dispose(printed)
+    spoken = users.filter(F.col("politica") == F.concat(F.lit("="), "usuario")).select("usuario", "politica")
+    masks = stored(words.filter(known).join(spoken, "usuario").select("politica", "ambito", "tramo", "mapa"), "policy-masks")
+    dispose(words)
+    return users, masks, numbers_of(masks).select("politica", "ambito", "numero")
 
 
 def bit_is_set(mapa: Column, numero: Column) -> Column:
@@ -79,25 +105,32 @@ def policy_totals(inv: DataFrame, users: DataFrame, masks: DataFrame, listed: Da
     Per policy four sums tell everything: all rows (T), those of its customers (C), of its
     centres (L) and of both (CL). C and L join the policy's lists with totals per customer
     and per centre; CL joins its customers with their centres and keeps those whose bit is
-    set in the policy's centre bitmap. Users then take their policy's result."""
+    set in the policy's centre bitmap. Users then take their policy's result.
+
+    Each sum is a stored table, so that only one step's rows are shuffled at a time."""
     cube = inv.groupBy("cliente", strip("linea_negocio").alias("centro")).agg(F.count(F.lit(1)).alias("n"), F.sum("monto_total_ars").alias("m"))
     cube = cube.join(clients.select("cliente", F.col("numero").alias("c")), "cliente", "left").join(
         centers.select("centro", F.col("numero").alias("l")), "centro", "left").select("c", "l", "n", "m")
+    cube = stored(cube, "policy-cube")
     whole = cube.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"))).scalar()
 
     def sums(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("politica").agg(F.sum("n").alias(f"{name}_n"), F.sum("m").alias(f"{name}_m"))
+        return stored(rows.groupBy("politica").agg(F.sum("n").alias(f"{name}_n"), F.sum("m").alias(f"{name}_m")), f"policy-{name}")
 
     def of(scope: str) -> DataFrame:
         return listed.filter(F.col("ambito") == scope).select("politica", F.col("numero").alias(SCOPES[scope]))
 
     by_client = cube.filter("c IS NOT NULL").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     by_center = cube.filter("l IS NOT NULL").groupBy("l").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    both = (of("clientes").join(cube.filter("l IS NOT NULL"), "c").withColumn("tramo", word("l"))
-            .join(masks.filter(F.col("ambito") == "centros").select("politica", "tramo", "mapa"), ["politica", "tramo"])
-            .filter(F.col("mapa").bitwiseAND(word_bit("l")) != 0))
+    # A customer takes the words of its centres to the policies that list it, and back comes the policy's
+    # bitmap: the cells themselves, which are many more, are not shuffled with them.
+    cells = cube.filter("c IS NOT NULL AND l IS NOT NULL").withColumn("tramo", word("l"))
+    lists = stored(of("clientes").join(cells.select("c", "tramo").distinct(), "c").join(
+        masks.filter(F.col("ambito") == "centros").select("politica", "tramo", "mapa"), ["politica", "tramo"]), "policy-lists")
+    both = lists.join(cells, ["c", "tramo"]).filter(F.col("mapa").bitwiseAND(word_bit("l")) != 0)
     policies = users.select("politica", "todo", "c_modo", "l_modo").distinct()
-    for part in (sums(of("clientes").join(by_client, "c"), "c"), sums(of("centros").join(by_center, "l"), "l"), sums(both, "cl")):
+    parts = [sums(of("clientes").join(by_client, "c"), "c"), sums(of("centros").join(by_center, "l"), "l"), sums(both, "cl")]
+    for part in parts:
         policies = policies.join(part, "politica", "left")
 
     def seen(x: str, total: Column) -> Column:
@@ -108,7 +141,8 @@ def policy_totals(inv: DataFrame, users: DataFrame, masks: DataFrame, listed: Da
                 .when(no_c, F.when(l_in, l).otherwise(total - l)).when(c_in & l_in, cl).when(c_in, c - cl).when(l_in, l - cl)
                 .otherwise(total - c - l + cl))
 
-    done = policies.select("politica", seen("n", whole["n"]).cast("long").alias("filas"), seen("m", whole["m"]).cast(MONEY).alias("monto"))
+    done = stored(policies.select("politica", seen("n", whole["n"]).cast("long").alias("filas"), seen("m", whole["m"]).cast(MONEY).alias("monto")), "policy-totals")
+    dispose(cube, lists, *parts)
     return users.join(done, "politica").select("usuario", "filas", "monto")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arlens.operators import invoices as inv_ops
 from arlens.plans.edge import to_edge
+from arlens.scratch import dispose, shuffles_freed, stored
 from arlens.sources import discovery, fixtures
 from arlens.sources import exports as exports_src
 from arlens.sources.clustered import Clustered, read_clustered, write_clustered
@@ -71,7 +72,8 @@ def _product(spark: SparkSession, sf: str, name: str, write: Callable[[str], Non
             folder = jvm.org.apache.hadoop.fs.Path(path)
             fs = folder.getFileSystem(conf)
             if not fs.exists(folder):
-                write(path)
+                with shuffles_freed(spark):
+                    write(path)
                 break
             if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{done}")):
                 break
@@ -413,8 +415,14 @@ def q_policy_totals(spark, sf):
     """What one user per order may see, through the users' policies."""
     inv, clients = invoices(spark, sf), client_numbers(spark, sf)
     centers = dist_ops.client_numbers(inv.select(strip("linea_negocio").alias("cliente"))).withColumnRenamed("cliente", "centro")
-    compiled = pol_ops.compile_policies(fixtures.many_grants(spark, sf), clients, centers)
-    return to_edge(pol_ops.policy_totals(inv, *compiled, clients, centers))
+    centers = stored(centers, "policy-centers")
+    # Stored step by step: each step's shuffle files are gone before the next one writes its own.
+    grants = stored(fixtures.many_grants(spark, sf), "many-grants")
+    users, masks, listed = pol_ops.compile_policies(grants, clients, centers)
+    dispose(grants)
+    totals = pol_ops.policy_totals(inv, users, masks, listed, clients, centers)
+    dispose(masks, centers)
+    return to_edge(totals)
 
 
 @query("center_semi_filter")

@@ -1,5 +1,6 @@
 """Policies of many users against the rows each one may see."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arlens.operators import distinct, policies, scope
 from arlens.plans import catalog
+from arlens.session import checkpoint_dir
 from arlens.sources import fixtures
 from conftest import SF_SMALL
 
@@ -102,3 +104,31 @@ def test_masks_of_short_lists_are_a_few_bytes(spark):
     assert politica["x"] == politica["y"] != politica["z"]
     got = {(r["ambito"], r["tramo"]): r["mapa"] for r in masks.filter(F.col("politica") == politica["x"]).collect()}
     assert got == {("clientes", 0): 2 - 2 ** 63, ("clientes", 1): 3, ("clientes", 625): 1, ("clientes", 1562): 2 ** 31}
+
+
+def test_numbers_of_masks(spark):
+    words = {0: [1, 63], 1: [64], 2: [191], 3: list(range(192, 256))}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [("p", "clientes", t, signed(sum(1 << (n & 63) for n in ns))) for t, ns in words.items()]
+    got = policies.numbers_of(spark.createDataFrame(rows, "politica string, ambito string, tramo long, mapa long"))
+    assert dict(got.dtypes)["numero"] == "bigint"
+    assert sorted(r["numero"] for r in got.collect()) == sorted(n for ns in words.values() for n in ns)
+
+
+def test_a_row_without_a_user_shares_a_policy_with_users_but_has_no_lists(spark, inv, names):
+    rows = [(None, "clientes", "Excluir", "C1"), ("harmless", "clientes", "Excluir", "Nobody"), ("a", "clientes", "Excluir", "C1"), ("b", "clientes", "Excluir", "C1")]
+    users, masks, listed = policies.compile_policies(spark.createDataFrame(rows, GRANTS), *names)
+    politica = {r["usuario"]: r["politica"] for r in users.collect()}
+    assert politica["a"] == politica["b"] != politica[None] == politica["harmless"] and listed.count() == 1
+    got = {r["usuario"]: r["filas"] for r in policies.policy_totals(inv, users, masks, listed, *names).collect()}
+    other = inv.filter("cliente IS NULL OR cliente <> 'C1'").count()
+    assert got == {None: inv.count(), "harmless": inv.count(), "a": other, "b": other}
+
+
+def test_steps_are_stored_and_leave_only_what_the_result_reads(spark):
+    """One plan of all steps kept every step's shuffle files till its end."""
+    folder = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "arlens-llm")
+    had = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df = catalog.QUERIES["policy_totals"](spark, SF_SMALL)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - had} == {"policy-users", "policy-totals"}
